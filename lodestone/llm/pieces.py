@@ -40,6 +40,43 @@ def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(total)
 
 
+class Lookup:
+    """Places of distinct non-negative integers: an open-addressing hash table, probed linearly and all at once."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, len(keys).bit_length() + 2)
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.place = np.full(1 << self.bits, -1, np.int32)
+        left, at = np.arange(len(keys)), self.slot(keys)
+        self.probes = 0
+        while len(left):
+            self.probes += 1
+            free = left[self.keys[at] < 0]
+            self.place[at[self.keys[at] < 0]] = free  # of several for one slot the last stays
+            self.keys[at[self.keys[at] < 0]] = keys[free]
+            stay = self.keys[at] != keys[left]
+            left, at = left[stay], (at[stay] + 1) & (len(self.keys) - 1)
+
+    def slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key * 0x9E3779B97F4A7C1) & 0xFFFFFFFFFFFFFFF) >> (60 - self.bits)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The place of each key among those given, -1 if it is none."""
+        at = self.slot(key)
+        found = self.keys[at]
+        out = np.where(found == key, self.place[at], -1)
+        more = np.flatnonzero((found != key) & (found >= 0))
+        for _ in range(self.probes):
+            if not len(more):
+                break
+            at[more] = (at[more] + 1) & (len(self.keys) - 1)
+            found = self.keys[at[more]]
+            hit = found == key[more]
+            out[more[hit]] = self.place[at[more[hit]]]
+            more = more[~hit & (found >= 0)]
+        return out
+
+
 class Numbering(dict):
     """word -> place in the table; a word that is asked for first gets the next place and is noted in new."""
 
@@ -89,7 +126,9 @@ class PieceModel:
                 if left is not None and right is not None:
                     pairs[left * self.size + right] = (order[proto.pieces[i].score], i)
         self.char_id[ord(" ")] = self.char_id[ord(MARK)]
-        self.pair_table(pairs)
+        self.pairs = Lookup(np.array(list(pairs), np.int64))
+        self.pair_rank = np.array([r for r, _ in pairs.values()], np.int32)
+        self.pair_id = np.array([i for _, i in pairs.values()], np.int32)
         self.byte_id = np.zeros(256, np.int32)
         surface = []
         for i, p in enumerate(proto.pieces):
@@ -126,40 +165,12 @@ class PieceModel:
             return self.cut(self.prefix + text.replace(MARK, " "))
         return list(filter(None, (" " + text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01")).split("\x01")))
 
-    def pair_table(self, pairs: dict[int, tuple[int, int]]) -> None:
-        """An open-addressing hash table of the pairs, probed linearly."""
-        self.bits = max(4, len(pairs).bit_length() + 2)
-        keys = np.full(1 << self.bits, -1, np.int64)
-        rank, merged = np.full(1 << self.bits, NEVER, np.int32), np.zeros(1 << self.bits, np.int32)
-        self.probes = 1
-        for key, at in zip(pairs, self.slot(np.array(list(pairs), np.int64)), strict=True):
-            n = 1
-            while keys[at] >= 0:
-                at, n = (at + 1) & (len(keys) - 1), n + 1
-            keys[at], (rank[at], merged[at]) = key, pairs[key]
-            self.probes = max(self.probes, n)
-        self.pair_keys, self.pair_rank, self.pair_id = keys, rank, merged
-
-    def slot(self, key: np.ndarray) -> np.ndarray:
-        return ((key * 0x9E3779B97F4A7C1) & 0xFFFFFFFFFFFFFFF) >> (60 - self.bits)
-
     def pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged id of adjacent symbols; NEVER where they do not merge."""
         key = left.astype(np.int64) * self.size + right
         key[(left < 0) | (right < 0)] = -2
-        at = self.slot(key)
-        found = self.pair_keys[at]
-        rank, merged = np.where(found == key, self.pair_rank[at], NEVER), self.pair_id[at]
-        more = np.flatnonzero((found != key) & (found >= 0))
-        for _ in range(1, self.probes):
-            if not len(more):
-                break
-            at[more] = (at[more] + 1) & (len(self.pair_keys) - 1)
-            found = self.pair_keys[at[more]]
-            hit = found == key[more]
-            rank[more[hit]], merged[more[hit]] = self.pair_rank[at[more[hit]]], self.pair_id[at[more[hit]]]
-            more = more[~hit & (found >= 0)]
-        return rank, merged
+        at = self.pairs.find(key)
+        return np.where(at < 0, NEVER, self.pair_rank[at]), self.pair_id[at]
 
     def encode_words(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, number of ids of each word)."""

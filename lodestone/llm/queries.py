@@ -6,10 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import pieces
+from lodestone.llm import pieces, token_counts
 from lodestone.llm.common import documents
 
 PIECES = "piece_bpe_32k.model"
+TOKEN_LIMIT = 4096
 
 
 def hex256(value):
@@ -27,8 +28,16 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text by prefix dynamic programming, and how much of it 4096 tokens hold."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    keyed = docs.select(F.struct("doc_id", "n_bytes").alias("row"), "text")
+    counted = token_counts.token_counts(keyed, public_tokenizers.path(PIECES), TOKEN_LIMIT, key="row")
+    return counted.select("row.doc_id", "row.n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "fitting_chars")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece,)}
+    return {f.__name__: f for f in (op1_sentencepiece, op7_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
