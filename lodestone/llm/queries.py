@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import pieces, token_counts
+from lodestone.llm import mixing, pieces, quality, token_counts
 from lodestone.llm.common import documents
 
 PIECES = "piece_bpe_32k.model"
@@ -36,8 +36,20 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("row.doc_id", "row.n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "fitting_chars")
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule ledger of every whole text and the verdict of the newest policy."""
+    judged = quality.apply_policy(quality.ledger(documents(spark, sf_dir)), "v2")
+    base = F.col("failed").bitwiseAND(F.lit(quality.bits("v1"))) != 0
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed", "n_lines", "n_exclaims", "n_capitals")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words taken of every document when sources are mixed to target weights."""
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op7_token_counts)}
+    return {f.__name__: f for f in (op1_sentencepiece, op4_quality_rules, op5_mixing, op7_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
