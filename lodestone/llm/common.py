@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,7 +64,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2_000_00
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pa.compute.binary_length(batch.column(batch.schema.get_field_index(column))).to_pylist()
+        sizes = pc.binary_length(batch.column(batch.schema.get_field_index(column))).to_pylist()
         start = total = 0
         for i, size in enumerate(sizes):
             if total and total + (size or 0) > limit:

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401  (pa.compute)
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -341,7 +341,7 @@ def decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> D
         m = model(path)
         for b in batches:
             column = b.column(1).fill_null([]) if b.column(1).null_count else b.column(1)
-            counts = pa.compute.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+            counts = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
             flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), strings(*m.decode(flat, counts))], ["key", "text"])
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import mixing, pieces, quality, token_counts
+from lodestone.llm import mixing, pieces, quality, simhash, token_counts
 from lodestone.llm.common import documents
 
 PIECES = "piece_bpe_32k.model"
@@ -28,6 +28,12 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SimHash and the lowest id of its component of near-duplicates."""
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text by prefix dynamic programming, and how much of it 4096 tokens hold."""
     docs = documents(spark, sf_dir).select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
@@ -49,7 +55,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op4_quality_rules, op5_mixing, op7_token_counts)}
+    return {f.__name__: f for f in (op1_sentencepiece, op4_quality_rules, op5_mixing, op6_simhash, op7_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
