@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import mixing, pieces, quality, simhash, token_counts
+from lodestone.llm import fingerprint, line_dedup, mixing, pieces, quality, simhash, token_counts
 from lodestone.llm.common import documents
 
 PIECES = "piece_bpe_32k.model"
@@ -42,6 +42,23 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("row.doc_id", "row.n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "fitting_chars")
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threshold-scaled fingerprints of every text and of its edited text, and their likeness."""
+    pairs = fingerprint.edited(documents(spark, sf_dir))
+    a, b, c = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return pairs.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        hex256("edited").alias("edited_sha256"),
+        fingerprint.printed(a).alias("fingerprint"),
+        fingerprint.printed(b).alias("edited_fingerprint"),
+        fingerprint.containment(a, b).alias("near_edited"),
+        fingerprint.containment(a, c).alias("near_next"),
+        fingerprint.resemblance(a, b).alias("resemblance_edited"),
+        fingerprint.resemblance(a, c).alias("resemblance_next"),
+    )
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule ledger of every whole text and the verdict of the newest policy."""
     judged = quality.apply_policy(quality.ledger(documents(spark, sf_dir)), "v2")
@@ -54,8 +71,13 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines of recurring templates."""
+    return line_dedup.drop_recurring(documents(spark, sf_dir)).select("doc_id", "text", F.size("_dropped").cast("long").alias("n_dropped"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op4_quality_rules, op5_mixing, op6_simhash, op7_token_counts)}
+    return {f.__name__: f for f in (op1_sentencepiece, op3_fingerprints, op4_quality_rules, op5_mixing, op6_simhash, op7_token_counts, op9_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
