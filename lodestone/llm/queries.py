@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import fingerprint, line_dedup, mixing, pieces, quality, simhash, token_counts
+from lodestone.llm import fingerprint, line_dedup, mixing, pieces, quality, simhash, substring_dedup, token_counts
 from lodestone.llm.common import documents
 
 PIECES = "piece_bpe_32k.model"
@@ -76,8 +76,14 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.drop_recurring(documents(spark, sf_dir)).select("doc_id", "text", F.size("_dropped").cast("long").alias("n_dropped"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the sentences that an earlier one has, and where they were."""
+    left = substring_dedup.drop_repeats(documents(spark, sf_dir))
+    return left.select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"), "removed")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op3_fingerprints, op4_quality_rules, op5_mixing, op6_simhash, op7_token_counts, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op3_fingerprints, op4_quality_rules, op5_mixing, op6_simhash, op7_token_counts, op9_line_dedup, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
