@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import fingerprint, line_dedup, mixing, pieces, quality, simhash, substring_dedup, token_counts
-from lodestone.llm.common import documents
+from lodestone.llm import fingerprint, line_dedup, mixing, pieces, quality, simhash, substring_dedup, token_counts, toxicity
+from lodestone.llm.common import documents, held_out
 
 PIECES = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
@@ -42,6 +42,15 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("row.doc_id", "row.n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"), "fitting_chars")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text by a model that has seen the labels of three folds in four."""
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    model = toxicity.fit(docs, labels.where(~held_out(F.col("doc_id"), 4)))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Threshold-scaled fingerprints of every text and of its edited text, and their likeness."""
     pairs = fingerprint.edited(documents(spark, sf_dir))
@@ -83,7 +92,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op3_fingerprints, op4_quality_rules, op5_mixing, op6_simhash, op7_token_counts, op9_line_dedup, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_fingerprints, op4_quality_rules, op5_mixing, op6_simhash, op7_token_counts, op9_line_dedup, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
