@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import fingerprint, line_dedup, mixing, pieces, quality, simhash, substring_dedup, token_counts, toxicity
+from lodestone.llm import fingerprint, hmm, line_dedup, mixing, pieces, quality, simhash, substring_dedup, token_counts, toxicity
 from lodestone.llm.common import documents, held_out
 
 PIECES = "piece_bpe_32k.model"
@@ -80,6 +80,11 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every whole text by a hidden Markov model of six folds in seven."""
+    return hmm.language_scores(documents(spark, sf_dir), held_out(F.col("doc_id"), 7))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines of recurring templates."""
     return line_dedup.drop_recurring(documents(spark, sf_dir)).select("doc_id", "text", F.size("_dropped").cast("long").alias("n_dropped"))
@@ -92,7 +97,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_fingerprints, op4_quality_rules, op5_mixing, op6_simhash, op7_token_counts, op9_line_dedup, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_fingerprints, op4_quality_rules, op5_mixing, op6_simhash, op7_token_counts, op8_lm_scoring, op9_line_dedup, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
