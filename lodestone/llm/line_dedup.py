@@ -49,6 +49,15 @@ def _templates(line: Column) -> Column:
     return bound(words(masked), leaf)
 
 
+def _marks(text: Column) -> Column:
+    """Array of (template, context, at, leads) of a text's lines; leads marks a template's lowest context."""
+    each = F.flatten(F.transform(_lines(text), lambda s: F.transform(_templates(s["line"]), lambda t: F.struct(t.alias("template"), s["context"].alias("context"), s["at"].alias("at")))))
+    return bound(
+        F.sort_array(each),
+        lambda a: F.transform(a, lambda m, i: F.struct(m["template"].alias("template"), m["context"].alias("context"), m["at"].alias("at"), (~F.coalesce(F.get(a, i - 1)["template"] == m["template"], F.lit(False))).alias("leads"))),
+    )
+
+
 def drop_recurring(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = MIN_DOCUMENTS) -> DataFrame:
     """df with its recurring lines taken out of text, and _dropped: the numbers of those lines.
 
@@ -59,11 +68,9 @@ def drop_recurring(df: DataFrame, key: str = "doc_id", text: str = "text", least
     """
     use_checkpoints(df.sparkSession)
     doc = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("text"))
-    lines = df.where(F.col(text).isNotNull()).select(doc.alias("doc"), F.inline(_lines(F.col(text))))
-    seen = lines.select("doc", "at", "context", F.explode(_templates(F.col("line"))).alias("template")).checkpoint()
+    seen = df.where(F.col(text).isNotNull()).select(doc.alias("doc"), F.inline(_marks(F.col(text)))).checkpoint()
     # A document counts by one of its contexts, a context by its first document.
-    each = seen.groupBy("template", "doc").agg(F.min("context").alias("context"))
-    around = each.groupBy("template", "context").agg(F.min("doc").alias("doc"))
+    around = seen.where("leads").groupBy("template", "context").agg(F.min("doc").alias("doc"))
     recurring = around.groupBy("template").agg(F.count("*").alias("n"), F.min("doc").alias("first")).where(F.col("n") >= least)
     gone = seen.join(recurring.select("template", "first"), "template").where("doc <> first")
     gone = gone.groupBy("doc").agg(F.sort_array(F.collect_set("at")).alias("_dropped"))
