@@ -1,11 +1,15 @@
-"""The engine's query catalogue."""
+"""The engine's query catalogue: every query by name, and DuckDB SQL where SQL expresses it."""
 
 from __future__ import annotations
 
+from lodestone.plans import text_queries
+
+MODULES = [text_queries]
+
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for m in MODULES for f in m.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for m in MODULES for k, s in m.ORACLE.items()}
