@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import fingerprint, hmm, line_dedup, mixing, pieces, quality, simhash, substring_dedup, token_counts, toxicity
+from lodestone.llm import fingerprint, hmm, line_dedup, mixing, oracles, pieces, quality, simhash, substring_dedup, token_counts, toxicity
 from lodestone.llm.common import documents, held_out
 
 PIECES = "piece_bpe_32k.model"
@@ -101,4 +101,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.ORACLE)
