@@ -55,7 +55,8 @@ def lloyd(points: DataFrame, start: np.ndarray, passes: int) -> np.ndarray:
                     n[j] += np.bincount(near, minlength=k)
                     np.add.at(sums[j], near, part)
             j, i = np.nonzero(n)
-            yield pd.DataFrame({"j": j, "i": i, "n": n[j, i], "x": list(sums[j, i])})
+            if len(j):
+                yield pd.DataFrame({"j": j, "i": i, "n": n[j, i], "x": [v.tolist() for v in sums[j, i]]})
 
         parts = points.select("embedding").mapInPandas(run, "j long, i long, n double, x array<double>")
         total = parts.select("j", "i", "n", F.posexplode("x").alias("p", "x")).groupBy("j", "i", "p").agg((F.sum("x") / F.sum("n")).alias("x"))
@@ -107,7 +108,7 @@ def residuals(points: DataFrame, centroids: np.ndarray) -> DataFrame:
             if len(b):
                 x = matrix(b["embedding"])
                 near = nearest(x, centroids)
-                yield pd.DataFrame({"vec_id": b["vec_id"], "cluster": near, "embedding": list(x - centroids[near])})
+                yield pd.DataFrame({"vec_id": b["vec_id"], "cluster": near, "embedding": [v.tolist() for v in x - centroids[near]]})
 
     return points.select("vec_id", "embedding").mapInPandas(run, "vec_id long, cluster long, embedding array<double>")
 
@@ -154,7 +155,7 @@ def search(codes: DataFrame, index: IvfPq, queries: DataFrame, k: int, n_probe:
                 q = matrix(b["embedding"])
                 far = np.round((q * q).sum(1)[:, None] + (index.centroids**2).sum(1) - 2 * q @ index.centroids.T, 9)
                 near = np.argsort(far, axis=1, kind="stable")[:, :probes]
-                yield pd.DataFrame({"query_id": np.repeat(b["vec_id"].to_numpy(), probes), "cluster": near.ravel(), "q": list(np.repeat(q, probes, 0))})
+                yield pd.DataFrame({"query_id": np.repeat(b["vec_id"].to_numpy(), probes), "cluster": near.ravel(), "q": [v.tolist() for v in np.repeat(q, probes, 0)]})
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
