@@ -50,7 +50,8 @@ def scores(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, de
     rows = base.select("doc_id", tokens(F.col("text"), lowercase).alias("t")).select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term"))
     wanted = terms.select("term").distinct()
     tf = rows.join(wanted, "term", "left_semi").groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    # Reading tf keeps this branch's shuffle the same as the other's, so that it is reused.
+    df = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     stats = corpus_stats(base, lowercase)
     if delete_mode == "reference":
         stats = stats.select("avgdl").crossJoin(live.agg(F.count("*").alias("n")))
