@@ -81,6 +81,11 @@ def test_memory_monitor_and_rewriter():
     for role, text in (("system", "s"), ("user", "u"), ("assistant", "a")):
         m.add(role, text)
     assert m.history_text(3) == "用户: u\n助手: a" and len(m.history(0)) == 2
+    w = session.WorkingMemory()
+    w.set("a", 1)
+    copy = w.snapshot()
+    assert (w.get("a"), w.get("b", 2), "a" in w, w.pop("a"), w.pop("a"), copy) == (1, 2, True, 1, None, {"a": 1})
+    w.clear()
     k = session.KVCacheMonitor(1000)
     k.update(950)
     assert (k.free, k.is_low(), k.max_chunks()) == (50, True, 1)
