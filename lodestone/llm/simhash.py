@@ -237,4 +237,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     found = links(nodes).checkpoint()
     joined = components(found, nodes.select(F.col("fp").alias("node"), "name"))
     named = nodes.join(joined.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "name")["key"].alias("component"))
-    return rows.join(named, "fp").select(F.col("key").alias(key), "fp", "component")
+    # Dealt by other values than the nodes are, so that both sides are plain shuffles and adaptive
+    # execution may split the rows of a hot fingerprint.
+    named = named.select(F.bitwise_not("fp").alias("not_fp"), "component")
+    return rows.join(named, F.bitwise_not("fp") == F.col("not_fp")).select(F.col("key").alias(key), "fp", "component")
