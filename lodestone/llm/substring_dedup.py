@@ -78,7 +78,10 @@ def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", unit: s
     units = _units(df, key, text, unit)
     rank = F.struct(F.col("key").isNull().alias("none"), "key", "hash", "ordinal")
     firsts = units.groupBy("hi", "lo").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    repeats = units.join(firsts, ["hi", "lo"]).where(rank != F.col("first"))
+    # The join is dealt by other values than the counts, so that both of its sides are plain shuffles
+    # and adaptive execution may split what a hot digest brings to one task.
+    firsts = firsts.select(F.bitwise_not("hi").alias("not_hi"), F.bitwise_not("lo").alias("not_lo"), "first")
+    repeats = units.join(firsts, (F.bitwise_not("hi") == F.col("not_hi")) & (F.bitwise_not("lo") == F.col("not_lo"))).where(rank != F.col("first"))
     gone = repeats.groupBy("key", "hash").agg(F.sort_array(F.collect_set(F.struct("ordinal", F.col("first.key").alias("first")))).alias("gone"))
     kind = df.schema[key].dataType.simpleString()
 
