@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -39,23 +40,27 @@ def popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
+def syndromes_of(words: np.ndarray) -> np.ndarray:
+    """The remainders of 23-bit words by the generator."""
+    for bit in range(22, 10, -1):
+        words = np.where(words >> bit & 1, words ^ (GENERATOR << (bit - 11)), words)
+    return words
+
+
 @cache
 def golay() -> tuple[np.ndarray, np.ndarray]:
     """(errors [2048, 6] by syndrome, their number): the error patterns of a syndrome's fuzzy keys."""
-    words = np.arange(1 << 23)
-    syndrome = words.copy()
-    for bit in range(22, 10, -1):
-        syndrome = np.where(syndrome >> bit & 1, syndrome ^ (GENERATOR << (bit - 11)), syndrome)
-    weight = popcount(words)
-    near = np.flatnonzero(weight <= 3)
+    single = syndromes_of(1 << np.arange(23))
+    patterns = [np.array([sum(1 << b for b in c) for c in combinations(range(23), w)], np.int64) for w in range(5)]
+    found = [np.array([np.bitwise_xor.reduce(single[list(c)]) if c else 0 for c in combinations(range(23), w)], np.int64) for w in range(5)]
     leader = np.zeros(2048, np.int64)
-    leader[syndrome[near]] = near
+    for p, s in zip(patterns[:4], found[:4], strict=True):
+        leader[s] = p
     errors, n = np.repeat(leader[:, None], 6, 1), np.ones(2048, np.int64)
-    four = np.flatnonzero(weight == 4)
-    four = four[np.argsort(syndrome[four], kind="stable")]
+    order = np.argsort(found[4], kind="stable")
+    four, at = patterns[4][order], found[4][order]
     far = popcount(leader) == 3
-    mine = four[far[syndrome[four]]].reshape(-1, 5)
-    errors[syndrome[mine[:, 0]], 1:] = mine
+    errors[at[far[at]][::5], 1:] = four[far[at]].reshape(-1, 5)
     n[far] = 6
     return errors, n
 
@@ -63,10 +68,7 @@ def golay() -> tuple[np.ndarray, np.ndarray]:
 @cache
 def syndromes() -> np.ndarray:
     """The syndrome of every 23-bit word, by its high 12 and low 11 bits (the code is linear)."""
-    high = np.arange(1 << 12) << 11
-    for bit in range(22, 10, -1):
-        high = np.where(high >> bit & 1, high ^ (GENERATOR << (bit - 11)), high)
-    return high
+    return syndromes_of(np.arange(1 << 12) << 11)
 
 
 def fuzzy(segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
