@@ -22,6 +22,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +36,16 @@ STATES = 8
 PASSES = 4
 HEAD = 32_768
 CLASSES = 512
-#: Training documents that the states' first guess is drawn from.
-SEED_DOCS = 600
+#: Training documents that the states' first guess is drawn from, the bytes of packed symbols looked at
+#: in each, and the symbols that tell them apart.
+SEED_DOCS, SEED_BYTES, SEED_SYMBOLS = 600, 40_000, 4096
 #: Tokens of lower counts are never in the head, so that classes show what new tokens are like.
 LEAST_COUNT = 3
 END = b"\n"
-#: Tokens that advance together; bounds the memory of a worker.
-BLOCK = 200_000
+#: Tokens that advance together, and bytes of packed symbols that are looked at together. The larger
+#: they are, the fewer steps long documents take alone; they bound the memory of a worker.
+BLOCK = 600_000
+PACKED = 8_000_000
 
 
 def tokens(text: str) -> list[bytes]:
@@ -131,6 +135,10 @@ class Model:
     step: np.ndarray
     emit: np.ndarray
 
+    @cached_property
+    def by_symbol(self) -> np.ndarray:
+        return np.ascontiguousarray(self.emit.T)
+
 
 def blocks(lengths: np.ndarray) -> Iterator[np.ndarray]:
     """Places of sequences that advance together, by falling length."""
@@ -149,7 +157,7 @@ def forward(model: Model, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarr
     alphas and scales of every position (time-major, flat).
     """
     out, alphas, scales, live_at = np.zeros(len(starts)), [], [], []
-    emit = np.ascontiguousarray(model.emit.T)
+    emit = model.by_symbol
     a = None
     live = len(starts)
     for t in range(int(lengths[0]) if len(lengths) else 0):
@@ -169,7 +177,7 @@ def forward(model: Model, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarr
 def expected(model: Model, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, into: Model) -> float:
     """Add a block's expected counts to into; the block's log likelihood."""
     logs, alphas, scales, live_at = forward(model, ids, starts, lengths, keep=True)
-    emit = np.ascontiguousarray(model.emit.T)
+    emit = model.by_symbol
     k = len(model.start)
     beta = np.ones((0, k))
     symbols, gammas = [], []
@@ -202,19 +210,21 @@ def first_guess(sample: list[bytes], vocab: Vocabulary, states: int, seed: int =
     """States around the centres of a few documents' symbol shares (seeded k-means), mixed with the whole."""
     rng = np.random.default_rng(seed)
     whole = vocab.unigram()
-    shares = np.array([np.bincount(np.frombuffer(x, np.uint16), minlength=vocab.size) / max(1, len(x) // 2) for x in sample]) if sample else np.empty((0, vocab.size))
     emit = np.repeat(whole[None], states, 0) * np.exp(0.05 * rng.standard_normal((states, vocab.size)))
-    if len(shares) >= states:
-        x = np.sqrt(shares)
+    if len(sample) >= states:
+        ids = [np.frombuffer(x, np.uint16) for x in sample]
+        x = np.sqrt(np.array([np.bincount(np.minimum(i, SEED_SYMBOLS), minlength=SEED_SYMBOLS + 1)[:SEED_SYMBOLS] / len(i) for i in ids], np.float32))
+        far = lambda c: (x * x).sum(1) + (c * c).sum() - 2 * x @ c
         centres = [x[rng.integers(len(x))]]
         while len(centres) < states:
-            far = np.min([((x - c) ** 2).sum(1) for c in centres], 0)
-            centres.append(x[int(np.argmax(far * rng.random(len(x))))])
+            centres.append(x[int(np.argmax(np.min([far(c) for c in centres], 0) * rng.random(len(x))))])
         for _ in range(6):
-            near = np.argmin([((x - c) ** 2).sum(1) for c in centres], 0)
+            near = np.argmin([far(c) for c in centres], 0)
             centres = [x[near == j].mean(0) if (near == j).any() else c for j, c in enumerate(centres)]
-        near = np.argmin([((x - c) ** 2).sum(1) for c in centres], 0)
-        emit = np.array([0.4 * emit[j] + 0.6 * (shares[near == j].mean(0) if (near == j).any() else whole) for j in range(states)])
+        for j in range(states):
+            mine = [i for i, n in zip(ids, near, strict=True) if n == j]
+            if mine:
+                emit[j] = 0.4 * emit[j] + 0.6 * np.mean([np.bincount(i, minlength=vocab.size) / len(i) for i in mine], 0)
     emit /= emit.sum(1, keepdims=True)
     step = np.full((states, states), 0.1 / max(1, states - 1)) if states > 1 else np.ones((1, 1))
     if states > 1:
@@ -267,8 +277,10 @@ def sequences(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
 def train(seqs: DataFrame, vocab: Vocabulary, states: int = STATES, passes: int = PASSES) -> tuple[Model, list[float]]:
     """Baum-Welch over all rows of seqs (ids binary); the model and the log likelihood before each pass."""
     sc = seqs.sparkSession.sparkContext
-    sample = seqs.select("ids").orderBy(F.xxhash64("ids"), "ids").limit(SEED_DOCS).collect()
-    model, logs = first_guess([bytes(r.ids)[:40_000] for r in sample], vocab, states), []
+    # The choice is made on narrow rows; what every task sends is not documents.
+    chosen = seqs.select(F.xxhash64("ids").alias("h"), "row").orderBy("h", "row").limit(SEED_DOCS).select("row")
+    sample = seqs.join(F.broadcast(chosen), "row").select(F.substring("ids", 1, SEED_BYTES).alias("ids")).orderBy("ids").collect()
+    model, logs = first_guess([bytes(r.ids) for r in sample], vocab, states), []
     size = vocab.size
     schema = ", ".join(["slot long", *(f"v{j} double" for j in range(states))])
     for _ in range(passes):
@@ -278,7 +290,7 @@ def train(seqs: DataFrame, vocab: Vocabulary, states: int = STATES, passes: int
             m = shared.value
             into = Model(np.zeros(states), np.zeros((states, states)), np.zeros((states, size)))
             log = 0.0
-            for b in slices(batches, "ids"):
+            for b in slices(batches, "ids", PACKED):
                 ids, starts, lengths = _packed(b)
                 for block in blocks(lengths):
                     log += expected(m, ids, starts[block], lengths[block], into)
@@ -318,7 +330,7 @@ def language_scores(docs: DataFrame, held_out: Column, key: str = "doc_id", text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, v = shared.value
         base = np.concatenate((np.log10(v.counts + 1) - unit, np.zeros(CLASSES)))
-        for b in slices(batches, "ids"):
+        for b in slices(batches, "ids", PACKED):
             ids, starts, lengths = _packed(b)
             logs = np.zeros(len(lengths))
             for block in blocks(lengths):
