@@ -243,9 +243,9 @@ def normalised(counts: Model, vocab: Vocabulary) -> Model:
 
 
 def sequences(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """(row, key, held_out, n_tokens, ids binary, tail array<binary>) of (key, held_out, text).
+    """(row, key, held_out, n_tokens, ids binary, tail array<binary>, tail_n array<int>) of (key, held_out, text).
 
-    ids are uint16 symbols; tail holds the tokens outside of the head, repeats included. row
+    ids are uint16 symbols; tail holds the tokens outside of the head, tail_n how often they come. row
     numbers the rows of a task and is only meaningful once the result is written.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocab)
@@ -256,7 +256,7 @@ def sequences(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
         get, head = v.head.get, len(v.head)
         row = TaskContext.get().partitionId() << 40
         for b in slices(batches, "text"):
-            ids, tails, n = [], [], []
+            ids, tails, counts, n = [], [], [], []
             for t in texts(b):
                 words = tokens(t)
                 found = [get(w, -1) for w in words]
@@ -265,13 +265,15 @@ def sequences(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
                     codes = iter([head + token_class(w) for w in tail])
                     found = [s if s >= 0 else next(codes) for s in found]
                 ids.append(np.array(found, np.uint16).tobytes())
-                tails.append(tail)
+                each = Counter(tail)
+                tails.append(list(each))
+                counts.append(list(each.values()))
                 n.append(len(words))
             rows = np.arange(row, row + len(n))
             row += len(n)
-            yield pa.RecordBatch.from_arrays([pa.array(rows), b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(tails, pa.list_(pa.binary()))], ["row", "key", "held_out", "n_tokens", "ids", "tail"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows), b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(tails, pa.list_(pa.binary())), pa.array(counts, pa.list_(pa.int32()))], ["row", "key", "held_out", "n_tokens", "ids", "tail", "tail_n"])
 
-    return docs.select("key", "held_out", "text").mapInArrow(run, f"row long, key {kind}, held_out boolean, n_tokens long, ids binary, tail array<binary>")
+    return docs.select("key", "held_out", "text").mapInArrow(run, f"row long, key {kind}, held_out boolean, n_tokens long, ids binary, tail array<binary>, tail_n array<int>")
 
 
 def train(seqs: DataFrame, vocab: Vocabulary, states: int = STATES, passes: int = PASSES) -> tuple[Model, list[float]]:
@@ -343,7 +345,7 @@ def language_scores(docs: DataFrame, held_out: Column, key: str = "doc_id", text
             )
 
     heads = seqs.select("row", "key", "held_out", "n_tokens", "ids").mapInArrow(run, f"row long, key {kind}, held_out boolean, n_tokens long, known long, base double, log double")
-    tail = seqs.select("row", F.explode("tail").alias("token")).groupBy("row", "token").agg(F.count("*").alias("n"))
+    tail = seqs.select("row", F.inline(F.arrays_zip(F.col("tail").alias("token"), F.col("tail_n").alias("n"))))
     c = F.coalesce("c", F.lit(0))
     by_class = lambda a: F.element_at(F.array(*(F.lit(float(x)) for x in a)), _class(F.col("token")) + 1)
     within = F.when(c > 0, (c - vocab.discount) / by_class(np.maximum(1, vocab.class_n))).otherwise(by_class(vocab.unseen()))
