@@ -42,6 +42,8 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 #: Costs (negative log probabilities) of the channel: a symbol stands for a letter, means nothing, a leet symbol means nothing; stretches, doublings.
 SUBSTITUTED, SKIPPED, DROPPED, STRETCHED, DOUBLED = 1.0, 2.5, 5.0, 0.5, 1.2
 SEPARATORS = ".-_*~'`/\\,·"
+#: Cost of a word's end between letters set apart; that of the end itself is the language model's.
+CUT = 0.5
 EDGES = ".,;:?\"'()[]{}<>«»“”„…"
 #: Letters of the language model: 0 is a word's edge, 1-26 a-z, 27 any other letter.
 ALPHABET = 28
@@ -107,13 +109,44 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
+def spaced_lattice(letters: str) -> list[list[tuple[str, float]]]:
+    """Segments of letters set apart, with a segment between any two of them where a word may end."""
+    out: list[list[tuple[str, float]]] = []
+    for m in re.finditer(r"(.)\1*", letters, re.S):
+        ways = lattice(m[0])[0]
+        if len(m[0]) > 1 and m[1] not in LEET:  # the first of two equal letters may end a word
+            ways = [*ways, (f"{m[1]} {m[1]}", CUT + (len(m[0]) > 2) * STRETCHED)]
+        out += [ways, [("", 0.0), (" ", CUT)]]
+    return out[:-1]
+
+
+def windows(ways: list[list[tuple[str, float]]], costs: np.ndarray, near: float) -> list[str]:
+    """The words on the best paths through a lattice with word cuts, those of the likeliest path first.
+
+    Long lattices are decoded in windows of LONGEST segments that overlap by half; a word that
+    touches the edge of a window inside of the lattice may be a part and is left to the next window.
+    """
+    found: dict[str, None] = {}
+    for start in range(0, max(1, len(ways) - LONGEST // 2), LONGEST // 2):
+        inside = [start > 0, start + LONGEST < len(ways)]
+        for path in walk(ways[start : start + LONGEST], costs, near):
+            parts = path.split(" ")
+            found.update(dict.fromkeys(x for x in parts[inside[0] : len(parts) - inside[1]] if x))
+    return list(found)
+
+
 def decode(token: str, costs: np.ndarray, near: float = 0.0, paths: int = 8) -> list[str]:
-    """The likeliest words behind a token, best first: those that cost at most near more than the best.
+    """The likeliest words behind a token, best first: those that cost at most near more than the best."""
+    return walk(lattice(token), costs, near, paths)
+
+
+def walk(lattice: list[list[tuple[str, float]]], costs: np.ndarray, near: float = 0.0, paths: int = 8) -> list[str]:
+    """The likeliest strings through a lattice, best first: those that cost at most near more than the best.
 
-    Viterbi over the token's lattice; states are the last two letters, and each keeps some paths.
+    Viterbi; states are the last two letters, and each keeps some paths.
     """
     best: dict[tuple[int, int], list[tuple[float, str]]] = {(0, 0): [(0.0, "")]}
-    for ways in lattice(token):
+    for ways in lattice:
         step: dict[tuple[int, int], dict[str, float]] = {}
         for state, entries in best.items():
             for string, extra in ways:
@@ -138,7 +171,8 @@ def decode(token: str, costs: np.ndarray, near: float = 0.0, paths: int = 8) ->
 
 
 HIDDEN = re.compile(rf"[^\W\d_][{re.escape(''.join(LEET) + SEPARATORS)}]+[^\W\d_]|[{re.escape(''.join(LEET))}][^\W\d_]|[^\W\d_][{re.escape(''.join(LEET))}]|([^\W\d_])\1\1")
-SPACED = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+])(?:[ .*_-]{1,2}(?:[^\W_]|[@$!|+])){2,}(?!\S)")
+#: Letters set apart, with punctuation around them at most.
+SPACED = re.compile(rf"(?<![^\s{re.escape(EDGES)}])(?:[^\W_]|[@$!|+])(?:[\s.*_-]{{1,2}}(?:[^\W_]|[@$!|+])){{2,}}(?=[!{re.escape(EDGES)}]*(?!\S))")
 DECORATED = re.compile(r"^([!$%&*#+|])\1+|([!$%&*#+|])\2+$")
 
 
@@ -147,7 +181,12 @@ NEAR = 8.0
 
 
 def restored(token: str, costs: np.ndarray, near: float = 0.0) -> list[str]:
-    """The words of a lower-case token, likeliest first: edges off, decoded if something seems hidden in it."""
+    """The words of a lower-case token, likeliest first: edges off, decoded if something seems hidden in it.
+
+    Letters set apart come with single spaces between them and may be several words.
+    """
+    if " " in token:
+        return windows(spaced_lattice(token.replace(" ", "")), costs, near) or [""]
     core = token.strip(EDGES)
     for _ in range(2):
         core = DECORATED.sub("", core).strip(EDGES)
@@ -155,13 +194,14 @@ def restored(token: str, costs: np.ndarray, near: float = 0.0) -> list[str]:
     return decode(core, costs, near) if len(core) <= LONGEST and HIDDEN.search(core) else [core.strip("!$%&*#+|-_")]
 
 
-#: Code points of the longest token that is decoded; longer ones are scored as they are.
+#: Code points of the longest token that is decoded, and segments of letters set apart that are decoded at once.
 LONGEST = 64
 
 
-def restore(token: str, costs: np.ndarray) -> str:
-    """The likeliest word of a token."""
-    return restored(token, costs)[0]
+def restore(token: str, costs: np.ndarray) -> list[str]:
+    """The likeliest word of a token; those of letters set apart."""
+    found = restored(token, costs)
+    return found if " " in token else found[:1]
 
 
 #: Lengths of the beginnings and ends that are features of longer words.
@@ -217,7 +257,7 @@ class Toxicity:
         """Tokens to look up: lower-cased words, and runs of single letters put together."""
         low = text.lower()
         out = set(low.split())
-        out.update(re.sub(r"[ .*_-]+", ".", m) for m in SPACED.findall(low))
+        out.update(" ".join(re.sub(r"[\s.*_-]", "", m)) for m in SPACED.findall(low))
         return out
 
     def rate(self, token: str) -> float:
@@ -274,7 +314,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(word, number of documents, number of toxic ones), summed over each slice; the word '' counts the documents."""
-        plain: dict[str, str] = {}
+        plain: dict[str, list[str]] = {}
         for b in slices(batches, "text"):
             count: dict[str, list[int]] = {}
             if len(plain) > TABLE_WORDS:
@@ -284,7 +324,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                 for token in bare.words(t):
                     if token not in plain:
                         plain[token] = restore(token, costs)
-                    mine.add(plain[token])
+                    mine.update(plain[token])
                 for w in mine:
                     n = count.setdefault(w, [0, 0])
                     n[0] += 1
