@@ -171,6 +171,8 @@ def walk(lattice: list[list[tuple[str, float]]], costs: np.ndarray, near: float
 
 
 HIDDEN = re.compile(rf"[^\W\d_][{re.escape(''.join(LEET) + SEPARATORS)}]+[^\W\d_]|[{re.escape(''.join(LEET))}][^\W\d_]|[^\W\d_][{re.escape(''.join(LEET))}]|([^\W\d_])\1\1")
+#: A letter with an equal one beside it: one of them may be meant.
+TWICE = re.compile(r"([^\W\d_])\1")
 #: Letters set apart, with punctuation around them at most.
 SPACED = re.compile(rf"(?<![^\s{re.escape(EDGES)}])(?:[^\W_]|[@$!|+])(?:[\s.*_-]{{1,2}}(?:[^\W_]|[@$!|+])){{2,}}(?=[!{re.escape(EDGES)}]*(?!\S))")
 DECORATED = re.compile(r"^([!$%&*#+|])\1+|([!$%&*#+|])\2+$")
@@ -183,25 +185,46 @@ NEAR = 8.0
 def restored(token: str, costs: np.ndarray, near: float = 0.0) -> list[str]:
     """The words of a lower-case token, likeliest first: edges off, decoded if something seems hidden in it.
 
-    Letters set apart come with single spaces between them and may be several words.
+    Letters set apart come with single spaces between them and may be several words. A doubled
+    letter is only tried as one where words beside the likeliest are asked for.
     """
     if " " in token:
         return windows(spaced_lattice(token.replace(" ", "")), costs, near) or [""]
     core = token.strip(EDGES)
     for _ in range(2):
         core = DECORATED.sub("", core).strip(EDGES)
-    # Very long tokens hide no word that a lattice over all of them would find.
-    return decode(core, costs, near) if len(core) <= LONGEST and HIDDEN.search(core) else [core.strip("!$%&*#+|-_")]
+    plain = core.strip("!$%&*#+|-_")
+    if not HIDDEN.search(core):
+        return undoubled(plain) if near and TWICE.search(plain) else [plain]
+    ways = lattice(core)
+    if len(ways) <= LONGEST:
+        return walk(ways, costs, near)
+    # More than one word: words end at separators, and what lies between them may hide one as well.
+    ways = [[*w, *((" ", c + CUT) for x, c in w)] if [x for x, _ in w] == [""] else w for w in ways]
+    pieces = [x for x in re.split(f"[{re.escape(SEPARATORS)}]+", core) if 1 < len(x) < len(core)]
+    return list(dict.fromkeys([plain, *windows(ways, costs, near), *(w for x in pieces for w in restored(x, costs, near))]))
+
+
+def undoubled(word: str) -> list[str]:
+    """A word whose only stretches are doubled letters, with each of them as two or as one: itself, then the others."""
+    at, out = [m.start() for m in TWICE.finditer(word)], [word]
+    if len(at) > MOST_DOUBLED:  # no word has so many: all or none are meant
+        return [word, TWICE.sub(r"\1", word)]
+    for k in reversed(at):
+        out += [x[:k] + x[k + 1 :] for x in out]
+    return out
 
 
-#: Code points of the longest token that is decoded, and segments of letters set apart that are decoded at once.
+#: Doubled letters of one word that are taken one by one.
+MOST_DOUBLED = 6
+#: Segments of the longest lattice that is decoded at once, stretches being one segment.
 LONGEST = 64
 
 
 def restore(token: str, costs: np.ndarray) -> list[str]:
-    """The likeliest word of a token; those of letters set apart."""
+    """The likeliest word of a token; those of letters set apart and of a very long token."""
     found = restored(token, costs)
-    return found if " " in token else found[:1]
+    return found if found and (" " in token or len(token) > LONGEST) else found[:1]
 
 
 #: Lengths of the beginnings and ends that are features of longer words.

@@ -34,3 +34,13 @@ def test_clean_phrases_set_apart_stay_clean(spark, model):  # noqa: F811
             tried += 1
             assert scored(model, " ".join(re.sub("[^a-z]", "", "".join(words[k : k + 4]).lower()))) < toxicity.THRESHOLD
     assert tried > 100
+
+
+@pytest.mark.parametrize("hidden", ["idi" + "o" * 70 + "t", "id" + "d" * 90 + "iot", "iddiot", "morron", ".".join("youareastupididiotandaloserandnothing"), "and-so-it-is-that-the-other-thing-and-the-same-one-again-and-again-you-1d1ot-you"])
+def test_stretches_doubles_and_long_tokens(model, hidden):  # noqa: F811
+    assert scored(model, hidden) >= toxicity.THRESHOLD
+
+
+@pytest.mark.parametrize("clean", ["good", "a" * 100000 + "1b", "https://example.org/" + "and/the/other/thing/" * 20 + "2024"])
+def test_clean_stretches_doubles_and_long_tokens(model, clean):  # noqa: F811
+    assert scored(model, clean) < toxicity.THRESHOLD
