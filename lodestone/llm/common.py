@@ -41,6 +41,18 @@ def bound(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """df as one struct column row, so that no name of its columns can clash with an operator's."""
+    return df.select(F.struct(*(df[f"`{c}`"] for c in df.columns)).alias("row"))
+
+
+def unpacked(columns: list[str], new: dict[str, Column] | None = None) -> list[Column]:
+    """The columns of a packed row again; those in new are replaced, or added at the end."""
+    new = dict(new or {})
+    same = [F.col("row").getField(c) if c not in new else new.pop(c) for c in columns]
+    return [*(x.alias(c) for x, c in zip(same, columns, strict=True)), *(x.alias(c) for c, x in new.items())]
+
+
 def use_checkpoints(spark: SparkSession) -> None:
     """Make checkpoint() usable: the session's folder if it names one, else a local one for tests.
 

@@ -1,14 +1,19 @@
 """Line dedup by a fixed-depth template tree.
 
 A line's tokens with digits are variable fields. The tree parses a line by its number of tokens,
-then by its DEPTH leading tokens; at the leaf it stands for up to three templates: all of its
-remaining tokens, and where there are enough of them, either half with the other half variable.
-Lines of one leaf that agree in half of their tokens thus meet in one template, without comparing
-pairs. A template recurs if it comes in at least MIN_DOCUMENTS documents with different lines
-around it: copies of a document show the same line in the same surroundings and count once, while
-boilerplate has others everywhere. Recurring lines stay in the first document that has them, and
-are dropped from all others. Everything is built-in DataFrame functions; what is shuffled for the
-count are 64-bit hashes, not lines.
+then by its DEPTH leading tokens. At a leaf the different lines are compared place by place: a token
+that fewer than MIN_DOCUMENTS of them, or fewer than one in SHARE, have at its place is a variable
+field as well. A line stands for two templates, then: all of its tokens, and its tokens without the
+variable fields of the leaf, if these are at most one token in MOST_VARIABLE.
+
+A template recurs if it comes in at least MIN_DOCUMENTS different texts of which either the lines of
+such templates make up no more than half (their other lines show that they are not copies of each
+other), or that have different lines around it. Copies of a document share most of their lines in
+the same surroundings and so make no template recur, while boilerplate does, one line or a block of
+them. Recurring lines stay in the first document that has them, and are dropped from all others.
+
+Everything is built-in DataFrame functions. What is shuffled for the counts are 64-bit hashes, not
+lines; leaves that have enough different lines are looked up once more, and only they send tokens.
 """
 
 from __future__ import annotations
@@ -16,14 +21,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import SPACES, bound, use_checkpoints, words
+from lodestone.llm.common import SPACES, bound, packed, unpacked, use_checkpoints, words
 
 DEPTH = 3
-#: Halves stand for templates from so many tokens after the leading ones.
+#: Leaves are looked at in lines of so many tokens after the leading ones.
 LEAST_REST = 4
 MIN_DOCUMENTS = 5
+SHARE = 4
+MOST_VARIABLE = 3
 VARIABLE = "<*>"
 FIELD = r"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*"
+#: Leaves are told apart by so many values before the exact join; the broadcast is of no more rows.
+LEAF_BUCKETS = 1 << 17
 
 
 def _lines(text: Column) -> Column:
@@ -34,28 +43,60 @@ def _lines(text: Column) -> Column:
     return bound(filled, lambda a: F.transform(a, lambda s, k: F.struct(s["line"].alias("line"), s["at"].alias("at"), F.xxhash64(beside(a, k - 1), beside(a, k + 1)).alias("context"))))
 
 
-def _templates(line: Column) -> Column:
-    """Hashes of the line's templates."""
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, FIELD, VARIABLE)).otherwise(line)
+def _masked(line: Column) -> Column:
+    """The line's tokens, those with digits replaced."""
+    return words(F.when(line.rlike("[0-9]"), F.regexp_replace(line, FIELD, VARIABLE)).otherwise(line))
 
-    def leaf(w: Column) -> Column:
-        rest = F.size(w) - DEPTH
-        half = F.floor(rest / 2).cast("int")
-        whole = F.xxhash64(F.lit("whole"), F.size(w), w)
-        head = F.xxhash64(F.lit("head"), F.size(w), F.slice(w, 1, half + DEPTH))
-        tail = F.xxhash64(F.lit("tail"), F.size(w), F.slice(w, 1, DEPTH), F.slice(w, half + DEPTH + 1, F.size(w)))
-        return F.when(rest >= LEAST_REST, F.array(whole, head, tail)).otherwise(F.array(whole))
 
-    return bound(words(masked), leaf)
+def _whole(w: Column) -> Column:
+    return F.xxhash64(F.lit("line"), F.size(w), w)
+
+
+def _leaf(w: Column) -> Column:
+    """Hash of the leaf of a line's tokens, null for short lines."""
+    return F.when(F.size(w) >= DEPTH + LEAST_REST, F.xxhash64(F.lit("leaf"), F.size(w), F.slice(w, 1, DEPTH)))
 
 
 def _marks(text: Column) -> Column:
-    """Array of (template, context, at, leads) of a text's lines; leads marks a template's lowest context."""
-    each = F.flatten(F.transform(_lines(text), lambda s: F.transform(_templates(s["line"]), lambda t: F.struct(t.alias("template"), s["context"].alias("context"), s["at"].alias("at")))))
-    return bound(
-        F.sort_array(each),
-        lambda a: F.transform(a, lambda m, i: F.struct(m["template"].alias("template"), m["context"].alias("context"), m["at"].alias("at"), (~F.coalesce(F.get(a, i - 1)["template"] == m["template"], F.lit(False))).alias("leads"))),
-    )
+    """Array of (at, context, size, whole, leaf, total) of a text's lines; total is the text's words."""
+
+    def mark(s: Column) -> Column:
+        return bound(_masked(s["line"]), lambda w: F.struct(s["at"].alias("at"), s["context"].alias("context"), F.size(w).cast("long").alias("size"), _whole(w).alias("whole"), _leaf(w).alias("leaf")))
+
+    def summed(a: Column) -> Column:
+        total = F.aggregate(a, F.lit(0).cast("long"), lambda n, m: n + m["size"])
+        return bound(total, lambda t: F.transform(a, lambda m: F.struct(*(m[x].alias(x) for x in ("at", "context", "size", "whole", "leaf")), t.alias("total"))))
+
+    return bound(F.transform(_lines(text), mark), summed)
+
+
+def _meet(rows: DataFrame, few: DataFrame, on: str) -> DataFrame:
+    """rows joined with few (one row for each value of on). The join is dealt by other values than the
+    counts were, so that both sides are plain shuffles and adaptive execution may split a hot value's rows."""
+    return rows.join(few.withColumn("_on", F.bitwise_not(on)).drop(on), F.bitwise_not(rows[on]) == F.col("_on")).drop("_on")
+
+
+def _generalised(df: DataFrame, text: str, seen: DataFrame) -> DataFrame:
+    """(whole, template) of the lines that have a template without their leaf's variable fields."""
+    leaves = seen.where("leaf IS NOT NULL").select("leaf", "whole").distinct().groupBy("leaf").agg(F.count("*").alias("m")).where(F.col("m") >= MIN_DOCUMENTS).checkpoint()
+    bucket = lambda leaf: F.pmod(leaf, F.lit(LEAF_BUCKETS))
+    # At most LEAF_BUCKETS rows whatever the corpus: a filter before the exact join, which alone decides.
+    some = F.broadcast(leaves.select(bucket(F.col("leaf")).alias("bucket")).distinct())
+    each = df.select(F.explode(F.split(F.col(text), "\n", -1)).alias("line")).select(_masked(F.col("line")).alias("w"))
+    each = each.select("w", _leaf(F.col("w")).alias("leaf")).where("leaf IS NOT NULL")
+    each = each.join(some, bucket(F.col("leaf")) == F.col("bucket"), "left_semi")
+    tokens = F.transform(F.slice("w", F.lit(DEPTH + 1), F.size("w")), lambda x: F.xxhash64(x))
+    each = each.select("leaf", _whole(F.col("w")).alias("whole"), tokens.alias("tokens")).dropDuplicates(["leaf", "whole"])
+    lines = _meet(each, leaves, "leaf").checkpoint()
+    at = lines.select("leaf", "m", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.count("*").alias("n"), F.first("m").alias("m"))
+    fixed = F.when((F.col("n") >= MIN_DOCUMENTS) & (F.col("n") * SHARE >= F.col("m")), F.col("token"))
+    places = at.groupBy("leaf", "place").agg(F.collect_list(fixed).alias("fixed"))  # SHARE tokens at most
+    places = places.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("place", "fixed"))).alias("places"))
+    kept = F.zip_with("tokens", F.col("places.fixed"), lambda t, fixed: F.when(F.array_contains(fixed, t), t).otherwise(F.lit(0)))
+    out = _meet(lines, places, "leaf").select("whole", "leaf", kept.alias("kept"))
+    out = out.withColumn("masked", F.size(F.filter("kept", lambda x: x == 0)))
+    fit = (F.col("masked") > 0) & (F.col("masked") * MOST_VARIABLE <= F.size("kept") + DEPTH)
+    return out.where(fit).select("whole", F.xxhash64(F.lit("fields"), "leaf", "kept").alias("template"))
 
 
 def drop_recurring(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = MIN_DOCUMENTS) -> DataFrame:
@@ -64,23 +105,37 @@ def drop_recurring(df: DataFrame, key: str = "doc_id", text: str = "text", least
     Every input row stays, with all its columns; a null text stays null, and a text may become
     empty. Lines without a word are never dropped. Rows are told apart by key and text: repeated
     rows are one document and lose the same lines. The first document is the one of lowest key
-    (null keys last). Templates meet by 64-bit hashes.
+    (null keys last). Templates meet by 64-bit hashes. Very long texts and lines are whole; a text's
+    lines are in one row of one task. An empty table gives no rows. Other columns may have any name;
+    one named _dropped is replaced.
     """
     use_checkpoints(df.sparkSession)
-    doc = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("text"))
-    seen = df.where(F.col(text).isNotNull()).select(doc.alias("doc"), F.inline(_marks(F.col(text)))).checkpoint()
-    # A document counts by one of its contexts, a context by its first document.
-    around = seen.where("leads").groupBy("template", "context").agg(F.min("doc").alias("doc"))
-    recurring = around.groupBy("template").agg(F.count("*").alias("n"), F.min("doc").alias("first")).where(F.col("n") >= least)
-    gone = seen.join(recurring.select("template", "first"), "template").where("doc <> first")
-    gone = gone.groupBy("doc").agg(F.sort_array(F.collect_set("at")).alias("_dropped"))
-    gone = gone.select(F.col("doc.key").alias("_key"), F.col("doc.text").alias("_text"), "_dropped")
-    rows = df.withColumn("_hash", F.xxhash64(F.col(text)))
-    joined = rows.join(gone, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_hash") == F.col("_text")), "left")
+    rows = packed(df)
+    of = lambda c: F.col("row").getField(c)
+    texts = rows.where(of(text).isNotNull()).select(of(key).alias("key"), of(text).alias("text"))
+    seen = texts.select("key", F.xxhash64("text").alias("hash"), F.inline(_marks(F.col("text")))).checkpoint()
+    columns = ["key", "hash", "at", "context", "size", "total"]
+    lines = seen.select(*columns, F.col("whole").alias("template"))
+    fields = _generalised(texts, "text", seen).checkpoint()
+    lines = lines.unionByName(_meet(seen, fields, "whole").select(*columns, "template"))
+    often = lines.select("template", "hash").distinct().groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    marked = _meet(lines, often.select("template"), "template").checkpoint()
+    # Texts of which no more than half is in such lines.
+    share = marked.groupBy("hash", "at").agg(F.max("size").alias("size"), F.max("total").alias("total")).groupBy("hash")
+    own = share.agg((2 * F.sum("size") <= F.max("total")).alias("own"))
+    doc = F.struct(F.col("key").isNull().alias("none"), "key", "hash")
+    by = _meet(marked, own, "hash").groupBy("template", "hash").agg(F.min(doc).alias("doc"), F.min("context").alias("context"), F.max("own").alias("own"))
+    recurring = by.groupBy("template").agg(F.min("doc").alias("first"), F.count_if("own").alias("n"), F.count_distinct("context").alias("around"))
+    recurring = recurring.where((F.col("n") >= least) | (F.col("around") >= least)).select("template", "first")
+    gone = _meet(marked, recurring, "template").where(doc != F.col("first"))
+    gone = gone.groupBy("key", "hash").agg(F.sort_array(F.collect_set("at")).alias("dropped"))
+    gone = gone.select(F.col("key").alias("of_key"), F.col("hash").alias("of_hash"), "dropped")
+    rows = rows.withColumn("hash", F.xxhash64(of(text)))
+    joined = rows.join(gone, of(key).eqNullSafe(F.col("of_key")) & (F.col("hash") == F.col("of_hash")), "left")
 
     def kept(lines: Column) -> Column:
-        ends = F.concat("_dropped", F.array(F.size(lines)))
+        ends = F.concat("dropped", F.array(F.size(lines)))
         return bound(ends, lambda e: F.flatten(F.transform(e, lambda d, i: bound(F.coalesce(F.get(e, i - 1), F.lit(-1)), lambda p: F.slice(lines, p + 2, d - p - 1)))))
 
-    new = F.when(F.col("_dropped").isNull(), F.col(text)).otherwise(F.array_join(bound(F.split(F.col(text), "\n", -1), kept), "\n"))
-    return joined.withColumn(text, new).select(*df.columns, F.coalesce("_dropped", F.array().cast("array<int>")).alias("_dropped"))
+    new = F.when(F.col("dropped").isNull(), of(text)).otherwise(F.array_join(bound(F.split(of(text), "\n", -1), kept), "\n"))
+    return joined.select(*unpacked(df.columns, {text: new, "_dropped": F.coalesce("dropped", F.array().cast("array<int>"))}))

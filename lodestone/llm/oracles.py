@@ -56,13 +56,19 @@ LINES = rf"""
 WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL),
 a AS (SELECT doc_id, text, i - 1 AS pos, ls[i] AS line FROM (SELECT doc_id, text, string_split(text, chr(10)) AS ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
 n AS (SELECT *, lag(line) OVER o AS before, lead(line) OVER o AS after FROM a WHERE regexp_matches(line, '{WORD}') WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
-w AS (SELECT *, list_transform(regexp_extract_all(line, '{WORD}'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '{line_dedup.VARIABLE}' ELSE x END) AS w FROM n),
-h AS (SELECT *, greatest(0, (len(w) - {line_dedup.DEPTH}) // 2) AS half FROM w),
-m AS (SELECT doc_id, pos, before, after, unnest(CASE WHEN len(w) - {line_dedup.DEPTH} >= {line_dedup.LEAST_REST}
-  THEN [['whole', len(w)::VARCHAR] || w, ['head', len(w)::VARCHAR] || w[:half + {line_dedup.DEPTH}], ['tail', len(w)::VARCHAR] || w[:{line_dedup.DEPTH}] || w[half + {line_dedup.DEPTH + 1}:]] ELSE [['whole', len(w)::VARCHAR] || w] END) AS template FROM h),
-e AS (SELECT template, doc_id, min([before, after]) AS context FROM m GROUP BY ALL),
-r AS (SELECT template, min(doc_id) AS first FROM e GROUP BY template HAVING count(DISTINCT context) >= {line_dedup.MIN_DOCUMENTS}),
-g AS (SELECT DISTINCT doc_id, pos FROM m JOIN r USING (template) WHERE doc_id <> first)
-SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (g.pos IS NULL), '') AS text, count(g.pos) AS n_dropped FROM a LEFT JOIN g USING (doc_id, pos) GROUP BY doc_id"""
+w AS (SELECT doc_id, text, pos, before, after, list_transform(regexp_extract_all(line, '{WORD}'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '{line_dedup.VARIABLE}' ELSE x END) AS w FROM n),
+l AS (SELECT DISTINCT w, [len(w)::VARCHAR] || w[:{line_dedup.DEPTH}] AS leaf FROM w WHERE len(w) >= {line_dedup.DEPTH + line_dedup.LEAST_REST}),
+c AS (SELECT leaf, w, m FROM (SELECT *, count(*) OVER (PARTITION BY leaf) AS m FROM l) WHERE m >= {line_dedup.MIN_DOCUMENTS}),
+p AS (SELECT leaf, w, m, unnest(range({line_dedup.DEPTH + 1}, len(w) + 1)) AS place FROM c),
+f AS (SELECT leaf, place, w[place] AS token FROM p GROUP BY ALL HAVING count(*) >= {line_dedup.MIN_DOCUMENTS} AND count(*) * {line_dedup.SHARE} >= any_value(m)),
+k AS (SELECT p.leaf, p.w, list(f.token ORDER BY p.place) AS kept, count(*) - count(f.token) AS masked FROM p LEFT JOIN f ON f.leaf = p.leaf AND f.place = p.place AND f.token = p.w[p.place] GROUP BY ALL),
+g AS (SELECT w, ['fields'] || leaf || list_transform(kept, lambda x: coalesce(x, '')) AS template FROM k WHERE masked > 0 AND masked * {line_dedup.MOST_VARIABLE} <= len(w)),
+m AS (SELECT doc_id, text, pos, before, after, len(w) AS size, ['line'] || w AS template FROM w UNION ALL SELECT doc_id, text, pos, before, after, len(w), template FROM w JOIN g USING (w)),
+s AS (SELECT * FROM m WHERE template IN (SELECT template FROM m GROUP BY template HAVING count(DISTINCT text) >= {line_dedup.MIN_DOCUMENTS})),
+o AS (SELECT text FROM (SELECT DISTINCT text, pos, size FROM s) JOIN (SELECT text, sum(len(w)) / count(DISTINCT doc_id) AS total FROM w GROUP BY text) USING (text) GROUP BY text HAVING 2 * sum(size) <= any_value(total)),
+e AS (SELECT template, text, min(doc_id) AS doc_id, min([before, after]) AS context FROM s GROUP BY ALL),
+r AS (SELECT template, min(doc_id) AS first FROM e GROUP BY template HAVING count(DISTINCT context) >= {line_dedup.MIN_DOCUMENTS} OR count(*) FILTER (text IN (SELECT text FROM o)) >= {line_dedup.MIN_DOCUMENTS}),
+z AS (SELECT DISTINCT doc_id, pos FROM s JOIN r USING (template) WHERE doc_id <> first)
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (z.pos IS NULL), '') AS text, count(z.pos) AS n_dropped FROM a LEFT JOIN z USING (doc_id, pos) GROUP BY doc_id"""
 
 ORACLE = {"op4_quality_rules": QUALITY, "op5_mixing": MIXING, "op9_line_dedup": LINES}
