@@ -1,10 +1,11 @@
 """Threshold-scaled sketches of documents.
 
 A sketch keeps every hash of a text's five-word shingles below a fixed fraction of the hash range,
-and always the smallest hash, so that short texts have one too. Sketches of parts merge by union
-(and the minimum), and since a hash is kept or not by its value alone, the share of one sketch
-found in another estimates containment however unequal the documents are. Everything is built-in
-DataFrame functions; a sketch is an array of sorted longs.
+and the LEAST smallest hashes in any case, so that short texts have a sketch as well. Sketches of
+parts merge by union. Two sketches are compared up to the lower of their cuts, up to which both are
+complete, so the share of one found in the other estimates containment however unequal the
+documents are. Where a short text has no hash below the cut of a long one, nothing is known of its
+containment. Everything is built-in DataFrame functions; a sketch is an array of sorted longs.
 """
 
 from __future__ import annotations
@@ -12,13 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bound, words
+from lodestone.llm.common import bound, use_checkpoints, words
 
 SHINGLE = 5
 #: One hash in so many is kept.
 SCALE = 8
-#: Documents of one bucket of successors: a bucket spans 2^BUCKET_BITS ids.
-BUCKET_BITS = 7
+#: So many of the smallest hashes are kept in any case; texts with fewer are kept whole.
+LEAST = 32
+BELOW = -(2**63) + 2**64 // SCALE
 
 
 def _hashes(w: Column) -> Column:
@@ -36,34 +38,52 @@ def _hashes(w: Column) -> Column:
     return F.when(F.size(w) == 0, none).when(n < 1, F.array(F.xxhash64(F.size(w), w))).otherwise(five)
 
 
-def sketch(text: Column) -> Column:
-    """The sketch of a text; null and blank texts have an empty one. Equal words give equal sketches."""
-    below = F.lit(-(2**63) + 2**64 // SCALE)
+def _keep(h: Column) -> Column:
+    """The sketch of an array of hashes."""
 
-    def keep(h: Column) -> Column:
-        low = bound(F.filter(h, lambda x: x < below), lambda x: F.sort_array(F.array_distinct(x)))
-        return bound(low, lambda x: F.when((F.size(x) > 0) | (F.size(h) == 0), x).otherwise(F.array(F.array_min(h))))
+    def full(low: Column) -> Column:
+        return F.when(F.size(low) >= LEAST, low).otherwise(F.slice(F.sort_array(F.array_distinct(h)), 1, LEAST))
 
-    return bound(words(text), lambda w: bound(_hashes(w), keep))
+    return bound(F.sort_array(F.array_distinct(F.filter(h, lambda x: x < BELOW))), full)
+
+
+def sketch(text: Column) -> Column:
+    """The sketch of a text; null and blank texts have an empty one. Equal words give equal sketches."""
+    return bound(words(text), lambda w: bound(_hashes(w), _keep))
 
 
 def merge(sketches: Column) -> Column:
     """The sketch of the union of the shingles of an array of sketches."""
-    below = F.lit(-(2**63) + 2**64 // SCALE)
-    together = F.sort_array(F.array_distinct(F.flatten(sketches)))
-    return bound(together, lambda x: F.when(F.get(x, F.lit(0)) < below, F.filter(x, lambda h: h < below)).otherwise(F.slice(x, 1, 1)))
+    return bound(F.flatten(sketches), _keep)
+
+
+def _cut(a: Column) -> Column:
+    """The hash up to which a sketch is complete: no bound for a text that is kept whole."""
+    return F.when(F.size(a) < LEAST, F.lit(2**63 - 1)).otherwise(F.greatest(F.lit(BELOW - 1), F.element_at(a, -1)))
+
+
+def _compared(a: Column, b: Column, body) -> Column:
+    """body(hashes of a, of b, in both), counted up to the lower cut; two empty sketches are alike."""
+
+    def upto(cut: Column) -> Column:
+        def counts(pair: Column) -> Column:
+            return bound(F.struct(F.size(pair["a"]).alias("a"), F.size(pair["b"]).alias("b"), F.size(F.array_intersect(pair["a"], pair["b"])).alias("both")), lambda n: body(n["a"], n["b"], n["both"]))
+
+        return bound(F.struct(F.filter(a, lambda x: x <= cut).alias("a"), F.filter(b, lambda x: x <= cut).alias("b")), counts)
+
+    found = bound(F.least(_cut(a), _cut(b)), upto)
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(found)
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of the smaller document's shingles that the other has; two empty sketches are alike."""
-    least = F.least(F.size(a), F.size(b))
-    return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(F.when(F.size(a) == F.size(b), 1.0).otherwise(0.0))
+    """Estimated share of the smaller document's shingles that the other has, null where the sketches
+    say nothing of it; exact for two texts that are kept whole."""
+    return _compared(a, b, lambda x, y, both: F.when(F.least(x, y) > 0, both / F.least(x, y)))
 
 
 def resemblance(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity of the shingle sets; two empty sketches are alike."""
-    common = F.size(F.array_intersect(a, b))
-    return F.when(F.size(a) + F.size(b) > 0, common / (F.size(a) + F.size(b) - common)).otherwise(1.0)
+    """Estimated Jaccard similarity of the shingle sets; exact for two texts that are kept whole."""
+    return _compared(a, b, lambda x, y, both: both / (x + y - both))
 
 
 def printed(a: Column) -> Column:
@@ -71,47 +91,40 @@ def printed(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 16, "0")), "")
 
 
-def with_next(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """df of (key long, columns) with next: a struct of the columns of the row after it by key.
+def _successors(ids: DataFrame) -> DataFrame:
+    """ids (key, hash, ...; rows are different) with next: struct(key, hash) of the row after it, the first one after the last.
 
-    Rows are dealt to buckets of consecutive keys and ordered there; the last of a bucket takes
-    the first row of the next bucket that has any, the last of all the first of all. Rows with null
-    keys come first; rows of equal key are ordered by the columns. Only bucket numbers, thinned by
-    the bucket size twice over, ever meet in one task.
+    Rows are dealt to ranges by sampled keys and ordered there. Only the first row of each range meets
+    the others' in one task.
     """
-    bucket = F.coalesce(F.shiftright(F.col(key), BUCKET_BITS), F.lit(-(2**62)))
-    rows = df.select(key, *columns, bucket.alias("_bucket"))
-    inside = Window.partitionBy("_bucket").orderBy(key, *columns)
-    placed = rows.withColumn("_after", F.lead(F.struct(*columns)).over(inside))
-    heads = rows.withColumn("_n", F.row_number().over(inside)).where("_n = 1").select("_bucket", F.struct(*columns).alias("_head"))
-
-    def follow(numbers: DataFrame, last: bool) -> DataFrame:
-        """(_bucket, _to): the next number, cyclically."""
-        if last:
-            every = Window.partitionBy(F.lit(0))
-            return numbers.select("_bucket", F.coalesce(F.lead("_bucket").over(every.orderBy("_bucket")), F.min("_bucket").over(every)).alias("_to"))
-        group = numbers.withColumn("_group", F.shiftright("_bucket", BUCKET_BITS))
-        firsts = group.groupBy("_group").agg(F.min("_bucket").alias("_first"))
-        around = follow(firsts.select(F.col("_group").alias("_bucket")), True).select(F.col("_bucket").alias("_group"), F.col("_to").alias("_next_group"))
-        start = around.join(firsts.select(F.col("_group").alias("_next_group"), "_first"), "_next_group")
-        near = group.withColumn("_near", F.lead("_bucket").over(Window.partitionBy("_group").orderBy("_bucket")))
-        return near.join(start, "_group").select("_bucket", F.coalesce("_near", "_first").alias("_to"))
-
-    to = follow(df.select(bucket.alias("_bucket")).distinct(), False)
-    edge = to.join(heads.select(F.col("_bucket").alias("_to"), "_head"), "_to").select("_bucket", "_head")
-    return placed.join(edge, "_bucket").select(key, *columns, F.coalesce("_after", "_head").alias("next"))
+    placed = ids.repartitionByRange("key", "hash").withColumn("part", F.spark_partition_id()).checkpoint()
+    own = F.struct("key", "hash")
+    every = Window.partitionBy(F.lit(0))
+    heads = placed.groupBy("part").agg(F.min(own).alias("head"))
+    heads = heads.select(F.col("part").alias("of"), F.coalesce(F.lead("head").over(every.orderBy("part")), F.min("head").over(every)).alias("head"))
+    inside = Window.partitionBy("part").orderBy("key", "hash")
+    led = placed.withColumn("after", F.lead(own).over(inside)).join(heads, F.col("part") == F.col("of"))
+    return led.withColumn("next", F.coalesce("after", "head")).drop("part", "of", "after", "head")
 
 
 def edited(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, text, edited, sketch, edited_sketch, next_sketch) per input row.
 
     edited replaces the last quarter of a text's code points by the first as many of the next
-    document's. Null texts are empty; repeated rows follow one another; an empty table gives no rows.
+    document's. Documents follow by key, null keys first, those of one key by a hash of their text;
+    the first one follows the last. Repeated rows are one document. Null texts are empty; texts are
+    whole however long; an empty table gives no rows; other columns are not looked at. A row sends
+    its text once, and to the row before it the part that is needed there.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    rows = df.select(F.col(key).cast("bigint").alias("key"), t.alias("text")).withColumn("sketch", sketch(F.col("text")))
-    pairs = with_next(rows, "key", ["text", "sketch"])
-    cut = F.floor(F.length("text") / 4).cast("int")
-    new = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - cut), F.substring(F.col("next.text"), F.lit(1), cut))
-    out = pairs.withColumn("edited", new).withColumn("edited_sketch", sketch(F.col("edited")))
-    return out.select(F.col("key").alias(key), "text", "edited", "sketch", "edited_sketch", F.col("next.sketch").alias("next_sketch"))
+    use_checkpoints(df.sparkSession)
+    rows = df.select(F.col(key).cast("bigint").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    ids = rows.select("key", "hash", F.floor(F.length("text") / 4).cast("int").alias("cut")).distinct()
+    before = _successors(ids).select(F.col("key").alias("to_key"), F.col("hash").alias("to_hash"), "cut", F.col("next.key").alias("next_key"), F.col("next.hash").alias("next_hash"))
+    rows = rows.withColumn("sketch", sketch(F.col("text")))
+    given = rows.join(before, F.col("key").eqNullSafe(F.col("next_key")) & (F.col("hash") == F.col("next_hash")))
+    given = given.select("to_key", "to_hash", F.substring(F.col("text"), F.lit(1), F.col("cut")).alias("start"), "sketch")
+    given = given.groupBy("to_key", "to_hash").agg(F.first("start").alias("start"), F.first("sketch").alias("next_sketch"))
+    pairs = rows.join(given, F.col("key").eqNullSafe(F.col("to_key")) & (F.col("hash") == F.col("to_hash")))
+    kept = F.substring(F.col("text"), F.lit(1), F.length("text") - F.floor(F.length("text") / 4).cast("int"))
+    out = pairs.withColumn("edited", F.concat(kept, "start")).withColumn("edited_sketch", sketch(F.col("edited")))
+    return out.select(F.col("key").alias(key), "text", "edited", "sketch", "edited_sketch", "next_sketch")

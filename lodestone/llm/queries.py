@@ -61,8 +61,8 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         hex256("edited").alias("edited_sha256"),
         fingerprint.printed(a).alias("fingerprint"),
         fingerprint.printed(b).alias("edited_fingerprint"),
-        fingerprint.containment(a, b).alias("near_edited"),
-        fingerprint.containment(a, c).alias("near_next"),
+        F.coalesce(fingerprint.containment(a, b), fingerprint.resemblance(a, b)).alias("near_edited"),
+        F.coalesce(fingerprint.containment(a, c), fingerprint.resemblance(a, c)).alias("near_next"),
         fingerprint.resemblance(a, b).alias("resemblance_edited"),
         fingerprint.resemblance(a, c).alias("resemblance_next"),
     )

@@ -1,6 +1,7 @@
 """Fingerprints against a plain Python sketch."""
 
 import hashlib
+import random
 import re
 import struct
 
@@ -34,17 +35,25 @@ def brute(text):
         h = [chain(x) for x in w]
         two = [long(a, b) for a, b in zip(h, h[1:])]
         hashes = [long(long(two[i], two[i + 2]), h[i + 4]) for i in range(len(w) - 4)]
-    low = sorted({x for x in hashes if x < -(2**63) + 2**61})
-    return low or [min(hashes)]
+    every = sorted(set(hashes))
+    return [x for i, x in enumerate(every) if i < 32 or x < -(2**63) + 2**61]
+
+
+def upto(a, b):
+    """Both up to the lower cut."""
+    cut = min(2**63 if len(x) < 32 else max(x[-1], -(2**63) + 2**61 - 1) for x in (a, b))
+    return ({h for h in x if h <= cut} for x in (a, b))
 
 
 def share(a, b):
-    least = min(len(a), len(b))
-    return len(set(a) & set(b)) / least if least else float(len(a) == len(b))
+    if not a or not b:
+        return float(len(a) == len(b))
+    x, y = upto(a, b)
+    return len(x & y) / min(len(x), len(y)) if x and y else 0.0
 
 
 def check(df):
-    rows = sorted(((r.doc_id, r.text or "") for r in df.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode()))
+    rows = sorted({(r.doc_id, r.text or "") for r in df.collect()}, key=lambda r: (r[0] is not None, r[0] or 0, chain(r[1])))
     got = {(r.doc_id, r.text): r for r in fingerprint.edited(df).collect()}
     assert len(got) == len(set(rows))
     for (i, text), (_, after) in zip(rows, rows[1:] + rows[:1]):
@@ -86,9 +95,44 @@ def test_query(spark, sf_dir):
 
 
 def test_merge_is_the_sketch_of_both_parts(spark):
-    texts = ["a b c d e f g h", "k l m n o p q " * 9, "", "a b c d e z"]
+    texts = ["a b c d e f g h", "k l m n o p q " * 9, "", "a b c d e z", " ".join(f"x{i}" for i in range(900))]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").withColumn("s", fingerprint.sketch(F.col("text")))
-    both = df.agg(fingerprint.merge(F.collect_list("s")).alias("s")).collect()[0].s
-    every = {x for t in texts for x in brute(t)}
-    low = sorted(x for x in every if x < -(2**63) + 2**61)
-    assert both == (low or [min(every)])
+    for n in range(1, 6):
+        both = df.where(f"i < {n}").agg(fingerprint.merge(F.collect_list("s")).alias("s")).collect()[0].s
+        every = sorted({x for t in texts[:n] for x in brute(t)})
+        assert both == [x for i, x in enumerate(every) if i < 32 or x < -(2**63) + 2**61]
+
+
+def shingles(text):
+    w = text.split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def test_containment_of_unequal_documents(spark):
+    rng = random.Random(5)
+    rows = []
+    for n, m in ((12, 30), (12, 400), (60, 400), (60, 4000), (400, 4000), (1500, 3000)):
+        for _ in range(25):
+            long = [f"w{rng.randrange(10**6)}" for _ in range(m)]
+            at = rng.randrange(m - n)
+            half = long[at : at + n // 2] + [f"v{rng.randrange(10**6)}" for _ in range(n - n // 2)]
+            rows += [(n, m, " ".join(x), " ".join(long)) for x in (long[at : at + n], half)]
+    df = spark.createDataFrame(rows, "n int, m int, a string, b string")
+    a, b = fingerprint.sketch(F.col("a")), fingerprint.sketch(F.col("b"))
+    wrong = {}
+    for r in df.select("*", a.alias("x"), b.alias("y")).select("*", fingerprint.containment(F.col("x"), F.col("y")).alias("c"), fingerprint.resemblance(F.col("x"), F.col("y")).alias("j")).collect():
+        x, y = shingles(r.a), shingles(r.b)
+        true = len(x & y) / min(len(x), len(y))
+        if true == 1:
+            assert r.c in (None, 1.0) and (r.c == 1 or r.n < 20)
+        if r.m < 32:
+            assert (r.c, r.j) == (true, len(x & y) / len(x | y))
+        if r.c is not None and r.n >= 60:
+            wrong.setdefault((r.n, r.m), []).append(r.c - true)
+    assert all(abs(sum(w) / len(w)) < 0.1 for w in wrong.values())
+
+
+def test_many_rows_of_one_id_and_sparse_ids(spark):
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 > 0, F.xxhash64("id")).otherwise(7).alias("doc_id"), F.concat_ws(" ", F.lit("text"), F.hex(F.xxhash64("id", F.lit(1))), F.when(F.col("id") % 7 == 0, F.repeat(F.hex("id"), 5))).alias("text"))
+    df = df.union(df.where("doc_id = 7").limit(50))
+    check(df)
