@@ -2,9 +2,12 @@
 
 Every source gets a target in words: its share of the whole by weight, stopped at a multiple of
 its own size, the excess reshared by weight (water filling, solved in closed form over the sorted
-caps). The whole is then dealt out in blocks of equal words to the sources, and each source's
-blocks to its shards, by the highest quotients weight / (2 * seats + 1). Within a shard, documents
-lie in a seeded order; the shard's quota takes whole passes over them and then its first blocks.
+caps). The whole is then dealt out in blocks of equal words to the sources, and what a source has won
+to its shards word by word, by the highest quotients weight / (2 * seats + 1). Words of a source's
+blocks are at most MAX_PASSES times its size, so the deciding divisor is 1 / MAX_PASSES at least, and
+no shard can win more than MAX_PASSES times its own size: every source takes exactly its blocks.
+Within a shard, documents lie in a seeded order; the shard's quota takes whole passes over them and
+then the first words.
 
 Shards are hash groups of documents whose number follows the corpus, so no source, however hot,
 meets in one task. The only single-task steps are over the table of sources; what one source
@@ -20,7 +23,7 @@ from lodestone.llm.common import use_checkpoints, words
 
 WEIGHTS = (5, 2, 1)
 #: Words of a block; a source's quota misses its target by about one block at most.
-BLOCK_WORDS = 64
+BLOCK_WORDS = 16
 #: A source is taken so many times at most.
 MAX_PASSES = 3
 #: Mean documents per shard while there are fewer than MAX_SHARDS.
@@ -80,7 +83,8 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     size counts the ASCII-white-space separated words (null: 0); taken is how many of them the mix
     takes, repeats counted, at most MAX_PASSES times size. A null source is a source of its own,
     the last one. Sources without words have target 0. Equal rows (same id) lie next to each other
-    in the seeded order, so reruns agree. An empty table gives no rows.
+    in the seeded order, so reruns agree. An empty table gives no rows. Texts are counted whole,
+    however long; other columns are not looked at.
     """
     use_checkpoints(df.sparkSession)
     rows = df.select(
@@ -96,9 +100,9 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     sizes = rows.groupBy("skey", "shard").agg(F.sum("size").alias("shard_size"))
     quota = targets(sizes.groupBy("skey").agg(F.sum("shard_size").alias("source_size")))
     quota = quota.withColumns({"g": F.lit(0), "seats": F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / BLOCK_WORDS).cast("long")})
-    quota = apportion(quota, ["g"], ["skey"], "target", "seats").select("skey", "source_size", "target", F.col("got").alias("blocks"))
-    dealt = apportion(sizes.join(quota, "skey"), ["skey"], ["shard"], "shard_size", "blocks")
-    dealt = dealt.select("skey", "shard", "shard_size", "source_size", "target", F.least(F.col("got") * BLOCK_WORDS, F.col("shard_size") * MAX_PASSES).alias("words"))
+    quota = apportion(quota, ["g"], ["skey"], "target", "seats").select("skey", "source_size", "target", F.least(F.col("got") * BLOCK_WORDS, F.col("source_size") * MAX_PASSES).alias("won"))
+    dealt = apportion(sizes.join(quota, "skey"), ["skey"], ["shard"], "shard_size", "won")
+    dealt = dealt.select("skey", "shard", "shard_size", "source_size", "target", F.col("got").alias("words"))
     order = Window.partitionBy("skey", "shard").orderBy(F.substring("h", 9, 24), "key", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0))).join(dealt, ["skey", "shard"])
     passes = F.when(F.col("shard_size") > 0, F.floor(F.col("words") / F.col("shard_size"))).otherwise(0)

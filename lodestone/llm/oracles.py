@@ -47,8 +47,8 @@ v AS (SELECT *, row_number() OVER o AS ord, (total - coalesce(sum(cap) OVER (o R
 t AS (SELECT skey, source_size, least(cap, coalesce((SELECT arg_min(level, ord) FROM v WHERE level <= cap / weight), 0) * weight) AS target FROM v),
 q AS (SELECT *, 0 AS g, (SELECT round(sum(target) / {mixing.BLOCK_WORDS})::BIGINT FROM t) AS seats FROM t),
 b AS ({_apportion("q", "g", "skey", "target", "seats")}),
-z AS (SELECT sz.*, b.source_size, b.target, b.got AS blocks FROM sz JOIN b USING (skey)),
-k AS (SELECT skey, shard, shard_size, source_size, target, least(got * {mixing.BLOCK_WORDS}, shard_size * {mixing.MAX_PASSES}) AS words FROM ({_apportion("z", "skey", "shard", "shard_size", "blocks")})),
+z AS (SELECT sz.*, b.source_size, b.target, least(b.got * {mixing.BLOCK_WORDS}, b.source_size * {mixing.MAX_PASSES}) AS dealt FROM sz JOIN b USING (skey)),
+k AS (SELECT skey, shard, shard_size, source_size, target, got AS words FROM ({_apportion("z", "skey", "shard", "shard_size", "dealt")})),
 p AS (SELECT rs.*, k.* EXCLUDE (skey, shard), coalesce(sum(size) OVER (PARTITION BY skey, shard ORDER BY substr(h, 9, 24), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, CASE WHEN shard_size > 0 THEN words // shard_size ELSE 0 END AS passes FROM rs JOIN k USING (skey, shard))
 SELECT doc_id, size, source_size, target, (passes * size + greatest(0, least(size, words - passes * shard_size - before)))::BIGINT AS taken FROM p"""
 
