@@ -36,9 +36,8 @@ STATES = 8
 PASSES = 4
 HEAD = 32_768
 CLASSES = 512
-#: Training documents that the states' first guess is drawn from, the bytes of packed symbols looked at
-#: in each, and the symbols that tell them apart.
-SEED_DOCS, SEED_BYTES, SEED_SYMBOLS = 600, 40_000, 4096
+#: Rounds in which documents are dealt to states as wholes, for the first guess of the emissions.
+GUESSES = 3
 #: Tokens of lower counts are never in the head, so that classes show what new tokens are like.
 LEAST_COUNT = 3
 END = b"\n"
@@ -106,9 +105,35 @@ class Vocabulary:
         return c / c.sum()
 
 
+def cutoff(counted: DataFrame, most: int, least: int = 1) -> int:
+    """The lowest count, least at any rate, that at most so many rows of counts (column c) reach.
+
+    The range of counts is cut into 256 parts again and again, so 256 rows at most reach the driver.
+    """
+    top = counted.agg(F.max("c")).collect()[0][0] or 0
+    low, high, above = least, max(least, top + 1), 0  # more than most rows may reach low; above rows reach high, at most most
+    while low < high:
+        step = -(-(high - low) // 256)
+        part = F.floor((F.col("c") - low) / step)
+        n = {r.k: r.n for r in counted.where((F.col("c") >= low) & (F.col("c") < high)).groupBy(part.alias("k")).agg(F.count("*").alias("n")).collect()}
+        edge = -(-(high - low) // step)
+        while edge > 0 and above + n.get(edge - 1, 0) <= most:
+            edge -= 1
+            above += n.get(edge, 0)
+        if not edge or step == 1:
+            return low + edge * step
+        low, high = low + (edge - 1) * step, min(high, low + edge * step)
+    return high
+
+
 def vocabulary(counted: DataFrame, head: int = HEAD) -> Vocabulary:
-    """The head and the class sums of a counts table; head + CLASSES rows reach the driver."""
-    top = counted.where(F.col("c") >= LEAST_COUNT).orderBy(F.desc("c"), "token").limit(head).collect()
+    """The head and the class sums of a counts table; head + CLASSES rows reach the driver.
+
+    The head has the tokens from the lowest count on that at most head tokens reach, so ties are in it
+    together or not at all, and no task sends more than belongs to it.
+    """
+    least = cutoff(counted, head, LEAST_COUNT)
+    top = sorted(counted.where(F.col("c") >= least).collect(), key=lambda r: (-r.c, bytes(r.token)))
     symbols = {bytes(r.token): k for k, r in enumerate(top)}
     total = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).collect()[0]
     n, v = np.zeros(CLASSES), np.zeros(CLASSES)
@@ -206,26 +231,42 @@ def _packed(batch: pa.RecordBatch, column: str = "ids") -> tuple[np.ndarray, np.
     return np.frombuffer(b"".join(raw), np.uint16).astype(np.int64), np.cumsum(lengths) - lengths, lengths
 
 
-def first_guess(sample: list[bytes], vocab: Vocabulary, states: int, seed: int = 1) -> Model:
-    """States around the centres of a few documents' symbol shares (seeded k-means), mixed with the whole."""
+def first_guess(seqs: DataFrame, vocab: Vocabulary, states: int, seed: int = 1) -> Model:
+    """States from whole documents, dealt to them by all rows of seqs: first by the signs of seeded
+    projections of their symbol shares, then GUESSES - 1 times by the state whose distribution makes
+    them likeliest. A state's emissions are its documents' symbols and the whole's, which is all that
+    a state without documents has."""
     rng = np.random.default_rng(seed)
-    whole = vocab.unigram()
-    emit = np.repeat(whole[None], states, 0) * np.exp(0.05 * rng.standard_normal((states, vocab.size)))
-    if len(sample) >= states:
-        ids = [np.frombuffer(x, np.uint16) for x in sample]
-        x = np.sqrt(np.array([np.bincount(np.minimum(i, SEED_SYMBOLS), minlength=SEED_SYMBOLS + 1)[:SEED_SYMBOLS] / len(i) for i in ids], np.float32))
-        far = lambda c: (x * x).sum(1) + (c * c).sum() - 2 * x @ c
-        centres = [x[rng.integers(len(x))]]
-        while len(centres) < states:
-            centres.append(x[int(np.argmax(np.min([far(c) for c in centres], 0) * rng.random(len(x))))])
-        for _ in range(6):
-            near = np.argmin([far(c) for c in centres], 0)
-            centres = [x[near == j].mean(0) if (near == j).any() else c for j, c in enumerate(centres)]
-        for j in range(states):
-            mine = [i for i, n in zip(ids, near, strict=True) if n == j]
-            if mine:
-                emit[j] = 0.4 * emit[j] + 0.6 * np.mean([np.bincount(i, minlength=vocab.size) / len(i) for i in mine], 0)
-    emit /= emit.sum(1, keepdims=True)
+    sc, size, whole = seqs.sparkSession.sparkContext, vocab.size, vocab.unigram()
+    bits = max(1, (states - 1).bit_length())
+    weight = rng.standard_normal((size, bits)) / np.sqrt(whole)[:, None]
+    weight -= whole @ weight
+    noise = np.exp(0.05 * rng.standard_normal((states, size)))
+    emit = whole * noise
+    for k in range(GUESSES):
+        shared = sc.broadcast(np.log(emit / emit.sum(1, keepdims=True)).T if k else weight)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, k=k) -> Iterator[pa.RecordBatch]:
+            w, total = shared.value, np.zeros(states * size)
+            for b in slices(batches, "ids", PACKED):
+                ids, starts, lengths = _packed(b)
+                each, doc = np.zeros((len(starts), w.shape[1])), np.repeat(np.arange(len(starts)), lengths)
+                for at in range(0, len(ids), BLOCK):
+                    first = np.flatnonzero(np.diff(doc[at : at + BLOCK], prepend=-1))
+                    each[doc[at + first]] += np.add.reduceat(w[ids[at : at + BLOCK]], first)
+                state = each.argmax(1) if k else (each > 0) @ (1 << np.arange(bits)) % states
+                total += np.bincount(np.repeat(state, lengths) * size + ids, minlength=states * size)
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
+
+        out = np.zeros(states * size)  # as many rows at most reach the driver, however many partitions there are
+        for r in seqs.select("ids").mapInArrow(run, "slot long, n double").groupBy("slot").agg(F.sum("n").alias("n")).collect():
+            out[r.slot] = r.n
+        out = out.reshape(states, size)
+        # Each state has at least as much of the whole as keeps every symbol possible.
+        emit = (out + np.maximum(1, (out > 0).sum(1, keepdims=True)) * whole) * noise
+        shared.unpersist()
+    emit = 0.6 * emit / emit.sum(1, keepdims=True) + 0.4 * whole
     step = np.full((states, states), 0.1 / max(1, states - 1)) if states > 1 else np.ones((1, 1))
     if states > 1:
         np.fill_diagonal(step, 0.9)
@@ -279,10 +320,7 @@ def sequences(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
 def train(seqs: DataFrame, vocab: Vocabulary, states: int = STATES, passes: int = PASSES) -> tuple[Model, list[float]]:
     """Baum-Welch over all rows of seqs (ids binary); the model and the log likelihood before each pass."""
     sc = seqs.sparkSession.sparkContext
-    # The choice is made on narrow rows; what every task sends is not documents.
-    chosen = seqs.select(F.xxhash64("ids").alias("h"), "row").orderBy("h", "row").limit(SEED_DOCS).select("row")
-    sample = seqs.join(F.broadcast(chosen), "row").select(F.substring("ids", 1, SEED_BYTES).alias("ids")).orderBy("ids").collect()
-    model, logs = first_guess([bytes(r.ids) for r in sample], vocab, states), []
+    model, logs = first_guess(seqs, vocab, states), []
     size = vocab.size
     schema = ", ".join(["slot long", *(f"v{j} double" for j in range(states))])
     for _ in range(passes):
@@ -316,8 +354,10 @@ def language_scores(docs: DataFrame, held_out: Column, key: str = "doc_id", text
 
     The model and all counts come from rows where held_out is false (null counts as false). Scores
     are log10 probabilities: base_score of the smoothed unigrams, score of the hidden Markov model.
-    A null or blank text has one token, its end. Repeated rows each count. Without training rows
-    every token is unseen, and symbols are equally likely.
+    A null or blank text has one token, its end. Repeated rows each count, and null keys are keys like
+    any other. Very long texts are whole; a task holds one at a time with its forward variables. Without
+    training rows every token is unseen, and symbols are equally likely. An empty table gives no rows;
+    other columns are not looked at.
     """
     use_checkpoints(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))

@@ -66,9 +66,32 @@ def brute(rows):
     return [(out(i), len(ws), sum(count[w] > 0 for w in ws), n, sum(math.log10((count[w] + 1) / (n + v + 1)) for w in ws)) for (i, _), ws in zip(rows, toks, strict=True)]
 
 
+def probability(model, vocab, count, text):
+    """log10 probability of a text by sums over all states, token by token."""
+
+    def emitted(token):
+        if token in vocab.head:
+            return model.emit[:, vocab.head[token]]
+        k = hmm.token_class(token)
+        n = sum(c for t, c in count.items() if t not in vocab.head and hmm.token_class(t) == k)
+        v = sum(1 for t in count if t not in vocab.head and hmm.token_class(t) == k)
+        within = (count[token] - vocab.discount) / n if count[token] else vocab.discount * v / n if n else 1.0
+        return model.emit[:, len(vocab.head) + k] * within
+
+    log, state = 0.0, model.start
+    for i, token in enumerate(hmm.tokens(text)):
+        state = (state @ model.step if i else state) * emitted(token)
+        log += math.log10(state.sum())
+        state = state / state.sum()
+    return log
+
+
 def check(df, monkeypatch, head):
     monkeypatch.setattr(hmm, "HEAD", head)
     monkeypatch.setattr(hmm.vocabulary, "__defaults__", (head,))
+    seen, train, vocabulary = {}, hmm.train, hmm.vocabulary
+    monkeypatch.setattr(hmm, "train", lambda *a: seen.setdefault("model", train(*a)))
+    monkeypatch.setattr(hmm, "vocabulary", lambda *a: seen.setdefault("vocab", vocabulary(*a)))
     rows = [(r.doc_id, r.text) for r in df.collect()]
     got = hmm.language_scores(df, held_out(F.col("doc_id"), 7), states=3, passes=2).collect()
     assert len(got) == len(rows)
@@ -76,9 +99,23 @@ def check(df, monkeypatch, head):
     for (key, (held, n, known, total, base)), r in zip(want, sorted(got, key=lambda r: str((r.doc_id, (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score)))), strict=True):
         assert (r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (key, held, n, known, total)
         assert math.isclose(r.base_score, base, rel_tol=1e-9, abs_tol=1e-9) and r.score <= 1e-9
+    count = Counter(w for i, t in rows if zlib.crc32(str(i).encode() if i is not None else b"") % 7 != 2 for w in hmm.tokens(t or ""))
+    short = {(i, t) for i, t in rows if len(t or "") < 500}
+    for i, t in sorted(short, key=str)[:40]:
+        want = probability(seen["model"][0], seen["vocab"], count, t or "")
+        assert any(math.isclose(r.score, want, rel_tol=1e-9, abs_tol=1e-9) for r in got if r.doc_id == i)
     return got
 
 
+def test_cutoff_is_the_lowest_count_that_few_reach(spark):
+    rng = np.random.default_rng(3)
+    for values in ([1] * 50, [int(x) for x in rng.zipf(1.3, 1500).clip(max=10**15)], [7], [], list(range(900)), [3] * 10 + [4] * 5 + [10**12] * 3):
+        df = spark.createDataFrame([(v,) for v in values], "c long")
+        for most in (0, 2, 49, 50, 1000):
+            got = hmm.cutoff(df, most, 3)
+            assert got == min(t for t in {3, *(v + 1 for v in values)} if t >= 3 and sum(v >= t for v in values) <= most)
+
+
 @pytest.mark.parametrize("head", [300, hmm.HEAD])
 def test_documents(spark, sf_dir, monkeypatch, head):
     got = check(documents(spark, sf_dir), monkeypatch, head)
