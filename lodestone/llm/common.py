@@ -53,6 +53,16 @@ def unpacked(columns: list[str], new: dict[str, Column] | None = None) -> list[C
     return [*(x.alias(c) for x, c in zip(same, columns, strict=True)), *(x.alias(c) for c, x in new.items())]
 
 
+def lowest(df: DataFrame, by: Column, most: int) -> DataFrame:
+    """The rows of df with the lowest values of a 64-bit hash: all of them, or a share of the range of
+    hashes that holds somewhat less than most of them. Neither sorts nor gathers rows."""
+    n = df.count()
+    if n <= most:
+        return df
+    share = max(0.0, most - 6 * most**0.5) / n  # six deviations of the number that the share holds
+    return df.where(by < F.lit(-(2**63) + int(share * 2**64)))
+
+
 def use_checkpoints(spark: SparkSession) -> None:
     """Make checkpoint() usable: the session's folder if it names one, else a local one for tests.
 

@@ -4,14 +4,13 @@ A token that hides a word (leetspeak, letters set apart, stretched letters) is a
 observation. Its characters form a lattice: each segment offers letters that it may stand for,
 with a channel cost; a character trigram model of the whole corpus scores the paths, and Viterbi
 decoding restores the likeliest word. Restored words are then scored: features (the word, its
-beginnings and ends) are weighed by how often labelled documents that have them are toxic, and a
-document's signs add up as if independent (noisy or), and a logistic line over the labelled rows
-turns the sum into a probability.
+beginnings and ends) are weighed by how often labelled documents that have them are toxic. The
+strongest sign of a document and the sum of its others give a probability by a logistic model over
+the labelled rows, so that many faint signs do not outweigh the lack of a strong one.
 
 fit() counts character trigrams over all documents and features over labelled rows, at most
-SAMPLE of them (those of lowest id hash), of which only features with significant evidence are
-kept, at most FEATURES (and their special cases); the bounds keep what the driver and the workers hold independent of
-the corpus.
+SAMPLE of them (those of lowest id hash), of which only features with significant evidence (and
+their special cases) are kept. The sample bounds what the driver and the workers hold.
 """
 
 from __future__ import annotations
@@ -27,12 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import slices, texts
+from lodestone.llm.common import lowest, slices, texts
 
 #: Labelled rows that the classifier is fitted on at most.
 SAMPLE = 40_000
-#: Features kept at most, by evidence.
-FEATURES = 20_000
 #: Documents with a score from here on are rejected.
 THRESHOLD = 0.3
 TABLE_WORDS = 300_000
@@ -143,7 +140,8 @@ def decode(token: str, costs: np.ndarray, near: float = 0.0, paths: int = 8) ->
 def walk(lattice: list[list[tuple[str, float]]], costs: np.ndarray, near: float = 0.0, paths: int = 8) -> list[str]:
     """The likeliest strings through a lattice, best first: those that cost at most near more than the best.
 
-    Viterbi; states are the last two letters, and each keeps some paths.
+    Viterbi; states are the last two letters, and each keeps some paths. The likeliest string is
+    exact; others are missing where more than so many come to one state.
     """
     best: dict[tuple[int, int], list[tuple[float, str]]] = {(0, 0): [(0.0, "")]}
     for ways in lattice:
@@ -160,8 +158,6 @@ def walk(lattice: list[list[tuple[str, float]]], costs: np.ndarray, near: float
                     if cost + more < to.get(word + string, math.inf):
                         to[word + string] = cost + more
         best = {s: sorted((c, w) for w, c in to.items())[:paths] for s, to in step.items()}
-        if len(best) > 16:  # a lattice is narrow; tokens of many symbols go on with the 16 best states
-            best = dict(sorted(best.items(), key=lambda x: x[1][0])[:16])
     ends: dict[str, float] = {}
     for (a, b), entries in best.items():
         for cost, word in entries:
@@ -262,19 +258,21 @@ class Toxicity:
 
     costs: letter trigram costs. counts: feature -> (documents, toxic ones, whether it is a
     significant sign). base: share of toxic documents; residual: that of documents without a sign.
-    line: intercept and slope of the log odds over a document's evidence, for documents with a sign.
+    line: intercept of the log odds and their slopes over a document's strongest sign and its others together,
+    for documents with a sign.
     """
 
     costs: np.ndarray
     counts: dict[str, tuple[int, int, bool]]
     base: float
     residual: float
-    line: tuple[float, float] = (-2.0, 1.0)
+    line: tuple[float, float, float] = (-2.0, 1.0, 0.0)
 
-    def probability(self, evidence: float) -> float:
-        if not evidence:
+    def probability(self, evidence: tuple[float, float]) -> float:
+        if not evidence[0]:
             return self.residual
-        return max(self.residual, 1 / (1 + math.exp(-max(-30.0, min(30.0, self.line[0] + self.line[1] * evidence)))))
+        odds = self.line[0] + self.line[1] * evidence[0] + self.line[2] * evidence[1]
+        return max(self.residual, 1 / (1 + math.exp(-max(-30.0, min(30.0, odds)))))
 
     def words(self, text: str) -> set[str]:
         """Tokens to look up: lower-cased words, and runs of single letters put together."""
@@ -299,9 +297,9 @@ class Toxicity:
         return best if best >= 0.5 else 0.0
 
 
-#: A text's evidence stops here, in steps of 1/20 this is STEPS.
+#: The sum of a text's other signs stops here; probabilities are fitted in steps of 1/STEPS of evidence.
 MOST_EVIDENCE = 30.0
-STEPS = 600
+STEPS = 10
 
 
 class Evidence(dict):
@@ -315,11 +313,13 @@ class Evidence(dict):
         found = self[token] = -math.log(1 - min(0.999, self.model.rate(token)))
         return found
 
-    def of(self, text: str) -> float:
-        """Signs add up as if independent."""
+    def of(self, text: str) -> tuple[float, float]:
+        """(the strongest sign, the sum of the others)."""
         if len(self) > TABLE_WORDS:
             self.clear()
-        return min(MOST_EVIDENCE, math.fsum(map(self.__getitem__, self.model.words(text))))
+        signs = list(map(self.__getitem__, self.model.words(text)))
+        most = max(signs, default=0.0)
+        return most, min(MOST_EVIDENCE, math.fsum(signs) - most)
 
 
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> Toxicity:
@@ -331,8 +331,10 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     costs = letter_costs(trigram_counts(docs, text))
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("label"))
     # At most SAMPLE rows of an id and a bit: the bound that allows the broadcast.
-    chosen = known.orderBy(F.xxhash64("key"), "key").limit(SAMPLE)
-    sample = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key").select("label", "text")
+    chosen = lowest(known, F.xxhash64("key"), SAMPLE)
+    sample = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(chosen), "key")
+    # Copies of a text are one observation: what else is in them would be a sign by their number alone.
+    sample = sample.groupBy(F.xxhash64("text").alias("hash")).agg(F.max("label").alias("label"), F.first("text").alias("text")).select("label", "text")
     bare = Toxicity(costs, {}, 0.0, 0.0)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,13 +369,15 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
         # The chance of so many toxic ones is below exp(-evidence); it has to be rare among all the features tried.
         tried = by.count()
         strong = by.where(p > max(0.5, 2 * base)).withColumn("evidence", F.col("n") * (p * F.log(p / base) + rest)).where(F.col("evidence") > math.log(max(1, tried)) + 1)
-        signs = {r.f for r in strong.orderBy(F.desc("evidence"), "f").limit(FEATURES).collect()}
+        # As the sample is bounded, so are the signs: each is in LEAST of its documents at least.
+        signs = {r.f for r in strong.select("f").collect()}
         if not signs:
+            by.unpersist()
             return Toxicity(costs, {}, base, base)
-        # Special cases of the signs, which may be clean; the signs are FEATURES rows at most.
+        # Special cases of the signs, which may be clean.
         known = docs.sparkSession.createDataFrame([(f,) for f in sorted(signs)], "b string")
         special = by.select("f", "n", "y", F.explode(broader(F.col("f"))).alias("b")).join(F.broadcast(known), "b").select("f", "n", "y").distinct()
-        rows = special.orderBy(F.desc("n"), "f").limit(5 * FEATURES).collect()
+        rows = special.collect()
         by.unpersist()
     finally:
         counted.unpersist()
@@ -382,34 +386,59 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = Evidence(model)
         for b in slices(batches, "text"):
-            e = [round(20 * seen.of(t)) for t in texts(b)]
-            yield pa.RecordBatch.from_arrays([pa.array(e, pa.int64()), b.column(0).cast(pa.int64())], ["e", "y"])
-
-    # Evidence in steps of 1/20, at most STEPS of them.
-    steps = sample.mapInArrow(gathered, "e long, y long").groupBy("e").agg(F.count("*").alias("n"), F.sum("y").alias("y")).collect()
-    none = next((r for r in steps if not r.e), None)
-    model.residual = ((none.y if none else 0) + base) / ((none.n if none else 0) + 1)
-    model.line = logistic([(r.e / 20, r.n, r.y) for r in steps if r.e])
+            e = [[round(STEPS * x) for x in seen.of(t)] for t in texts(b)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in zip(*e)), b.column(0).cast(pa.int64())], ["most", "rest", "y"])
+
+    # As many rows as there are steps at most: 10 * 7 of the one, 10 * 30 of the other.
+    steps = sample.mapInArrow(gathered, "most long, rest long, y long").groupBy("most", "rest").agg(F.count("*").alias("n"), F.sum("y").alias("y")).collect()
+    none = [sum(r[k] for r in steps if not r.most) for k in ("n", "y")]
+    model.residual = (none[1] + base) / (none[0] + 1)
+    model.line = logistic([(r.most / STEPS, r.rest / STEPS, r.n, r.y) for r in steps if r.most])
     return model
 
 
-def logistic(rows: list[tuple[float, int, int]]) -> tuple[float, float]:
-    """Intercept and slope fitted to (x, rows, positive rows), drawn towards (-2, 1) as by a few rows."""
-    start = np.array([-2.0, 1.0])
-    w = start.copy()
+def logistic(rows: list[tuple[float, float, int, int]]) -> tuple[float, float, float]:
+    """Intercept and slopes (not negative) fitted to (x1, x2, rows, positive rows), drawn towards (-2, 1, 0) as by a few rows.
+
+    Newton steps, halved until the penalised likelihood (which is concave) rises.
+    """
+    start = np.array([-2.0, 1.0, 0.0])
     if not rows:
-        return tuple(w)
-    x, n, y = np.array(rows, float).T
-    x = np.stack((np.ones_like(x), x), 1)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.eye(2), x.T @ (y - n * p) - (w - start))
-        w = w + np.clip(step, -2, 2)
-    return float(w[0]), max(0.0, float(w[1]))
+        return tuple(start.tolist())
+    *xs, n, y = np.array(rows, float).T
+
+    def fitted(free: list[int]) -> np.ndarray:
+        x, prior = np.stack((np.ones_like(n), *xs), 1)[:, free], start[free]
+
+        def worth(w: np.ndarray) -> float:
+            z = x @ w
+            return float((y * z - n * np.logaddexp(0, z)).sum() - ((w - prior) ** 2).sum() / 2)
+
+        w = prior
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + np.eye(len(free)), x.T @ (y - n * p) - (w - prior))
+            while worth(w + step) < worth(w) and np.abs(step).max() > 1e-9:
+                step = step / 2
+            if np.abs(step).max() <= 1e-9:
+                break
+            w = w + step
+        out = np.zeros(3)
+        out[free] = w
+        return out
+
+    free = [0, 1, 2]
+    while (w := fitted(free))[1:].min() < 0:
+        free.remove(1 + int(w[1:].argmin()))
+    return tuple(w.tolist())
 
 
 def score(docs: DataFrame, model: Toxicity, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score double) per input row, 0 to 1; null and empty texts get the model's residual."""
+    """(key, score double) per input row, 0 to 1; null and empty texts get the model's residual.
+
+    Repeated rows have equal scores, null keys stay. Texts are whole however long, one at a time; an
+    empty table gives no rows; other columns are not looked at.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -424,7 +453,11 @@ def score(docs: DataFrame, model: Toxicity, key: str = "doc_id", text: str = "te
 
 
 def below(docs: DataFrame, model: Toxicity, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose score is below the threshold."""
+    """The rows of docs, with all their columns, whose score is below the threshold.
+
+    Null and empty texts have the model's residual; repeated rows go or stay together; keys and other
+    columns may hold anything and have any name.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

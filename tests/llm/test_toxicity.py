@@ -31,6 +31,74 @@ def test_viterbi_is_the_best_of_all_paths():
         assert toxicity.decode(token, costs)[0] == best[1]
 
 
+def test_viterbi_is_exact_on_long_runs_of_symbols():
+    rng = np.random.default_rng(4)
+    costs = rng.random((toxicity.ALPHABET,) * 3) * 12
+    for _ in range(30):
+        token = "".join(rng.choice(list("|1!0@$3a7+(b"), 24))
+        best = {(0, 0): 0.0}  # by dynamic programming over all states
+        for ways in toxicity.lattice(token):
+            step = {}
+            for (a, b), cost in best.items():
+                for string, extra in ways:
+                    x, y, c = a, b, cost + extra
+                    for letter in string:
+                        k = ord(letter) - 96
+                        c, x, y = c + costs[x, y, k], y, k
+                    step[x, y] = min(step.get((x, y), np.inf), c)
+            best = step
+        least = min(c + costs[a, b, 0] for (a, b), c in best.items())
+        word = toxicity.decode(token, costs)[0]
+        a, b, c = 0, 0, 0.0
+        found = toxicity.walk([*toxicity.lattice(token)], costs)
+        assert found[0] == word
+        # The word found costs as little as any path: align it with the lattice again.
+        reach = {(0, 0, 0): 0.0}
+        for ways in toxicity.lattice(token):
+            step = {}
+            for (at, a, b), cost in reach.items():
+                for string, extra in ways:
+                    if word.startswith(string, at):
+                        x, y, c = a, b, cost + extra
+                        for letter in string:
+                            k = ord(letter) - 96
+                            c, x, y = c + costs[x, y, k], y, k
+                        key = (at + len(string), x, y)
+                        step[key] = min(step.get(key, np.inf), c)
+            reach = step
+        assert abs(min(c + costs[a, b, 0] for (at, a, b), c in reach.items() if at == len(word)) - least) < 1e-9
+
+
+def test_logistic_line_is_the_best_one():
+    rng = np.random.default_rng(1)
+    for sharp in (0.3, 2.0, 30.0):
+        x1, x2 = rng.random(400) * 7, rng.random(400) * 30
+        y = (rng.random(400) < 1 / (1 + np.exp(-sharp * (x1 - 4)))).astype(int)
+        y[rng.random(400) < 0.02] ^= 1
+        w = np.array(toxicity.logistic(list(zip(x1, x2, [1] * 400, y))))
+
+        def worth(v):
+            z = v[0] + v[1] * x1 + v[2] * x2
+            return (y * z - np.logaddexp(0, z)).sum() - ((v - [-2, 1, 0]) ** 2).sum() / 2
+
+        for d in np.eye(3) * 0.01:
+            assert worth(w) >= worth(w + d) and (w[np.argmax(d)] == 0 or worth(w) >= worth(w - d))
+
+
+def test_clean_documents_stay(spark, model):
+    scored = toxicity.score(documents(spark, SF), model).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("toxic = 0").collect()
+    assert sum(r.score < toxicity.THRESHOLD for r in scored) >= 0.99 * len(scored)
+
+
+@pytest.mark.parametrize("n", [20, 70, 1000, 100_000])
+def test_stretches_and_spacing_of_any_length(model, n):
+    seen = toxicity.Evidence(model)
+    fill = "and the thing is that " * (n // 22)
+    for hidden in ("id" + "i" * n + "ot", "i" + "." * n + "diot", "m" + "o" * n + "r" + "o" * n + "n", "i d i o t " * (n // 10 + 1), " ".join("idiot" * (n // 10 + 1)), ".".join("moron" * (n // 10 + 1))):
+        assert model.probability(seen.of(f"it was {hidden} again")) >= toxicity.THRESHOLD
+    assert model.probability(seen.of(" ".join(fill.replace(" ", "")))) < toxicity.THRESHOLD
+
+
 def test_held_out_labels(spark, model):
     scored = toxicity.score(documents(spark, SF), model).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where(held_out(F.col("doc_id"), 4)).collect()
     hit = [r for r in scored if r.score >= toxicity.THRESHOLD]
