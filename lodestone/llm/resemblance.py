@@ -6,8 +6,11 @@ two texts of resemblance 0.8 share none of the groups in about 3 of a million ca
 0.9 practically never. Candidates are then compared by their whole shingle sets, so that every link
 is true.
 
-Equal sets are one node. Bands that hold the same nodes are looked at once, and a band's nodes give
-a spanning forest of its links, never all pairs. Components are those of simhash.
+Equal sets are one node. Bands that hold the same nodes are looked at once. First every node of a
+band is compared with the band's lowest node, and the links found give components; a band then
+matters only if its other nodes lie in several of them, and only these nodes are compared further,
+in blocks of bounded size that give spanning forests, never all pairs. So no task holds a band, and
+nodes that are known to be connected are not compared again. Components are those of simhash.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ LEAST = (4, 5)
 BANDS, ROWS = 24, 4
 #: Candidates up to this number are sent to all tasks; more are joined by a shuffle.
 SENT = 200_000
+#: Hashes of the sets that are compared in one block.
+BLOCK = 1_000_000
 
 _SEEDS = np.random.default_rng(1).integers(0, 2**64, (2, BANDS * ROWS), dtype=np.uint64)
 
@@ -83,7 +88,7 @@ def forest(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def _sketched(df: DataFrame) -> DataFrame:
-    """(key, node long, bands array<long>) of rows (key, text)."""
+    """(key, node long, size long, bands array<long>) of rows (key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -91,9 +96,9 @@ def _sketched(df: DataFrame) -> DataFrame:
         for b in slices(batches, "text"):
             sets = [shingles(t) for t in texts(b)]
             node = np.array([xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], ["key", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], ["key", "node", "size", "bands"])
 
-    return df.mapInArrow(run, f"key {df.schema['key'].dataType.simpleString()}, node long, bands array<long>")
+    return df.mapInArrow(run, f"key {df.schema['key'].dataType.simpleString()}, node long, size long, bands array<long>")
 
 
 def _with_sets(df: DataFrame) -> DataFrame:
@@ -106,11 +111,26 @@ def _with_sets(df: DataFrame) -> DataFrame:
     return df.select("node", "text").mapInArrow(run, "node long, hashes binary")
 
 
-def _verified(meeting: DataFrame) -> DataFrame:
-    """(a, b) of the links among the nodes of each band; rows (band, node, hashes) come sorted by band."""
+def _alike(pairs: DataFrame) -> DataFrame:
+    """(a, b) of the rows (a, b, x binary, y binary) whose sets x and y are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        band, held = None, {}
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(LEAST[1] * common >= LEAST[0] * (len(x) + len(y) - common))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _linked(meeting: DataFrame) -> DataFrame:
+    """(a, b) of the links among the nodes of each block; rows (block, node, hashes) come sorted by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, {}
 
         def out() -> pa.RecordBatch:
             found = forest(list(held), list(held.values())) if len(held) > 1 else []
@@ -119,36 +139,63 @@ def _verified(meeting: DataFrame) -> DataFrame:
 
         for b in batches:
             for k, node, hashes in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                if k != band:
+                if k != block:
                     if len(held) > 1:
                         yield out()
-                    band, held = k, {}
+                    block, held = k, {}
                 held[node] = np.frombuffer(hashes.as_buffer(), np.uint64).copy()
         yield out()
 
     return meeting.mapInArrow(run, "a long, b long")
 
 
+def _on(rows: DataFrame, one: DataFrame, left: str, right: str, how: str = "inner") -> DataFrame:
+    """rows joined with one, which has a row for each value of right. The join is dealt by other values
+    than one was, so that both sides are plain shuffles and adaptive execution may split a hot value's rows."""
+    return rows.join(one.withColumn("_on", F.bitwise_not(right)).drop(right), F.bitwise_not(left) == F.col("_on"), how).drop("_on")
+
+
+def _found(meeting: DataFrame, sets: DataFrame, names: DataFrame) -> DataFrame:
+    """(a, b): links that connect all nodes (band, node, size) that the links of their bands connect."""
+    leaders = meeting.groupBy("band").agg(F.min("node").alias("a"))
+    pairs = _on(meeting, leaders, "band", "band").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    held = _on(_on(pairs, sets.withColumnRenamed("hashes", "x"), "a", "node"), sets.withColumnRenamed("hashes", "y"), "b", "node")
+    first = _alike(held).checkpoint()
+    root = components(first, names).select(F.col("node").alias("of"), F.xxhash64(F.col("root")["node"]).alias("root"))
+    others = _on(meeting, leaders, "band", "band").where("a <> node").drop("a")
+    others = _on(others, root, "node", "of", "left").withColumn("root", F.coalesce("root", F.xxhash64("node"))).checkpoint()
+    open_bands = others.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.sum("size").alias("hashes"))
+    open_bands = open_bands.where("least <> most").select("band", F.ceil(F.col("hashes") / BLOCK).cast("int").alias("n"))
+    rest = _on(others, open_bands, "band", "band")
+    # Every two of a band's n parts meet in one block; a band of one part is one block.
+    mine = F.pmod(F.xxhash64("node", F.lit(7)), F.col("n")).cast("int")
+    with_part = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda k: F.xxhash64("band", F.least(mine, k), F.greatest(mine, k)))
+    blocks = rest.select("node", F.explode(with_part).alias("block"))
+    held = _on(blocks, sets, "node", "node").select("block", "node", "hashes").repartition("block").sortWithinPartitions("block")
+    return first.union(_linked(held)).distinct()
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, component) per input row: the lowest key that links of resemblance LEAST reach, itself included.
 
     Null and blank texts are alike. Keys must not be null and be of an orderable type; rows of one
-    key must have one text. Repeated rows give repeated results. An empty table gives no rows.
+    key must have one text. Repeated rows give repeated results. An empty table gives no rows. Texts
+    are whole however long; other columns are not looked at.
     """
     use_checkpoints(df.sparkSession)
     plain = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     rows = _sketched(plain).checkpoint()
-    nodes = rows.groupBy("node").agg(F.min("key").alias("name"), F.first("bands").alias("bands")).checkpoint()
-    spread = nodes.select("node", F.explode("bands").alias("band"))
+    nodes = rows.groupBy("node").agg(F.min("key").alias("name"), F.first("size").alias("size"), F.first("bands").alias("bands")).checkpoint()
+    spread = nodes.select("node", "size", F.explode("bands").alias("band"))
     met = spread.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("n > 1")
     once = met.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band")
-    meeting = spread.join(once, "band").checkpoint()
+    meeting = _on(spread, once.withColumn("met", F.col("band")), "band", "band").drop("met").checkpoint()
     wanted = meeting.select("node").distinct().join(nodes, "node").select("node", F.col("name").alias("key")).checkpoint()
     few = wanted.count() <= SENT
     chosen = plain.join(F.broadcast(wanted) if few else wanted, "key")
-    sets = _with_sets(chosen).checkpoint()
-    found = _verified(meeting.join(sets, "node").select("band", "node", "hashes").repartition("band").sortWithinPartitions("band")).distinct().checkpoint()
-    joined = components(found, nodes.select("node", F.struct("name", "node").alias("name"))).select("node", "root")
-    named = nodes.join(joined, "node", "left").select(F.bitwise_not("node").alias("not_node"), F.coalesce(F.col("root")["name"], F.col("name")).alias("component"))
-    # Dealt by other values than the nodes are, as in simhash, so that a hot node's rows can be split.
-    return rows.join(named, F.bitwise_not("node") == F.col("not_node")).select(F.col("key").alias(key), "component")
+    # One row a node: rows of one key have one text, but may be many.
+    sets = _with_sets(chosen.groupBy("node").agg(F.first("text").alias("text"))).checkpoint()
+    names = nodes.select("node", F.struct("name", "node").alias("name"))
+    joined = components(_found(meeting, sets, names).checkpoint(), names).select("node", "root")
+    named = nodes.join(joined, "node", "left").select("node", F.coalesce(F.col("root")["name"], F.col("name")).alias("component"))
+    return _on(rows.select("key", "node"), named, "node", "node").select(F.col("key").alias(key), "component")

@@ -168,7 +168,7 @@ def links(nodes: DataFrame) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Batches are sorted by key; a run that goes on in the next batch is carried over."""
-        held_key, held = np.empty(0, np.int64), np.empty(0, np.uint64)
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
         def pairs(key, fp, last):
             first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -185,18 +185,22 @@ def links(nodes: DataFrame) -> DataFrame:
             e = np.concatenate(edges)
             return cut, pa.RecordBatch.from_arrays([pa.array(e[:, 0].view(np.int64)), pa.array(e[:, 1].view(np.int64))], ["a", "b"])
 
+        def joined() -> tuple[np.ndarray, np.ndarray]:
+            return np.concatenate([k for k, _ in waiting]), np.ascontiguousarray(np.concatenate([f for _, f in waiting]))
+
         for b in batches:
             if not b.num_rows:
                 continue
-            held_key = np.concatenate((held_key, b.column(0).to_numpy(zero_copy_only=False)))
-            held = np.concatenate((held, b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
-            if held_key[0] == held_key[-1]:
+            key = b.column(0).to_numpy(zero_copy_only=False)
+            waiting.append((key, b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
+            if waiting[0][0][0] == key[-1]:
                 continue
-            cut, out = pairs(held_key, np.ascontiguousarray(held), False)
-            held_key, held = held_key[cut:], held[cut:]
+            held_key, held = joined()
+            cut, out = pairs(held_key, held, False)
+            waiting = [(held_key[cut:], held[cut:])]
             yield out
-        if len(held_key):
-            yield pairs(held_key, np.ascontiguousarray(held), True)[1]
+        if waiting:
+            yield pairs(*joined(), True)[1]
 
     spread_out = nodes.select("fp").mapInArrow(spread, "key long, fp long")
     return spread_out.repartition("key").sortWithinPartitions("key").mapInArrow(verify, "a long, b long").distinct()
@@ -217,21 +221,34 @@ def components(edges: DataFrame, names: DataFrame) -> DataFrame:
         # A node that a root names learns the lowest root that any of its followers has found.
         told = hooked.groupBy(F.col("root").alias("own")).agg(F.min("new").alias("told"))
         step = hooked.join(told, "own", "left").select("node", "own", "root", F.least("new", F.coalesce("told", "new")).alias("new"))
-        jump = step.select(F.col("own").alias("new"), F.col("new").alias("far"))
-        fresh = step.join(jump, "new", "left").select("node", "own", F.col("root").alias("old"), F.least("new", F.coalesce("far", "new")).alias("root")).checkpoint()
+        # A popular root is looked up by many rows: dealt by other values than the names, both sides
+        # are plain shuffles, and adaptive execution may split its rows.
+        jump = step.select(F.struct("own").alias("at"), F.col("new").alias("far"))
+        fresh = step.join(jump, F.struct(F.col("new").alias("own")) == F.col("at"), "left").select("node", "own", F.col("root").alias("old"), F.least("new", F.coalesce("far", "new")).alias("root")).checkpoint()
         moved = fresh.where("root <> old").limit(1).count()
         roots = fresh.drop("old")
         if not moved:
             return roots.select("node", "root")
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", by: str = "bits") -> DataFrame:
     """(key, fp long, component) per input row: the lowest key that links reach, itself included.
 
     Null and blank texts have fingerprint zero and are linked like any other. Keys must be of an
     orderable type; a null key has no say in a component's name unless all of it are null.
-    Repeated rows give repeated results. An empty table gives no rows.
+    Repeated rows give repeated results. An empty table gives no rows. Texts are whole however long,
+    and other columns are not looked at.
+
+    by="shingles" links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or
+    more, which is about ten differing bits, often more, and so beyond what Golay keys of 64 bits tell
+    from chance: see resemblance, whose (key, component) it gives. Keys must not be null then.
     """
+    if by not in ("bits", "shingles"):
+        raise ValueError("by is bits or shingles")
+    if by == "shingles":
+        from lodestone.llm import resemblance
+
+        return resemblance.near_duplicates(df, key, text)
     use_checkpoints(df.sparkSession)
     rows = fingerprints(df, key, text).withColumnRenamed(key, "key").checkpoint()
     # Null keys come last, and the fingerprint keeps names apart where rows of different texts share a key.

@@ -55,6 +55,30 @@ def test_stage_links_copies_of_resemblance_080_to_095(spark):
     assert sorted(r.doc_id for r in pipeline.drop_near_duplicates(spark, df, "").collect()) == want
 
 
+def test_large_bands_in_blocks(spark, monkeypatch):
+    """Chains of edits and a large group of copies of a copy, compared in many small blocks."""
+    import random
+
+    rng = random.Random(2)
+    monkeypatch.setattr(resemblance, "BLOCK", 900)
+    base = [f"b{i}" for i in range(60)]
+    texts = []
+    for _ in range(150):  # about half are near the base, all are near some other
+        w = list(base)
+        for j in rng.sample(range(12), rng.randrange(4)):
+            w[5 * j] = f"e{rng.randrange(3)}"
+        texts.append(" ".join(w))
+    for k in range(4):
+        w = [f"c{k}x{i}" for i in range(80)]
+        for j in range(30):
+            w[(7 * j) % 80] = f"d{k}x{j}"
+            texts.append(" ".join(w))
+    want = brute(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component for r in resemblance.near_duplicates(df).collect()}
+    assert [got[i] for i in range(len(texts))] == want and 8 < len(set(want)) < 200
+
+
 def test_forest_spans_dense_groups():
     import numpy as np
 
