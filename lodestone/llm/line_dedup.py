@@ -99,15 +99,15 @@ def _generalised(df: DataFrame, text: str, seen: DataFrame) -> DataFrame:
     return out.where(fit).select("whole", F.xxhash64(F.lit("fields"), "leaf", "kept").alias("template"))
 
 
-def drop_recurring(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = MIN_DOCUMENTS) -> DataFrame:
-    """df with its recurring lines taken out of text, and _dropped: the numbers of those lines.
+def drop_recurring(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = MIN_DOCUMENTS, dropped: str | None = "_dropped") -> DataFrame:
+    """df with its recurring lines taken out of text, and the numbers of those lines as a column named by dropped, if it is.
 
     Every input row stays, with all its columns; a null text stays null, and a text may become
     empty. Lines without a word are never dropped. Rows are told apart by key and text: repeated
     rows are one document and lose the same lines. The first document is the one of lowest key
     (null keys last). Templates meet by 64-bit hashes. Very long texts and lines are whole; a text's
     lines are in one row of one task. An empty table gives no rows. Other columns may have any name;
-    one named _dropped is replaced.
+    one of the name in dropped is replaced.
     """
     use_checkpoints(df.sparkSession)
     rows = packed(df)
@@ -138,4 +138,5 @@ def drop_recurring(df: DataFrame, key: str = "doc_id", text: str = "text", least
         return bound(ends, lambda e: F.flatten(F.transform(e, lambda d, i: bound(F.coalesce(F.get(e, i - 1), F.lit(-1)), lambda p: F.slice(lines, p + 2, d - p - 1)))))
 
     new = F.when(F.col("dropped").isNull(), of(text)).otherwise(F.array_join(bound(F.split(of(text), "\n", -1), kept), "\n"))
-    return joined.select(*unpacked(df.columns, {text: new, "_dropped": F.coalesce("dropped", F.array().cast("array<int>"))}))
+    numbers = {dropped: F.coalesce("dropped", F.array().cast("array<int>"))} if dropped else {}
+    return joined.select(*unpacked(df.columns, {text: new, **numbers}))
