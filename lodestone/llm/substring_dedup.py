@@ -26,8 +26,8 @@ UNITS = {
     "line": re.compile(r"\n+"),
     "paragraph": re.compile(r"\n[ \t]*\n+"),
 }
-#: A run of repeated units with fewer words stays.
-MIN_WORDS = 8
+#: A run of repeated units with fewer words stays: it is a boilerplate line or two, or chance, and no passage.
+MIN_WORDS = 25
 
 
 def cuts(text: str, unit: str) -> list[int]:
@@ -71,7 +71,8 @@ def drop_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", unit: s
     last), then by place; a unit also repeats within one document. Rows are told apart by key and
     text, so repeated rows are one document and keep the same. Null texts count as empty. Units
     meet by 128-bit digests. Hot units are counted by partial aggregation, and the join on digests
-    has one row per digest on one side, so that its other side may be split.
+    has one row per digest on one side, so that its other side may be split. Texts are whole however
+    long, one at a time; an empty table gives no rows; other columns are not looked at.
     """
     if unit not in UNITS:
         raise ValueError(f"unit must be one of {', '.join(UNITS)}")

@@ -7,11 +7,12 @@ import pytest
 
 from lodestone.llm import substring_dedup
 from lodestone.llm.common import documents
+from lodestone.llm.queries import op10_substring_dedup
 
 ENDS = {"sentence": r"[.!?]+[ \t]+|[.!?]*\n+", "line": r"\n+", "paragraph": r"\n[ \t]*\n+"}
 
 
-def brute(rows, unit, least=8):
+def brute(rows, unit, least):
     """{(key, text): (text left, [(start, stop, first)])}."""
     first, parts = {}, {}
     for key, text in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
@@ -44,17 +45,25 @@ def brute(rows, unit, least=8):
     return parts
 
 
-def check(df, unit="sentence"):
+def check(df, unit="sentence", least=8):
     rows = [(r.doc_id, r.text or "") for r in df.collect()]
-    want = brute(rows, unit)
-    got = sorted(((r.doc_id, r.text, [tuple(x) for x in r.removed]) for r in substring_dedup.drop_repeats(df, unit=unit).collect()), key=str)
+    want = brute(rows, unit, least)
+    got = sorted(((r.doc_id, r.text, [tuple(x) for x in r.removed]) for r in substring_dedup.drop_repeats(df, unit=unit, least=least).collect()), key=str)
     assert got == sorted(((k, *want[k, t]) for k, t in rows), key=str)
     return want
 
 
 @pytest.mark.parametrize("unit", ["sentence", "line"])
-def test_documents(spark, sf_dir, unit):
-    assert any(spans for _, spans in check(documents(spark, sf_dir), unit).values())
+@pytest.mark.parametrize("least", [1, substring_dedup.MIN_WORDS])
+def test_documents(spark, sf_dir, unit, least):
+    assert any(spans for _, spans in check(documents(spark, sf_dir), unit, least).values())
+
+
+def test_query(spark, sf_dir):
+    rows = [(r.doc_id, r.text) for r in documents(spark, sf_dir).collect()]
+    want = brute(rows, "sentence", substring_dedup.MIN_WORDS)
+    got = {r.doc_id: (r.text, r.n_removed, [tuple(x) for x in r.removed]) for r in op10_substring_dedup(spark, sf_dir).collect()}
+    assert got == {k: (want[k, t][0], len(want[k, t][1]), want[k, t][1]) for k, t in rows}
 
 
 def test_passage_inside_lines(spark):
