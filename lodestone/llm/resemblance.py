@@ -31,8 +31,8 @@ LEAST = (4, 5)
 BANDS, ROWS = 24, 4
 #: Candidates up to this number are sent to all tasks; more are joined by a shuffle.
 SENT = 200_000
-#: Hashes of the sets that are compared in one block.
-BLOCK = 1_000_000
+#: Hashes of the sets that are compared in one block, and its least number of sets.
+BLOCK, BLOCK_SETS = 100_000, 64
 
 _SEEDS = np.random.default_rng(1).integers(0, 2**64, (2, BANDS * ROWS), dtype=np.uint64)
 
@@ -164,8 +164,9 @@ def _found(meeting: DataFrame, sets: DataFrame, names: DataFrame) -> DataFrame:
     root = components(first, names).select(F.col("node").alias("of"), F.xxhash64(F.col("root")["node"]).alias("root"))
     others = _on(meeting, leaders, "band", "band").where("a <> node").drop("a")
     others = _on(others, root, "node", "of", "left").withColumn("root", F.coalesce("root", F.xxhash64("node"))).checkpoint()
-    open_bands = others.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.sum("size").alias("hashes"))
-    open_bands = open_bands.where("least <> most").select("band", F.ceil(F.col("hashes") / BLOCK).cast("int").alias("n"))
+    open_bands = others.groupBy("band").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.sum("size").alias("hashes"), F.count("*").alias("sets"))
+    parts = F.least(F.ceil(F.col("hashes") / BLOCK), F.ceil(F.col("sets") / BLOCK_SETS)).cast("int")
+    open_bands = open_bands.where("least <> most").select("band", parts.alias("n"))
     rest = _on(others, open_bands, "band", "band")
     # Every two of a band's n parts meet in one block; a band of one part is one block.
     mine = F.pmod(F.xxhash64("node", F.lit(7)), F.col("n")).cast("int")

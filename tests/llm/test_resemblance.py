@@ -61,6 +61,7 @@ def test_large_bands_in_blocks(spark, monkeypatch):
 
     rng = random.Random(2)
     monkeypatch.setattr(resemblance, "BLOCK", 900)
+    monkeypatch.setattr(resemblance, "BLOCK_SETS", 10)
     base = [f"b{i}" for i in range(60)]
     texts = []
     for _ in range(150):  # about half are near the base, all are near some other
