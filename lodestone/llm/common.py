@@ -23,8 +23,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def words(text: Column) -> Column:
     """Array of the ASCII-white-space separated words of a text; null and blank texts have none."""
-    spaced = F.translate(F.coalesce(text, F.lit("")), SPACES[1:], " " * (len(SPACES) - 1))
-    return F.array_remove(F.split(spaced, " ", -1), "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", -1), "")
 
 
 def held_out(doc_id: Column, k: int) -> Column:

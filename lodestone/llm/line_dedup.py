@@ -13,7 +13,7 @@ the same surroundings and so make no template recur, while boilerplate does, one
 them. Recurring lines stay in the first document that has them, and are dropped from all others.
 
 Everything is built-in DataFrame functions. What is shuffled for the counts are 64-bit hashes, not
-lines; leaves that have enough different lines are looked up once more, and only they send tokens.
+lines; only leaves that have enough different lines send the hashes of their tokens.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import SPACES, bound, packed, unpacked, use_checkpoints, words
+from lodestone.llm.common import bound, packed, unpacked, use_checkpoints, words
 
 DEPTH = 3
 #: Leaves are looked at in lines of so many tokens after the leading ones.
@@ -38,7 +38,7 @@ LEAF_BUCKETS = 1 << 17
 def _lines(text: Column) -> Column:
     """Array of (line, at, context) of the lines with a word; context hashes the lines around it."""
     numbered = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct(i.alias("at"), x.alias("line")))
-    filled = F.filter(numbered, lambda s: F.length(F.translate(s["line"], SPACES, "")) > 0)
+    filled = F.filter(numbered, lambda s: s["line"].rlike(r"[^\x20\x09-\x0D]"))
     beside = lambda a, k: F.coalesce(F.get(a, k)["line"], F.lit("\n"))
     return bound(filled, lambda a: F.transform(a, lambda s, k: F.struct(s["line"].alias("line"), s["at"].alias("at"), F.xxhash64(beside(a, k - 1), beside(a, k + 1)).alias("context"))))
 
@@ -58,14 +58,18 @@ def _leaf(w: Column) -> Column:
 
 
 def _marks(text: Column) -> Column:
-    """Array of (at, context, size, whole, leaf, total) of a text's lines; total is the text's words."""
+    """Array of (at, context, size, whole, leaf, tokens, total) of a text's lines.
+
+    tokens are 32-bit hashes of the tokens after the leading ones, total is the text's words.
+    """
 
     def mark(s: Column) -> Column:
-        return bound(_masked(s["line"]), lambda w: F.struct(s["at"].alias("at"), s["context"].alias("context"), F.size(w).cast("long").alias("size"), _whole(w).alias("whole"), _leaf(w).alias("leaf")))
+        rest = lambda w: F.when(F.size(w) >= DEPTH + LEAST_REST, F.transform(F.slice(w, F.lit(DEPTH + 1), F.size(w)), lambda x: F.hash(x)))
+        return bound(_masked(s["line"]), lambda w: F.struct(s["at"].alias("at"), s["context"].alias("context"), F.size(w).cast("long").alias("size"), _whole(w).alias("whole"), _leaf(w).alias("leaf"), rest(w).alias("tokens")))
 
     def summed(a: Column) -> Column:
         total = F.aggregate(a, F.lit(0).cast("long"), lambda n, m: n + m["size"])
-        return bound(total, lambda t: F.transform(a, lambda m: F.struct(*(m[x].alias(x) for x in ("at", "context", "size", "whole", "leaf")), t.alias("total"))))
+        return bound(total, lambda t: F.transform(a, lambda m: F.struct(*(m[x].alias(x) for x in ("at", "context", "size", "whole", "leaf", "tokens")), t.alias("total"))))
 
     return bound(F.transform(_lines(text), mark), summed)
 
@@ -76,17 +80,14 @@ def _meet(rows: DataFrame, few: DataFrame, on: str) -> DataFrame:
     return rows.join(few.withColumn("_on", F.bitwise_not(on)).drop(on), F.bitwise_not(rows[on]) == F.col("_on")).drop("_on")
 
 
-def _generalised(df: DataFrame, text: str, seen: DataFrame) -> DataFrame:
+def _generalised(seen: DataFrame) -> DataFrame:
     """(whole, template) of the lines that have a template without their leaf's variable fields."""
     leaves = seen.where("leaf IS NOT NULL").select("leaf", "whole").distinct().groupBy("leaf").agg(F.count("*").alias("m")).where(F.col("m") >= MIN_DOCUMENTS).checkpoint()
     bucket = lambda leaf: F.pmod(leaf, F.lit(LEAF_BUCKETS))
     # At most LEAF_BUCKETS rows whatever the corpus: a filter before the exact join, which alone decides.
     some = F.broadcast(leaves.select(bucket(F.col("leaf")).alias("bucket")).distinct())
-    each = df.select(F.explode(F.split(F.col(text), "\n", -1)).alias("line")).select(_masked(F.col("line")).alias("w"))
-    each = each.select("w", _leaf(F.col("w")).alias("leaf")).where("leaf IS NOT NULL")
-    each = each.join(some, bucket(F.col("leaf")) == F.col("bucket"), "left_semi")
-    tokens = F.transform(F.slice("w", F.lit(DEPTH + 1), F.size("w")), lambda x: F.xxhash64(x))
-    each = each.select("leaf", _whole(F.col("w")).alias("whole"), tokens.alias("tokens")).dropDuplicates(["leaf", "whole"])
+    each = seen.where("leaf IS NOT NULL").select("leaf", "whole", "tokens")
+    each = each.join(some, bucket(F.col("leaf")) == F.col("bucket"), "left_semi").dropDuplicates(["leaf", "whole"])
     lines = _meet(each, leaves, "leaf").checkpoint()
     at = lines.select("leaf", "m", F.posexplode("tokens").alias("place", "token")).groupBy("leaf", "place", "token").agg(F.count("*").alias("n"), F.first("m").alias("m"))
     fixed = F.when((F.col("n") >= MIN_DOCUMENTS) & (F.col("n") * SHARE >= F.col("m")), F.col("token"))
@@ -116,7 +117,7 @@ def drop_recurring(df: DataFrame, key: str = "doc_id", text: str = "text", least
     seen = texts.select("key", F.xxhash64("text").alias("hash"), F.inline(_marks(F.col("text")))).checkpoint()
     columns = ["key", "hash", "at", "context", "size", "total"]
     lines = seen.select(*columns, F.col("whole").alias("template"))
-    fields = _generalised(texts, "text", seen).checkpoint()
+    fields = _generalised(seen).checkpoint()
     lines = lines.unionByName(_meet(seen, fields, "whole").select(*columns, "template"))
     often = lines.select("template", "hash").distinct().groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     marked = _meet(lines, often.select("template"), "template").checkpoint()
@@ -125,7 +126,9 @@ def drop_recurring(df: DataFrame, key: str = "doc_id", text: str = "text", least
     own = share.agg((2 * F.sum("size") <= F.max("total")).alias("own"))
     doc = F.struct(F.col("key").isNull().alias("none"), "key", "hash")
     by = _meet(marked, own, "hash").groupBy("template", "hash").agg(F.min(doc).alias("doc"), F.min("context").alias("context"), F.max("own").alias("own"))
-    recurring = by.groupBy("template").agg(F.min("doc").alias("first"), F.count_if("own").alias("n"), F.count_distinct("context").alias("around"))
+    # By context first: a common template's rows are then summed in each task before they meet.
+    by = by.groupBy("template", "context").agg(F.min("doc").alias("first"), F.count_if("own").alias("n"))
+    recurring = by.groupBy("template").agg(F.min("first").alias("first"), F.sum("n").alias("n"), F.count("*").alias("around"))
     recurring = recurring.where((F.col("n") >= least) | (F.col("around") >= least)).select("template", "first")
     gone = _meet(marked, recurring, "template").where(doc != F.col("first"))
     gone = gone.groupBy("key", "hash").agg(F.sort_array(F.collect_set("at")).alias("dropped"))

@@ -70,7 +70,7 @@ def _covered(windows: Column) -> Column:
 def measure(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, the MEASURES) of each row. A null text measures as an empty one; nothing is shuffled."""
     t = F.coalesce(F.col(text), F.lit(""))
-    lines = F.filter(F.split(t, "\n", -1), lambda x: _without(x, SPACES) > 0)
+    lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     w = words(F.col(text))
     of_words = bound(w, lambda x: F.struct(F.size(x).cast("bigint").alias("n"), bound(_windows(x), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("bigint")).otherwise(_covered(h))).alias("repeats")))
     of_lines = bound(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
