@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -77,6 +78,19 @@ def use_checkpoints(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lodestone-checkpoint-"))
 
 
+def written(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
+    """df written as Parquet in the shared folder and read again, and what deletes it: for wide rows
+    that are read more than once, a few columns at a time, and are done with before the result is."""
+    spark, path = df.sparkSession, f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+
+    def delete() -> None:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+    return spark.read.schema(df.schema).parquet(path), delete
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Cut batches so that the column's text is about limit bytes in each (single rows may be longer).
 

@@ -91,18 +91,22 @@ def printed(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda x: F.lpad(F.hex(x), 16, "0")), "")
 
 
+#: What tells documents apart: whether they have a key, the key (or 0), a hash of the text.
+ID = ("known", "key", "hash")
+
+
 def _successors(ids: DataFrame) -> DataFrame:
-    """ids (key, hash, ...; rows are different) with next: struct(key, hash) of the row after it, the first one after the last.
+    """ids (ID, ...; rows are different) with next: struct of the ID of the row after it, the first one after the last.
 
     Rows are dealt to ranges by sampled keys and ordered there. Only the first row of each range meets
     the others' in one task.
     """
-    placed = ids.repartitionByRange("key", "hash").withColumn("part", F.spark_partition_id()).checkpoint()
-    own = F.struct("key", "hash")
+    placed = ids.repartitionByRange(*ID).withColumn("part", F.spark_partition_id()).checkpoint()
+    own = F.struct(*ID)
     every = Window.partitionBy(F.lit(0))
     heads = placed.groupBy("part").agg(F.min(own).alias("head"))
     heads = heads.select(F.col("part").alias("of"), F.coalesce(F.lead("head").over(every.orderBy("part")), F.min("head").over(every)).alias("head"))
-    inside = Window.partitionBy("part").orderBy("key", "hash")
+    inside = Window.partitionBy("part").orderBy(*ID)
     led = placed.withColumn("after", F.lead(own).over(inside)).join(heads, F.col("part") == F.col("of"))
     return led.withColumn("next", F.coalesce("after", "head")).drop("part", "of", "after", "head")
 
@@ -112,19 +116,27 @@ def edited(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     edited replaces the last quarter of a text's code points by the first as many of the next
     document's. Documents follow by key, null keys first, those of one key by a hash of their text;
-    the first one follows the last. Repeated rows are one document. Null texts are empty; texts are
-    whole however long; an empty table gives no rows; other columns are not looked at. A row sends
-    its text once, and to the row before it the part that is needed there.
+    the first one follows the last. Repeated rows are one document, and are many again at the end.
+    Null texts are empty; texts are whole however long; an empty table gives no rows; other columns
+    are not looked at. A document sends its text once, and to the one before it the part that is
+    needed there.
     """
     use_checkpoints(df.sparkSession)
-    rows = df.select(F.col(key).cast("bigint").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
-    ids = rows.select("key", "hash", F.floor(F.length("text") / 4).cast("int").alias("cut")).distinct()
-    before = _successors(ids).select(F.col("key").alias("to_key"), F.col("hash").alias("to_hash"), "cut", F.col("next.key").alias("next_key"), F.col("next.hash").alias("next_hash"))
-    rows = rows.withColumn("sketch", sketch(F.col("text")))
-    given = rows.join(before, F.col("key").eqNullSafe(F.col("next_key")) & (F.col("hash") == F.col("next_hash")))
-    given = given.select("to_key", "to_hash", F.substring(F.col("text"), F.lit(1), F.col("cut")).alias("start"), "sketch")
-    given = given.groupBy("to_key", "to_hash").agg(F.first("start").alias("start"), F.first("sketch").alias("next_sketch"))
-    pairs = rows.join(given, F.col("key").eqNullSafe(F.col("to_key")) & (F.col("hash") == F.col("to_hash")))
+    rows = df.select(F.col(key).isNotNull().alias("known"), F.coalesce(F.col(key).cast("bigint"), F.lit(0)).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    ids = rows.select(*ID, F.floor(F.length("text") / 4).cast("int").alias("cut")).distinct()
+    to = [F.col(c).alias(f"to_{c}") for c in ID]
+    before = _successors(ids).select(*to, "cut", *(F.col("next").getField(c).alias(f"next_{c}") for c in ID))
+    docs = rows.groupBy(*ID).agg(F.first("text").alias("text"), F.count("*").alias("n"))
+    same = lambda name: [F.col(c) == F.col(f"{name}_{c}") for c in ID]
+    # Reading n keeps this branch's shuffle the same as the other's, so that it is reused.
+    given = docs.join(before, same("next")).where("n > 0")
+    given = given.select(*(f"to_{c}" for c in ID), F.substring(F.col("text"), F.lit(1), F.col("cut")).alias("start"), sketch(F.col("text")).alias("next_sketch"))
+    pairs = docs.join(given, same("to"))
     kept = F.substring(F.col("text"), F.lit(1), F.length("text") - F.floor(F.length("text") / 4).cast("int"))
-    out = pairs.withColumn("edited", F.concat(kept, "start")).withColumn("edited_sketch", sketch(F.col("edited")))
-    return out.select(F.col("key").alias(key), "text", "edited", "sketch", "edited_sketch", "next_sketch")
+    out = pairs.withColumn("edited", F.concat(kept, "start")).withColumns({"sketch": sketch(F.col("text")), "edited_sketch": sketch(F.col("edited"))})
+    # Copies come back in groups, so that no array has as many elements as there are copies.
+    group = F.lit(1 << 16)
+    out = out.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, group.cast("long"))))
+    out = out.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.least(group, F.col("n") - F.col("from")).cast("int"))))
+    return out.select(F.when(F.col("known"), F.col("key")).alias(key), "text", "edited", "sketch", "edited_sketch", "next_sketch")

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import bound, packed, unpacked, use_checkpoints, words
+from lodestone.llm.common import bound, packed, unpacked, use_checkpoints, words, written
 
 DEPTH = 3
 #: Leaves are looked at in lines of so many tokens after the leading ones.
@@ -100,6 +100,16 @@ def _generalised(seen: DataFrame) -> DataFrame:
     return out.where(fit).select("whole", F.xxhash64(F.lit("fields"), "leaf", "kept").alias("template"))
 
 
+def _marked(seen: DataFrame, least: int) -> DataFrame:
+    """(key, hash, at, context, size, total, template) of the lines whose template comes in enough different texts."""
+    columns = ["key", "hash", "at", "context", "size", "total"]
+    lines = seen.select(*columns, F.col("whole").alias("template"))
+    fields = _generalised(seen).checkpoint()
+    lines = lines.unionByName(_meet(seen, fields, "whole").select(*columns, "template"))
+    often = lines.select("template", "hash").distinct().groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return _meet(lines, often.select("template"), "template").checkpoint()
+
+
 def drop_recurring(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = MIN_DOCUMENTS, dropped: str | None = "_dropped") -> DataFrame:
     """df with its recurring lines taken out of text, and the numbers of those lines as a column named by dropped, if it is.
 
@@ -114,13 +124,11 @@ def drop_recurring(df: DataFrame, key: str = "doc_id", text: str = "text", least
     rows = packed(df)
     of = lambda c: F.col("row").getField(c)
     texts = rows.where(of(text).isNotNull()).select(of(key).alias("key"), of(text).alias("text"))
-    seen = texts.select("key", F.xxhash64("text").alias("hash"), F.inline(_marks(F.col("text")))).checkpoint()
-    columns = ["key", "hash", "at", "context", "size", "total"]
-    lines = seen.select(*columns, F.col("whole").alias("template"))
-    fields = _generalised(seen).checkpoint()
-    lines = lines.unionByName(_meet(seen, fields, "whole").select(*columns, "template"))
-    often = lines.select("template", "hash").distinct().groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    marked = _meet(lines, often.select("template"), "template").checkpoint()
+    seen, delete = written(texts.select("key", F.xxhash64("text").alias("hash"), F.inline(_marks(F.col("text")))))
+    try:
+        marked = _marked(seen, least)
+    finally:
+        delete()
     # Texts of which no more than half is in such lines.
     share = marked.groupBy("hash", "at").agg(F.max("size").alias("size"), F.max("total").alias("total")).groupBy("hash")
     own = share.agg((2 * F.sum("size") <= F.max("total")).alias("own"))
