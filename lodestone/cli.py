@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import agent, chunking, prompt, quantise
-from lodestone.operators.session import ConversationMemory, QueryRewriter
+from lodestone.operators.session import history_text, rewriter
 from lodestone.plans import retrieval
 from lodestone.plans.text_queries import TERMS
 from lodestone.sources import files
@@ -58,24 +58,29 @@ def ask(spark: SparkSession, args: argparse.Namespace, llm=None) -> str:
 
 
 def chat(spark: SparkSession, args: argparse.Namespace, llm=None, lines=None) -> list[str]:
-    """Answer lines until /exit; /clear forgets, /docs lists the files."""
-    pipeline, llm, memory, out = open_pipeline(spark, args), llm or agent.MockLLM(), ConversationMemory(), []
+    """Answer lines until /exit; /clear forgets, /docs lists the files, /cache tells how often prefixes were seen before."""
+    pipeline, llm, memory, out = open_pipeline(spark, args), llm or agent.MockLLM(), [], []
 
     def list_documents() -> str:
         listed = chunking.listed(pipeline.chunks.select(F.col("metadata.file_name").alias("file_name"), "document_id"), "file_name", "document_id")
-        return json.dumps({r.file_name: r.n_chunks for r in listed.limit(1000).collect()}, ensure_ascii=False)
+        return json.dumps({r.file_name: r.n_chunks for r in listed.toLocalIterator()}, ensure_ascii=False)
 
     tools = agent.ToolRegistry()
     tools.register(agent.Tool("search_knowledge_base", "在知识库中搜索相关文档", lambda query, top_k=5: found_text(spark, pipeline, query, int(top_k)), {"query": {"type": "string"}, "top_k": {"type": "integer"}}))
     tools.register(agent.Tool("list_documents", "列出知识库中的文档", list_documents))
-    rewriter = QueryRewriter(llm)
+    rewrite, bot = rewriter(llm.generate), agent.ReActAgent(llm, tools, memory)
     for line in lines if lines is not None else iter(input, "/exit"):
         if line in ("/exit", "/quit"):
             break
         if line == "/clear":
             memory.clear()
             continue
-        text = list_documents() if line == "/docs" else agent.ReActAgent(llm, tools, memory.messages).run(rewriter.rewrite(line, [memory.history_text()] if len(memory) else None))
+        if line == "/docs":
+            text = list_documents()
+        elif line == "/cache":
+            text = json.dumps({"uses": len(bot.uses), "hits": sum(hit for _, hit in bot.uses)})
+        else:
+            text = bot.run(rewrite(line, [history_text(memory)] if memory else []))
         out.append(text)
         print(text)
     return out

@@ -23,8 +23,15 @@ def prefix_key(text: Column) -> Column:
 
 
 def term_vector(text: Column, terms: list[str]) -> Column:
-    """A unit vector of substring counts of some terms; no occurrence at all gives a small last component."""
-    count = [(F.length(text) - F.length(F.replace(text, F.lit(t), F.lit("")))) / F.lit(float(len(t))) for t in terms]
-    raw = F.array(*count)
-    filled = F.when(F.exists(raw, lambda x: x > 0), raw).otherwise(F.array(*([F.lit(0.0)] * (len(terms) - 1)), F.lit(0.1)))
-    return F.element_at(F.transform(F.array(filled), lambda v: F.transform(v, lambda x: x / F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y)))), 1)
+    """A unit vector of substring counts of some terms; no occurrence at all gives a small last component.
+
+    The text and the counts are lambda variables, so that no optimiser copies what computes them.
+    """
+    bound = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    count = lambda t, term: (F.length(t) - F.length(F.replace(t, F.lit(term), F.lit("")))) / F.lit(float(len(term)))
+    nothing = F.array(*([F.lit(0.0)] * (len(terms) - 1)), F.lit(0.1))
+    size = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y * y))
+    unit = lambda v: bound(size(v), lambda n: F.transform(v, lambda x: x / n))
+    filled = lambda v: F.when(F.exists(v, lambda x: x > 0), v).otherwise(nothing)
+    counts = bound(text, lambda t: F.array(*(count(t, term) for term in terms)))
+    return bound(counts, lambda v: bound(filled(v), unit))

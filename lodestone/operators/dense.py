@@ -1,40 +1,61 @@
 """Exact vector search of a set of queries, in blocks.
 
 Queries and corpus are packed into blocks of rows; each pair of blocks is one matrix product in an
-Arrow task that keeps only its best k, so nothing of the size queries x corpus is ever a row.
+Arrow task that keeps only its best k, so nothing of the size queries x corpus is ever a row. The
+packed queries are measured, and sent to all tasks in groups of a bounded size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.bm25 import top
+from lodestone.sources.shared import use_checkpoints
 
 CORPUS_BLOCK, QUERY_BLOCK = 4096, 1024
+#: Bytes of packed queries that are sent to all tasks at once.
+SENT = 64_000_000
+
+
+def rows_of(vectors: pa.Array) -> np.ndarray:
+    """A list column without nulls as a matrix of doubles; vectors have one dimension all."""
+    n = len(vectors)
+    flat = pc.list_flatten(vectors).to_numpy(zero_copy_only=False).astype(np.float64)
+    if n and (len(flat) % n or pc.min_max(pc.list_value_length(vectors)).as_py() != {"min": len(flat) // n, "max": len(flat) // n}):
+        raise ValueError("vectors of different dimensions")
+    return flat.reshape(n, -1)
 
 
 def pack(df: DataFrame, key: str, vector: str, rows: int, prefix: str) -> DataFrame:
-    """Blocks (prefix_ids array<long>, prefix_data binary of doubles) of up to so many rows."""
+    """Blocks (prefix_ids array<long>, prefix_data binary of doubles) of up to so many rows; null vectors are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out(ids: np.ndarray, data: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([data.tobytes()], pa.binary())], ["i", "d"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, data = [], []
         for b in batches:
-            for i, v in zip(b["key"], b["vector"], strict=True):
-                ids.append(i)
-                data.append(np.asarray(v, np.float64))
-                if len(ids) == rows:
-                    yield pd.DataFrame({"i": [ids], "d": [np.concatenate(data).tobytes()]})
-                    ids, data = [], []
-        if ids:
-            yield pd.DataFrame({"i": [ids], "d": [np.concatenate(data).tobytes()]})
+            b = b.filter(pc.is_valid(b.column(1)))
+            if b.num_rows:
+                held.append((b.column(0).to_numpy(zero_copy_only=False), rows_of(b.column(1))))
+            while sum(len(i) for i, _ in held) >= rows:
+                ids, data = (np.concatenate(x) for x in zip(*held, strict=True))
+                yield out(ids[:rows], data[:rows])
+                held = [(ids[rows:], data[rows:])]
+        if sum(len(i) for i, _ in held):
+            yield out(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
-    named = df.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("vector")).where("vector is not null")
-    return named.mapInPandas(run, "i array<long>, d binary").toDF(f"{prefix}_ids", f"{prefix}_data")
+    named = df.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("vector"))
+    return named.mapInArrow(run, "i array<long>, d binary").toDF(f"{prefix}_ids", f"{prefix}_data")
 
 
 def search(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -62,7 +83,16 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine"
                 best = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :k]
                 yield pd.DataFrame({"query_id": np.repeat(np.asarray(qi), best.shape[1]), "doc_id": ids[best].ravel(), "score": np.take_along_axis(s, best, 1).ravel()})
 
-    blocks = pack(corpus, key, vector, CORPUS_BLOCK, "c").crossJoin(pack(queries, key, vector, QUERY_BLOCK, "q"))
-    found = blocks.mapInPandas(run, "query_id long, doc_id long, score double") if k > 0 else blocks.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
+    schema = "query_id long, doc_id long, score double"
+    if k <= 0:
+        return top(queries.sparkSession.createDataFrame([], schema), k)
+    use_checkpoints(queries.sparkSession)
+    asked = pack(queries, key, vector, QUERY_BLOCK, "q").checkpoint()
+    n = -(-(asked.agg(F.sum(F.length("q_data"))).collect()[0][0] or 0) // SENT)
+    blocks = pack(corpus, key, vector, CORPUS_BLOCK, "c")
+    if n > 1:
+        blocks = blocks.checkpoint()  # read once for each group
+    part = F.pmod(F.xxhash64("q_ids"), F.lit(max(1, n)))
+    found = reduce(DataFrame.union, (blocks.crossJoin(F.broadcast(asked.where(part == i))).mapInPandas(run, schema) for i in range(max(1, n))))
     ranked = top(found, k)
     return ranked if metric == "cosine" else ranked.withColumn("score", F.abs("score"))

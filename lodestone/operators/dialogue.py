@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict
-from collections.abc import Iterator
+import json
+import re
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -53,28 +55,47 @@ def cleaned_rewrite(answer: Column, query: Column) -> Column:
     return F.when(F.length(out) > 0, out).otherwise(query)
 
 
+class Recall:
+    """What the last few keys gave, as a fold: recall(key, make) is (the value, whether it was held).
+
+    "lru" forgets the key that was not used for longest, "fifo" the one that came in first.
+    """
+
+    def __init__(self, capacity: int, policy: str = "lru"):
+        if policy not in ("lru", "fifo") or capacity <= 0:
+            raise ValueError("policy is lru or fifo, capacity is positive")
+        self.capacity, self.refresh, self.held = capacity, policy == "lru", {}
+
+    def __contains__(self, key: Hashable) -> bool:
+        return key in self.held
+
+    def __call__(self, key: Hashable, make: Callable[[], Any] = lambda: None) -> tuple[Any, bool]:
+        hit = key in self.held
+        value = self.held[key] if hit else make()
+        if hit and self.refresh:
+            del self.held[key]
+        self.held.setdefault(key, value)  # dicts keep the order of insertion
+        if len(self.held) > self.capacity:
+            del self.held[next(iter(self.held))]
+        return value, hit
+
+
 def replay(trace: DataFrame, capacity: int, policy: str = "lru") -> DataFrame:
     """trace (session, seq long, key) with hit boolean: whether the session's cache held the key.
 
     "lru" refreshes a key when it is used; "fifo" evicts what came in first. A session's rows are
     read in order as a stream whose state is the cache itself, so long sessions need no memory.
     """
-    if policy not in ("lru", "fifo") or capacity <= 0:
-        raise ValueError("policy is lru or fifo, capacity is positive")
+    Recall(capacity, policy)  # wrong arguments are told at once
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        session, cache = None, OrderedDict()
+        session, recall = None, Recall(capacity, policy)
         for b in batches:
             hits = []
             for s, key in zip(b["session"], b["key"], strict=True):
                 if s != session:
-                    session, cache = s, OrderedDict()
-                hits.append(key in cache)
-                if key in cache and policy == "lru":
-                    cache.move_to_end(key)
-                cache.setdefault(key, None)
-                if len(cache) > capacity:
-                    cache.popitem(last=False)
+                    session, recall = s, Recall(capacity, policy)
+                hits.append(recall(key)[1])
             yield b.assign(hit=hits)
 
     kind = trace.schema["session"].dataType.simpleString()
@@ -88,32 +109,49 @@ def hit_rates(replayed: DataFrame) -> DataFrame:
     return by.withColumn("hit_rate", F.round(F.col("hits") / (F.col("hits") + F.col("misses")), 6))
 
 
-#: What marks a call and an answer in a model's output.
+#: What marks a call, an answer and a step of thought in a model's output.
 CALL = r"(?s)<tool_call>\s*(\{.*?\})\s*</tool_call>"
 ANSWER = r"(?is)Final Answer\s*[:：]\s*(.+)"
-NO_ANSWER = ("Thought", "Action", "Observation")
+THOUGHT = "Thought|Action|Observation"
+#: The last line that is no step of thought, in a text without any mark of a call.
+LAST_LINE = rf"(?s)\A(?!.*<tool_call>)(?:.*\n)?[^\S\n]*(?!{THOUGHT})(\S[^\n]*)"
+#: What an output is: the first pattern whose first group can be read. A call is JSON with a name, an answer any text.
+OUTPUTS = (("action", CALL), ("final_answer", ANSWER), ("final_answer", LAST_LINE))
 
 
 def parse_output(text: Column) -> Column:
-    """struct(type, tool_name, arguments, content) of a model's output.
-
-    A well-formed call with a name is an action; else what follows the answer mark, or the last
-    line that is not a step of thought (only without any call mark), is the final answer; anything
-    else is unknown.
-    """
-    bare = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
-    call = F.regexp_extract(text, CALL, 1)
-    name = F.get_json_object(call, "$.name")
-    lines = F.filter(F.transform(F.split(bare(text), "\n"), bare), lambda x: (x != "") & ~x.rlike(f"^({'|'.join(NO_ANSWER)})"))
-    line = F.when(~F.contains(text, F.lit("<tool_call>")), F.get(lines, F.size(lines) - 1))
-    answer = F.when(text.rlike(ANSWER), bare(F.regexp_extract(text, ANSWER, 1))).otherwise(line)
-    action = name.isNotNull()
-    return F.struct(
-        F.when(action, "action").when(answer.isNotNull(), "final_answer").otherwise("unknown").alias("type"),
-        F.when(action, name).alias("tool_name"),
-        F.when(action, F.coalesce(F.get_json_object(call, "$.arguments"), F.lit("{}"))).alias("arguments"),
-        F.when(~action, F.coalesce(answer, text)).alias("content"),
-    )
+    """struct(type, tool_name, arguments, content) of a model's output by OUTPUTS; what none of them reads
+    is unknown and its own content."""
+    empty = F.lit(None).cast("string")
+
+    def row(kind: str, name: Column = empty, arguments: Column = empty, content: Column = empty) -> Column:
+        return F.struct(F.lit(kind).alias("type"), name.alias("tool_name"), arguments.alias("arguments"), content.alias("content"))
+
+    found = row("unknown", content=text)
+    for kind, pattern in reversed(OUTPUTS):
+        group = F.regexp_extract(text, pattern, 1)
+        if kind == "action":
+            name = F.get_json_object(group, "$.name")
+            found = F.when(name.isNotNull(), row(kind, name, F.coalesce(F.get_json_object(group, "$.arguments"), F.lit("{}")))).otherwise(found)
+        else:
+            found = F.when(text.rlike(pattern), row(kind, content=F.regexp_replace(group, r"^\s+|\s+$", ""))).otherwise(found)
+    return found
+
+
+def read_output(text: str) -> dict[str, Any]:
+    """parse_output for one text on the driver, with the call's arguments as a dict."""
+
+    def read(kind: str, group: str) -> dict[str, Any] | None:
+        if kind != "action":
+            return {"type": kind, "content": group.strip()}
+        try:
+            call = json.loads(group)
+            return {"type": kind, "tool_name": call["name"], "arguments": call.get("arguments", {})}
+        except (ValueError, LookupError, TypeError, AttributeError):
+            return None
+
+    tried = (read(kind, m[1]) for kind, pattern in OUTPUTS if (m := re.search(pattern, text)))
+    return next(filter(None, tried), {"type": "unknown", "content": text})
 
 
 def kv_budget(used: Column, total: int = 4096, warn: float = 0.9, chunk: int = 512, reserved: int = 200) -> Column:

@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 from lodestone.operators.bm25 import top
 
 
+#: Queries of a cluster that are searched together, and probes up to which queries are sent to all tasks.
+QUERY_GROUP, SENT = 1024, 100_000
+
+
 def nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     """The nearest centroid of each row, lowest index on ties (distances to 9 digits)."""
     d = np.round((x * x).sum(1)[:, None] + (centroids * centroids).sum(1) - 2 * x @ centroids.T, 9)
@@ -30,9 +34,16 @@ def matrix(values) -> np.ndarray:
 
 
 def _start(points: DataFrame, k: int, seed: int) -> np.ndarray:
-    """The k points of lowest id hash."""
-    rows = points.orderBy(F.xxhash64("vec_id", F.lit(seed)), "vec_id").limit(k).select("embedding").collect()
-    return matrix([r.embedding for r in rows])
+    """The k points of lowest id hash. Those of a share of the hashes that holds about twice as many are
+    looked at, or of a larger one if it holds too few, so that what is collected follows k alone."""
+    rows = points.select(F.xxhash64("vec_id", F.lit(seed)).alias("h"), "vec_id", "embedding")
+    n, tried = points.count(), 2 * k + 64
+    while True:
+        low = rows if tried >= n else rows.where(F.col("h") < -(2**63) + tried * 2**64 // n)
+        found = low.dropDuplicates(["h"]).collect()
+        if len(found) >= k or tried >= n:
+            return matrix([r.embedding for r in sorted(found, key=lambda r: (r.h, r.vec_id))[:k]])
+        tried *= 2
 
 
 def lloyd(points: DataFrame, start: np.ndarray, passes: int) -> np.ndarray:
@@ -176,9 +187,11 @@ def search(codes: DataFrame, index: IvfPq, queries: DataFrame, k: int, n_probe:
 
     packed = codes.mapInPandas(lists, "cluster long, ids array<long>, codes binary")
     asked = queries.select("vec_id", "embedding").mapInPandas(probe, "query_id long, cluster long, q array<double>")
-    # A cluster's queries go in groups, so that no row of the join grows with their number.
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(64))).groupBy("cluster", "part").agg(F.collect_list("query_id").alias("q_ids"), F.collect_list("q").alias("q"))
-    found = packed.join(asked, "cluster").mapInPandas(scan, "query_id long, doc_id long, score double")
+    # A cluster's queries go in groups whose number follows theirs, so that no row of the join grows with it.
+    n = queries.count()
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(1 + n // QUERY_GROUP)))
+    asked = asked.groupBy("cluster", "part").agg(F.collect_list("query_id").alias("q_ids"), F.collect_list("q").alias("q"))
+    found = packed.join(F.broadcast(asked) if n * probes <= SENT else asked, "cluster").mapInPandas(scan, "query_id long, doc_id long, score double")
     return top(found, k)
 
 

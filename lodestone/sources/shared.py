@@ -15,3 +15,9 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if folder is None and not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{folder or tempfile.mkdtemp(prefix='lodestone-')}/{name}-{uuid.uuid4().hex}"
+
+
+def use_checkpoints(spark: SparkSession) -> None:
+    """Make checkpoint() usable: in spark.checkpoint.dir, or where that is unset in a local folder, for local masters only."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark, "checkpoints"))

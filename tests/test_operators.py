@@ -276,7 +276,7 @@ def test_outputs_are_parsed_alike_in_plans_and_on_the_driver(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(OUTPUTS)], "i int, t string")
     for r in df.select("i", dialogue.parse_output(F.col("t")).alias("p")).collect():
         text, kind = OUTPUTS[r.i]
-        here = agent.parse(text)
+        here = dialogue.read_output(text)
         assert r.p.type == here["type"] == kind
         assert (r.p.tool_name, r.p.content) == (here.get("tool_name"), here.get("content"))
         assert r.p.arguments is None or json.loads(r.p.arguments) == here["arguments"]

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone import cli
-from lodestone.operators import agent, session
+from lodestone.functions.text import prefix_key
+from lodestone.operators import agent, dialogue, session
 from lodestone.plans import retrieval
 
 BASIS = {"水果": [1.0, 0.0, 0.0], "手机": [0.0, 1.0, 0.0]}
@@ -51,47 +52,63 @@ def test_command_line(spark, tmp_path):
         out = cli.ask(spark, cli.parser().parse_args(["ask", "otter", "--show-sources", *args]))
         assert out.split("\n\n")[1].startswith("[文档1] (来源: a.md") and "otter" in out
     llm = agent.MockLLM('<tool_call>{"name": "search_knowledge_base", "arguments": {"query": "otter", "top_k": 1}}</tool_call>', "Final Answer: found")
-    said = cli.chat(spark, cli.parser().parse_args(["chat", *args]), llm, ["/docs", "where is it", "/clear", "/exit", "never"])
-    assert said[1] == "found" and '"a.md": 1' in said[0] and "otter" in llm.prompts[1]
+    said = cli.chat(spark, cli.parser().parse_args(["chat", *args]), llm, ["/docs", "where is it", "/clear", "/cache", "/exit", "never"])
+    assert said[1:] == ["found", '{"uses": 2, "hits": 1}'] and '"a.md": 1' in said[0] and "otter" in llm.prompts[1]
 
 
-def test_caches():
-    lru, fifo = session.Cache(2), session.Cache(2, "fifo")
+def test_recall_and_prefixes(spark):
+    lru, fifo = dialogue.Recall(2), dialogue.Recall(2, "fifo")
     for c in (lru, fifo):
-        c.store("a", 1), c.store("b", 2)
-        assert c.get("a") == 1 and c.get("x") is None
-        c.store("c", 3)
-        assert c.stats["hit_rate"] == 0.5
+        assert [c("a", lambda: 1), c("b", lambda: 2), c("a", lambda: 9), c("c")] == [(1, False), (2, False), (1, True), (None, False)]
     assert ("a" in lru, "b" in lru, "a" in fifo, "b" in fifo) == (True, False, False, True)
-    assert session.Cache.key("x") == "2d711642b726b044"
-    lru.evict("a")
-    lru.clear()
-    assert len(lru) == 0 and lru.hit_rate == 0.0
-    engine = session.PrefixAwareEngine(llm := agent.MockLLM("r"))
-    assert engine.generate("p", "s", "|") == "".join(engine.generate_stream("p", "t")) == "r"
-    assert llm.prompts == ["p|s", "pt"] and engine.cache.hits == 1
+    for wrong in ((0, "lru"), (2, "mru")):
+        with pytest.raises(ValueError):
+            dialogue.Recall(*wrong)
+    llm = agent.MockLLM("r")
+    ask, uses = session.with_prefixes(llm.generate, 2)
+    assert ask("p", "s", "|") == session.streamed(session.with_prefixes(llm.generate_stream)[0]("p", "t")) == "r"
+    assert llm.prompts == ["p|s", "pt"]
+    for prefix in "pqrp":
+        ask(prefix, "")
+    trace = session.trace(spark, uses)
+    assert [r.hit for r in trace.orderBy("seq").collect()] == [False, True, False, False, False]
+    assert dialogue.hit_rates(trace).collect()[0].asDict() == {"session": 0, "hits": 1, "misses": 4, "hit_rate": 0.2}
+    replayed = dialogue.replay(trace.drop("hit"), 2)
+    assert sorted(map(tuple, replayed.collect())) == sorted(map(tuple, trace.collect()))
+    prefix = spark.createDataFrame([("x",)], "t string").select(prefix_key(F.col("t")).alias("k")).collect()[0].k
+    session_key, seen = session.with_prefixes(llm.generate)
+    session_key("x", "")
+    assert seen == [(prefix, False)]
+
+
+def test_cached_embeddings():
     calls = []
-    cached = session.CachedEmbedding(lambda ts: calls.append(ts) or [len(t) for t in ts])
-    assert cached.embed(["ab", "ab", "c"]) == [2, 2, 1] and cached.embed(["c"]) == [1] and cached.embed([]) == []
+    cached = session.embedding_cache(lambda ts: calls.append(ts) or [len(t) for t in ts], 2)
+    assert cached(["ab", "ab", "c"]) == [2, 2, 1] and cached(["c"]) == [1] and cached([]) == []
     assert calls == [["ab", "c"]]
+    assert cached(["ab", "ddd", "eeee"]) == [2, 3, 4] and cached(["c", "ab"]) == [1, 2]
+    assert calls[1:] == [["ddd", "eeee"], ["c", "ab"]]
 
 
-def test_memory_monitor_and_rewriter():
-    m = session.ConversationMemory(max_turns=1)
-    for role, text in (("system", "s"), ("user", "u"), ("assistant", "a")):
-        m.add(role, text)
-    assert m.history_text(3) == "用户: u\n助手: a" and len(m.history(0)) == 2
-    w = session.WorkingMemory()
-    w.set("a", 1)
-    copy = w.snapshot()
-    assert (w.get("a"), w.get("b", 2), "a" in w, w.pop("a"), w.pop("a"), copy) == (1, 2, True, 1, None, {"a": 1})
-    w.clear()
-    k = session.KVCacheMonitor(1000)
-    k.update(950)
-    assert (k.free, k.is_low(), k.max_chunks()) == (50, True, 1)
-    k.reset()
-    assert k.max_chunks(100) == 8
+def test_history_and_rewriting():
+    messages = [{"role": r, "content": t} for r, t in (("system", "s"), ("user", "u"), ("assistant", "a"))]
+    assert session.history_text(messages, 3) == session.history_text(messages, 0, 1) == "用户: u\n助手: a"
     llm = agent.MockLLM(' "" ', " 'better question' ")
-    r = session.QueryRewriter(llm)
-    assert session.QueryRewriter().rewrite("q", ["h"]) == r.rewrite("q") == "q"
-    assert [r.rewrite("q", ["h"]), r.rewrite("q", ["h"]), r.rewrite("p", ["h"])] == ["q", "q", "better question"]
+    rewrite = session.rewriter(llm.generate)
+    assert session.rewriter(None)("q", ["h"]) == rewrite("q") == "q"
+    assert [rewrite("q", ["h"]), rewrite("q", ["h"]), rewrite("p", ["h"]), rewrite("p", ["x", "h"])] == ["q", "q", "better question", "better question"]
+    assert len(llm.prompts) == 3
+
+    def fails(text, **options):
+        raise RuntimeError
+
+    assert session.rewriter(fails)("q", ["h"]) == "q"
+
+
+def test_agent_prompts_share_a_prefix():
+    llm = agent.MockLLM('<tool_call>{"name": "none"}</tool_call>', "nothing", "Final Answer: yes", "Final Answer: again")
+    bot = agent.ReActAgent(llm, agent.ToolRegistry())
+    assert bot.run("first") == "nothing" and bot.run("second") == "yes"
+    assert [hit for _, hit in bot.uses] == [False, True, True]
+    assert all(p.startswith(bot.prefix()) for p in llm.prompts) and "助手: nothing" in llm.prompts[2]
+    assert [s["type"] for s in bot.steps] == ["final_answer"]
