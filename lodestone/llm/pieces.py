@@ -350,7 +350,11 @@ def decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> D
 
 
 def round_trip(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row (key, ids array<int>, decoded string) per input row: encode, then decode of the ids, in one pass."""
+    """One row (key, ids array<int>, decoded string) per input row: encode, then decode of the ids, in one pass.
+
+    A null text is an empty one, without ids. Null keys stay, repeated rows give repeated rows, an empty
+    table gives no rows; texts are whole however long; other columns are not looked at.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)

@@ -91,7 +91,8 @@ def ledger(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, failed, the MEASURES): bit i of failed is set if rule i of RULES fails.
 
     One row per input row. Null or blank texts have no words and fail few_words; repeated rows give
-    repeated rows; other columns are not read.
+    repeated rows, null keys stay, an empty table gives no rows. Texts are whole however long; other
+    columns are not read.
     """
     failed = reduce(lambda a, b: a.bitwiseOR(b), (F.when(rule(), F.lit(1 << i)).otherwise(F.lit(0)) for i, rule in enumerate(RULES.values())))
     return measure(df, key, text).select(key, failed.cast("bigint").alias("failed"), *MEASURES)

@@ -23,6 +23,8 @@ from lodestone.llm.pieces import LONG_WORD, TABLE_WORDS, Lookup, Numbering, list
 
 #: The last token of an empty prefix, and of one that ends in byte-fallback tokens: nothing merges with it.
 OPEN = -1
+#: Pairs of tokens that a worker remembers at most.
+TABLE_PAIRS = 1_000_000
 
 
 class PrefixCounter:
@@ -60,7 +62,7 @@ class PrefixCounter:
         self.forget()
 
     def forget(self) -> None:
-        self.index = Numbering()
+        self.index, self.huge = Numbering(), False
         self.flat, self.at, self.size = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def fits(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
@@ -69,6 +71,8 @@ class PrefixCounter:
         at = np.flatnonzero(before >= 0)
         keys, where = np.unique(before[at] * self.model.size + token[at], return_inverse=True)
         known = self.pairs
+        if len(known) > TABLE_PAIRS:
+            known.clear()
         new = [k for k in keys.tolist() if k not in known]
         if new:
             a, b = np.divmod(np.array(new), self.model.size)
@@ -134,7 +138,7 @@ class PrefixCounter:
 
     def places(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(table place of every word, number of words of each text)."""
-        if len(self.index) > TABLE_WORDS:
+        if len(self.index) > TABLE_WORDS or self.huge:  # unusually long words leave with their slice
             self.forget()
         split = [self.model.words(t) for t in batch]
         sizes = np.fromiter(map(len, split), np.int64, len(split))
@@ -193,7 +197,8 @@ def token_counts(df: DataFrame, path: str, limit: int, key: str = "doc_id", text
     """One row (key, n_tokens long, fitting_chars long) per input row.
 
     fitting_chars: code points of the longest prefix with at most limit tokens. A null text counts
-    as an empty one (0 tokens). No shuffle; null keys, repeated rows and other columns do no harm.
+    as an empty one (0 tokens). No shuffle; null keys stay, repeated rows give repeated rows, and other
+    columns are not looked at. Texts are whole however long, one at a time; an empty table gives no rows.
     """
     if limit < 0:
         raise ValueError("limit must not be negative")
@@ -211,7 +216,8 @@ def token_counts(df: DataFrame, path: str, limit: int, key: str = "doc_id", text
 
 def prefix_counts(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row (key, counts array<int>) per input row: counts[p] is the number of tokens of the text's
-    first p code points, for every p from 0 to the text's length. A null text gives [0]."""
+    first p code points, for every p from 0 to the text's length. A null text gives [0]; null keys stay,
+    repeated rows give repeated rows, an empty table gives no rows; texts are whole however long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
