@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import slices, texts, use_checkpoints
+from lodestone.llm.common import slices, texts, use_checkpoints, written
 
 STATES = 8
 PASSES = 4
@@ -105,17 +105,17 @@ class Vocabulary:
         return c / c.sum()
 
 
-def cutoff(counted: DataFrame, most: int, least: int = 1) -> int:
-    """The lowest count, least at any rate, that at most so many rows of counts (column c) reach.
+def cutoff(sizes: DataFrame, most: int, least: int = 1) -> int:
+    """The lowest count, least at any rate, that at most so many tokens reach; sizes has (c, n tokens of that count).
 
     The range of counts is cut into 256 parts again and again, so 256 rows at most reach the driver.
     """
-    top = counted.agg(F.max("c")).collect()[0][0] or 0
-    low, high, above = least, max(least, top + 1), 0  # more than most rows may reach low; above rows reach high, at most most
+    top = sizes.agg(F.max("c")).collect()[0][0] or 0
+    low, high, above = least, max(least, top + 1), 0  # more than most tokens may reach low; above tokens reach high, at most most
     while low < high:
         step = -(-(high - low) // 256)
         part = F.floor((F.col("c") - low) / step)
-        n = {r.k: r.n for r in counted.where((F.col("c") >= low) & (F.col("c") < high)).groupBy(part.alias("k")).agg(F.count("*").alias("n")).collect()}
+        n = {r.k: r.n for r in sizes.where((F.col("c") >= low) & (F.col("c") < high)).groupBy(part.alias("k")).agg(F.sum("n").alias("n")).collect()}
         edge = -(-(high - low) // step)
         while edge > 0 and above + n.get(edge - 1, 0) <= most:
             edge -= 1
@@ -132,10 +132,12 @@ def vocabulary(counted: DataFrame, head: int = HEAD) -> Vocabulary:
     The head has the tokens from the lowest count on that at most head tokens reach, so ties are in it
     together or not at all, and no task sends more than belongs to it.
     """
-    least = cutoff(counted, head, LEAST_COUNT)
+    sizes = counted.groupBy("c").agg(F.count("*").alias("n")).checkpoint()
+    least = cutoff(sizes, head, LEAST_COUNT)
     top = sorted(counted.where(F.col("c") >= least).collect(), key=lambda r: (-r.c, bytes(r.token)))
     symbols = {bytes(r.token): k for k, r in enumerate(top)}
-    total = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).collect()[0]
+    of = lambda c: F.coalesce(F.sum(F.when(F.col("c") == c, F.col("n"))), F.lit(0))
+    total = sizes.agg(F.coalesce(F.sum(F.col("c") * F.col("n")), F.lit(0)).alias("n"), F.coalesce(F.sum("n"), F.lit(0)).alias("v"), of(1).alias("once"), of(2).alias("twice")).collect()[0]
     n, v = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in counted.groupBy(_class(F.col("token")).alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
         n[r.k], v[r.k] = r.n, r.v
@@ -244,7 +246,7 @@ def first_guess(seqs: DataFrame, vocab: Vocabulary, states: int, seed: int = 1)
     noise = np.exp(0.05 * rng.standard_normal((states, size)))
     emit = whole * noise
     for k in range(GUESSES):
-        shared = sc.broadcast(np.log(emit / emit.sum(1, keepdims=True)).T if k else weight)
+        shared = sc.broadcast(np.ascontiguousarray(np.log(emit / emit.sum(1, keepdims=True)).T if k else weight, np.float32))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, k=k) -> Iterator[pa.RecordBatch]:
             w, total = shared.value, np.zeros(states * size)
@@ -364,7 +366,11 @@ def language_scores(docs: DataFrame, held_out: Column, key: str = "doc_id", text
     counted = token_counts(rows.where(~F.col("held_out"))).checkpoint()
     vocab = vocabulary(counted)
     seqs = sequences(rows, vocab).checkpoint()
-    model, _ = train(seqs.where(~F.col("held_out")), vocab, states, passes)
+    learnt, delete = written(seqs.where(~F.col("held_out")).select("ids"))  # read again and again, without the tails
+    try:
+        model, _ = train(learnt, vocab, states, passes)
+    finally:
+        delete()
     shared = docs.sparkSession.sparkContext.broadcast((model, vocab))
     unit = math.log10(vocab.n + vocab.v + 1)
     kind = docs.schema[key].dataType.simpleString()

@@ -110,7 +110,7 @@ def check(df, monkeypatch, head):
 def test_cutoff_is_the_lowest_count_that_few_reach(spark):
     rng = np.random.default_rng(3)
     for values in ([1] * 50, [int(x) for x in rng.zipf(1.3, 1500).clip(max=10**15)], [7], [], list(range(900)), [3] * 10 + [4] * 5 + [10**12] * 3):
-        df = spark.createDataFrame([(v,) for v in values], "c long")
+        df = spark.createDataFrame(list(Counter(values).items()), "c long, n long")
         for most in (0, 2, 49, 50, 1000):
             got = hmm.cutoff(df, most, 3)
             assert got == min(t for t in {3, *(v + 1 for v in values)} if t >= 3 and sum(v >= t for v in values) <= most)
@@ -137,6 +137,7 @@ def test_nothing_to_learn_from(spark, monkeypatch):
 
 def test_probabilities_of_all_tokens_sum_to_one(spark):
     """Head symbols, known tail tokens and one unseen token per class share the whole of a state's mass."""
+    hmm.use_checkpoints(spark)
     counted = hmm.token_counts(documents(spark, "/root/testdata/sf0.001"))
     vocab = hmm.vocabulary(counted, head=100)
     tail = [(bytes(r.token), r.c) for r in counted.collect() if bytes(r.token) not in vocab.head]
