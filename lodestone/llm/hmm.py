@@ -184,15 +184,16 @@ def forward(model: Model, ids: np.ndarray, starts: np.ndarray, lengths: np.ndarr
     alphas and scales of every position (time-major, flat).
     """
     out, alphas, scales, live_at = np.zeros(len(starts)), [], [], []
-    emit = model.by_symbol
+    emit, ones = model.by_symbol, np.ones(len(model.start))
     a = None
     live = len(starts)
     for t in range(int(lengths[0]) if len(lengths) else 0):
         while lengths[live - 1] <= t:
             live -= 1
-        a = (np.broadcast_to(model.start, (live, len(model.start))) if t == 0 else a[:live] @ model.step) * emit[ids[starts[:live] + t]]
-        c = a.sum(1)
-        a = a / c[:, None]
+        seen = np.take(emit, ids[starts[:live] + t], axis=0)
+        a = np.multiply(model.start if t == 0 else a[:live] @ model.step, seen, out=seen)
+        c = a @ ones
+        a /= c[:, None]
         out[:live] += np.log(c)
         if keep:
             alphas.append(a)
@@ -212,13 +213,15 @@ def expected(model: Model, ids: np.ndarray, starts: np.ndarray, lengths: np.ndar
         live = live_at[t]
         if t + 1 < len(alphas):
             nxt = live_at[t + 1]
-            ahead = emit[ids[starts[:nxt] + t + 1]] * beta / scales[t + 1][:, None]
+            ahead = np.take(emit, symbols[-1], axis=0)
+            ahead *= beta
+            ahead /= scales[t + 1][:, None]
             into.step[:] += model.step * (alphas[t][:nxt].T @ ahead)
             beta = ahead @ model.step.T
-        beta = np.concatenate((beta, np.ones((live - len(beta), k))))
-        gamma = alphas[t] * beta
+        if live > len(beta):
+            beta = np.concatenate((beta, np.ones((live - len(beta), k))))
         symbols.append(ids[starts[:live] + t])
-        gammas.append(gamma)
+        gammas.append(np.multiply(alphas[t], beta, out=alphas[t]))
     into.start[:] += gammas[-1].sum(0)
     s, g = np.concatenate(symbols), np.concatenate(gammas)
     for j in range(k):
