@@ -67,7 +67,7 @@ def trigram_counts(df: DataFrame, text: str = "text") -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(ALPHABET**3, np.int64)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 500_000):
             points = np.frombuffer("  ".join(["", *texts(b), ""]).lower().encode("utf-32-le", "surrogatepass"), "<u4")
             c = folded(points)
             total += np.bincount((c[:-2] * ALPHABET + c[1:-1]) * ALPHABET + c[2:], minlength=ALPHABET**3)
