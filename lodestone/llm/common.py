@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -109,6 +110,29 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 2_000_00
         yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Hand freed memory of this process back to the system, as far as its allocators can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow, handing back at a partition's end what it freed.
+
+    Workers go on to other stages, and would hold the most that any of their stages took.
+    """
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The column's strings, null as empty."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]

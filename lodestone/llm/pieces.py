@@ -21,11 +21,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import slices, texts
+from lodestone.llm.common import released, slices, texts
 
 MARK = "▁"
-#: Words kept in a worker's table before it is emptied; bounds the worker's memory.
-TABLE_WORDS = 500_000
+#: Words kept in a worker's table before it is emptied, as it is at a partition's end; bounds the worker's memory.
+TABLE_WORDS = 200_000
+#: Bytes of text that are encoded at once.
+SLICE = 500_000
 #: Words longer than this are encoded but never kept.
 LONG_WORD = 64
 NEVER = np.int32(2**31 - 1)
@@ -323,12 +325,15 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for b in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([b.column(0), lists(*m.encode(texts(b)))], ["key", "ids"])
+        try:
+            for b in slices(batches, "text", SLICE):
+                yield pa.RecordBatch.from_arrays([b.column(0), lists(*m.encode(texts(b)))], ["key", "ids"])
+        finally:
+            m.forget()
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
+    return rows.mapInArrow(released(run), f"key {kind}, ids array<int>").withColumnRenamed("key", key)
 
 
 def decode(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -358,10 +363,13 @@ def round_trip(df: DataFrame, path: str, key: str = "doc_id", text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
-        for b in slices(batches, "text"):
-            flat, counts = m.encode(texts(b))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists(flat, counts), strings(*m.decode(flat, counts))], ["key", "ids", "decoded"])
+        try:
+            for b in slices(batches, "text", SLICE):
+                flat, counts = m.encode(texts(b))
+                yield pa.RecordBatch.from_arrays([b.column(0), lists(flat, counts), strings(*m.decode(flat, counts))], ["key", "ids", "decoded"])
+        finally:
+            m.forget()
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, ids array<int>, decoded string").withColumnRenamed("key", key)
+    return rows.mapInArrow(released(run), f"key {kind}, ids array<int>, decoded string").withColumnRenamed("key", key)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import slices, texts, use_checkpoints
+from lodestone.llm.common import released, slices, texts, use_checkpoints
 from lodestone.llm.simhash import components
 
 SHINGLE = 5
@@ -98,7 +98,7 @@ def _sketched(df: DataFrame) -> DataFrame:
             node = np.array([xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], ["key", "node", "size", "bands"])
 
-    return df.mapInArrow(run, f"key {df.schema['key'].dataType.simpleString()}, node long, size long, bands array<long>")
+    return df.mapInArrow(released(run), f"key {df.schema['key'].dataType.simpleString()}, node long, size long, bands array<long>")
 
 
 def _with_sets(df: DataFrame) -> DataFrame:
@@ -108,7 +108,7 @@ def _with_sets(df: DataFrame) -> DataFrame:
         for b in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t).tobytes() for t in texts(b)], pa.binary())], ["node", "hashes"])
 
-    return df.select("node", "text").mapInArrow(run, "node long, hashes binary")
+    return df.select("node", "text").mapInArrow(released(run), "node long, hashes binary")
 
 
 def _alike(pairs: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def _alike(pairs: DataFrame) -> DataFrame:
                 keep.append(LEAST[1] * common >= LEAST[0] * (len(x) + len(y) - common))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "x", "y").mapInArrow(released(run), "a long, b long")
 
 
 def _linked(meeting: DataFrame) -> DataFrame:
@@ -146,7 +146,7 @@ def _linked(meeting: DataFrame) -> DataFrame:
                 held[node] = np.frombuffer(hashes.as_buffer(), np.uint64).copy()
         yield out()
 
-    return meeting.mapInArrow(run, "a long, b long")
+    return meeting.mapInArrow(released(run), "a long, b long")
 
 
 def _on(rows: DataFrame, one: DataFrame, left: str, right: str, how: str = "inner") -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import slices, texts, use_checkpoints
+from lodestone.llm.common import released, slices, texts, use_checkpoints
 
 #: Links have at most so many differing bits; the key families are built for this number.
 MAX_BITS = 4
@@ -152,7 +152,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, fp long").withColumnRenamed("key", key)
+    return rows.mapInArrow(released(run), f"key {kind}, fp long").withColumnRenamed("key", key)
 
 
 def links(nodes: DataFrame) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import lowest, slices, texts
+from lodestone.llm.common import lowest, released, slices, texts
 
 #: Labelled rows that the classifier is fitted on at most.
 SAMPLE = 40_000
@@ -75,7 +75,7 @@ def trigram_counts(df: DataFrame, text: str = "text") -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["gram", "n"])
 
     out = np.zeros(ALPHABET**3, np.int64)
-    for r in df.select(F.col(text).alias("text")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():
+    for r in df.select(F.col(text).alias("text")).mapInArrow(released(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():
         out[r.gram] = r.n
     return out
 
@@ -356,7 +356,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                     n[1] += y
             yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array([n for n, _ in count.values()], pa.int64()), pa.array([y for _, y in count.values()], pa.int64())], ["word", "n", "y"])
 
-    counted = sample.mapInArrow(words, "word string, n long, y long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).persist()
+    counted = sample.mapInArrow(released(words), "word string, n long, y long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("y").alias("y")).persist()
     try:
         total = counted.where("word = ''").collect()
         n, y = (total[0].n, total[0].y) if total else (0, 0)
@@ -390,7 +390,7 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in zip(*e)), b.column(0).cast(pa.int64())], ["most", "rest", "y"])
 
     # As many rows as there are steps at most: 10 * 7 of the one, 10 * 30 of the other.
-    steps = sample.mapInArrow(gathered, "most long, rest long, y long").groupBy("most", "rest").agg(F.count("*").alias("n"), F.sum("y").alias("y")).collect()
+    steps = sample.mapInArrow(released(gathered), "most long, rest long, y long").groupBy("most", "rest").agg(F.count("*").alias("n"), F.sum("y").alias("y")).collect()
     none = [sum(r[k] for r in steps if not r.most) for k in ("n", "y")]
     model.residual = (none[1] + base) / (none[0] + 1)
     model.line = logistic([(r.most / STEPS, r.rest / STEPS, r.n, r.y) for r in steps if r.most])
@@ -449,7 +449,7 @@ def score(docs: DataFrame, model: Toxicity, key: str = "doc_id", text: str = "te
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"key {kind}, score double").withColumnRenamed("key", key)
+    return rows.mapInArrow(released(run), f"key {kind}, score double").withColumnRenamed("key", key)
 
 
 def below(docs: DataFrame, model: Toxicity, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
@@ -466,4 +466,4 @@ def below(docs: DataFrame, model: Toxicity, threshold: float = THRESHOLD, text:
         for b in slices(batches, text):
             yield b.filter(pa.array([m.probability(seen.of(t)) < threshold for t in texts(b, text)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)
