@@ -71,4 +71,20 @@ r AS (SELECT template, min(doc_id) AS first FROM e GROUP BY template HAVING coun
 z AS (SELECT DISTINCT doc_id, pos FROM s JOIN r USING (template) WHERE doc_id <> first)
 SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (z.pos IS NULL), '') AS text, count(z.pos) AS n_dropped FROM a LEFT JOIN z USING (doc_id, pos) GROUP BY doc_id"""
 
-ORACLE = {"op4_quality_rules": QUALITY, "op5_mixing": MIXING, "op9_line_dedup": LINES}
+AUDIT = rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+f AS (SELECT doc_id, part, ((len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t))::INT
+  + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT)::INT AS mask FROM d),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+c AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+p AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT filter_order, step, 1 << (ascii(substr(filter_order, step, 1)) - 65) AS own, coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(substr(filter_order, i, 1)) - 65))), 0)::INT AS before
+  FROM (SELECT filter_order, unnest(range(1, 6))::INT AS step FROM p)),
+r AS (SELECT part, filter_order, step, own, n, good, toxic, mask = own AS alone, mask & own <> 0 AS fails, mask & before <> 0 AS gone FROM s CROSS JOIN c),
+o AS (SELECT part, filter_order, step, own, sum(n) FILTER (NOT fails AND NOT gone) AS kept, sum(n) FILTER (fails AND NOT gone) AS removed, sum(n) FILTER (fails AND gone) AS redundant, sum(n) FILTER (alone) AS unique_fails,
+  sum(good) FILTER (fails AND NOT gone) AS good_lost, sum(toxic) FILTER (fails AND NOT gone) AS toxic_lost FROM r GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, (sum(coalesce(removed, 0)) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM o"""
+
+ORACLE = {"op4_quality_rules": QUALITY, "op5_mixing": MIXING, "op9_line_dedup": LINES, "op12_filter_audit": AUDIT}

@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import fingerprint, hmm, line_dedup, mixing, oracles, pieces, quality, simhash, substring_dedup, token_counts, toxicity
+from lodestone.llm import filter_audit, fingerprint, hmm, line_dedup, mixing, oracles, pieces, quality, sharding, simhash, substring_dedup, token_counts, toxicity
 from lodestone.llm.common import documents, held_out
 
 PIECES = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
+SHARDS = 8
 
 
 def hex256(value):
@@ -96,8 +97,22 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters do in every one of their 120 orders, by source."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return filter_audit.orders(filter_audit.cells(documents(spark, sf_dir), labels))
+
+
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards whose counts are at most one apart, uniformly shuffled."""
+    text = F.col("text")
+    rows = documents(spark, sf_dir).select("doc_id", sharding.text_size(text).alias("size"), F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")).alias("text_crc32"))
+    dealt = sharding.shuffled(rows, SHARDS)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_fingerprints, op4_quality_rules, op5_mixing, op6_simhash, op7_token_counts, op8_lm_scoring, op9_line_dedup, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_fingerprints, op4_quality_rules, op5_mixing, op6_simhash, op7_token_counts, op8_lm_scoring, op9_line_dedup, op10_substring_dedup, op12_filter_audit, op13_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
