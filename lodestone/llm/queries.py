@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import filter_audit, fingerprint, hmm, line_dedup, mixing, oracles, pieces, quality, sharding, simhash, substring_dedup, token_counts, toxicity
+from lodestone.llm import filter_audit, fingerprint, hmm, line_dedup, mixing, oracles, pieces, quality, sharding, simhash, substring_dedup, time_partitions, token_counts, toxicity
 from lodestone.llm.common import documents, held_out
+from lodestone.sources.shared import shared_folder
 
 PIECES = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
@@ -97,6 +98,22 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"), "removed")
 
 
+def click_moment(ts, click_id):
+    """When a click counts as made: some are years back, some at the start of their week; without an id, as it says."""
+    k = F.crc32(F.encode(click_id.cast("string"), "UTF-8")) % 128
+    days = ((k + 6) * (k + 6) * (k + 6)).cast("int")
+    week = F.trunc(ts.cast("date"), "week").cast("timestamp_ntz")
+    return F.when(k < 16, ts - F.make_dt_interval(days)).when(k > 111, week).otherwise(ts)
+
+
+def op11_time_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks of before March in files by stretches of time, then the folder rewritten for all clicks."""
+    clicks = spark.read.parquet(f"{sf_dir}/clicks.parquet")
+    early = F.col("arrived_at") < F.lit("2024-03-01 00:00:00").cast("timestamp_ntz")
+    moment = click_moment(F.col("ts"), F.col("click_id"))
+    return time_partitions.grow_layout(clicks, early, moment, ["arrived_at", "click_id"], shared_folder(spark, "time-partitions"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters do in every one of their 120 orders, by source."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -112,7 +129,7 @@ def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_fingerprints, op4_quality_rules, op5_mixing, op6_simhash, op7_token_counts, op8_lm_scoring, op9_line_dedup, op10_substring_dedup, op12_filter_audit, op13_sharding)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_fingerprints, op4_quality_rules, op5_mixing, op6_simhash, op7_token_counts, op8_lm_scoring, op9_line_dedup, op10_substring_dedup, op11_time_partitions, op12_filter_audit, op13_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
