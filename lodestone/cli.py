@@ -22,7 +22,7 @@ from lodestone.sources import files
 def build_index(spark: SparkSession, args: argparse.Namespace) -> int:
     """Scan, parse, chunk, embed and save; the number of chunks."""
     found = files.scan(spark, args.path)
-    for r in files.rejected(found).limit(100).collect():
+    for r in files.rejected(found).toLocalIterator():
         print(f"skipped {r.path}: {r.reason}")
     docs = files.parse(found).select(F.col("id").alias("doc_id"), F.col("content").alias("text"), "metadata")
     chunks = chunking.recursive(docs, args.chunk_size, args.chunk_overlap, args.mode).join(docs.select("doc_id", "metadata"), "doc_id")

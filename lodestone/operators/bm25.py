@@ -6,28 +6,36 @@ before they are counted. Corpus statistics are two numbers from one global aggre
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens
 
 K1, B = 1.5, 0.75
+#: Text to array<string>; where none is given, words between white space.
+Tokenizer = Callable[[Column], Column]
+
+
+def _words(lowercase: bool, tokenizer: Tokenizer | None) -> Column:
+    return tokenizer(F.col("text")) if tokenizer else tokens(F.col("text"), lowercase)
 
 
-def doc_lengths(docs: DataFrame, lowercase: bool = True) -> DataFrame:
+def doc_lengths(docs: DataFrame, lowercase: bool = True, tokenizer: Tokenizer | None = None) -> DataFrame:
     """(doc_id, len long): tokens with repeats; empty documents have 0."""
-    return docs.select("doc_id", F.size(tokens(F.col("text"), lowercase)).cast("long").alias("len"))
+    return docs.select("doc_id", F.size(_words(lowercase, tokenizer)).cast("long").alias("len"))
 
 
-def postings(docs: DataFrame, lowercase: bool = True) -> DataFrame:
+def postings(docs: DataFrame, lowercase: bool = True, tokenizer: Tokenizer | None = None) -> DataFrame:
     """(doc_id, term, tf long)."""
-    each = docs.select("doc_id", F.explode(tokens(F.col("text"), lowercase)).alias("term"))
+    each = docs.select("doc_id", F.explode(_words(lowercase, tokenizer)).alias("term"))
     return each.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
-def corpus_stats(docs: DataFrame, lowercase: bool = True) -> DataFrame:
+def corpus_stats(docs: DataFrame, lowercase: bool = True, tokenizer: Tokenizer | None = None) -> DataFrame:
     """One row (n long, avgdl double); an empty corpus has 0 and null."""
-    return doc_lengths(docs, lowercase).agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
+    return doc_lengths(docs, lowercase, tokenizer).agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
 
 
 def without(docs: DataFrame, deleted: DataFrame) -> DataFrame:
@@ -35,7 +43,9 @@ def without(docs: DataFrame, deleted: DataFrame) -> DataFrame:
     return docs.join(deleted.select("doc_id"), "doc_id", "left_anti")
 
 
-def scores(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, deleted: DataFrame | None = None, delete_mode: str = "exact", lowercase: bool = True) -> DataFrame:
+def scores(
+    docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, deleted: DataFrame | None = None, delete_mode: str = "exact", lowercase: bool = True, tokenizer: Tokenizer | None = None
+) -> DataFrame:
     """(query_id, doc_id, score double rounded to 6 digits) of documents with a query term.
 
     queries has (query_id, text); a repeated query term counts again. delete_mode "exact" ranks as if
@@ -46,13 +56,13 @@ def scores(docs: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, de
         raise ValueError("delete_mode is exact or reference")
     live = without(docs, deleted) if deleted is not None else docs
     base = live if delete_mode == "exact" else docs
-    terms = queries.select("query_id", F.explode(tokens(F.col("text"), lowercase)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    rows = base.select("doc_id", tokens(F.col("text"), lowercase).alias("t")).select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term"))
+    terms = queries.select("query_id", F.explode(_words(lowercase, tokenizer)).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    rows = base.select("doc_id", _words(lowercase, tokenizer).alias("t")).select("doc_id", F.size("t").alias("len"), F.explode("t").alias("term"))
     wanted = terms.select("term").distinct()
     tf = rows.join(wanted, "term", "left_semi").groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))
     # Reading tf keeps this branch's shuffle the same as the other's, so that it is reused.
     df = tf.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
-    stats = corpus_stats(base, lowercase)
+    stats = corpus_stats(base, lowercase, tokenizer)
     if delete_mode == "reference":
         stats = stats.select("avgdl").crossJoin(live.agg(F.count("*").alias("n")))
     weight = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)

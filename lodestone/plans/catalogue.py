@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import dialogue_queries, text_queries, vector_queries
+from lodestone.plans import dialogue_queries, index_queries, learning_queries, text_queries, vector_queries
 
-MODULES = [text_queries, vector_queries, dialogue_queries]
+MODULES = [text_queries, vector_queries, dialogue_queries, index_queries, learning_queries]
 
 
 def queries() -> dict:

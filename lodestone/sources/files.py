@@ -97,10 +97,18 @@ def save_chunks(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").parquet(path)
 
 
+#: The metadata of a chunk table that has none.
+METADATA = "struct<file_path: string, file_name: string, title: string, format: string, size_bytes: bigint>"
+
+
 def load_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """What save_chunks() wrote; tables from before there was metadata get an empty one."""
+    """What save_chunks() wrote. Tables from before there was metadata get a null one, of the usual fields; a table
+    without ids or contents raises ValueError."""
     rows = spark.read.parquet(path)
-    return rows if "metadata" in rows.columns else rows.withColumn("metadata", F.lit("{}"))
+    missing = [x for x in (("chunk_id", "doc_id"), ("content",)) if not set(x) & set(rows.columns)]
+    if missing:
+        raise ValueError(f"{path}: no column {', '.join(x[0] for x in missing)}")
+    return rows if "metadata" in rows.columns else rows.withColumn("metadata", F.lit(None).cast(METADATA))
 
 
 def backend(path: str, chosen: str = "auto") -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import udtf
 
 from lodestone.operators import chunking
+from lodestone.operators.segments import Bm25Index
 from lodestone.sources.shared import shared_folder
 
 
@@ -33,6 +34,30 @@ def ingested(spark: SparkSession, source: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/chunks").drop("batch")
 
 
+def ingest_index(spark: SparkSession, source: str, schema, index: Bm25Index, checkpoint: str, files_per_batch: int = 1000) -> None:
+    """Add all documents (doc_id, text) that have arrived at source (Parquet files) to the index, a segment for each micro-batch.
+
+    A segment is named by its batch, and an index takes no name twice, so a batch that runs again after a
+    failure changes nothing.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        index.add(batch.select("doc_id", "text"), f"batch-{number}")
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def indexed(spark: SparkSession, source: str, batches: int = 3) -> Bm25Index:
+    """An index of a whole table, by way of the stream, in so many micro-batches if the table has as many files."""
+    folder = shared_folder(spark, "index-stream")
+    table = spark.read.parquet(source)
+    index = Bm25Index(spark, f"{folder}/index")
+    per_batch = max(1, -(-len(table.inputFiles()) // batches))
+    ingest_index(spark, f"{source[:-1]}[{source[-1]}]", table.schema, index, f"{folder}/progress", per_batch)
+    return index
+
+
 @udtf(returnType="i: bigint, token: string")
 class StreamTokens:
     """One row per character of a reply, as a model double streams it."""
