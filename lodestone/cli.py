@@ -65,9 +65,10 @@ def chat(spark: SparkSession, args: argparse.Namespace, llm=None, lines=None) ->
         listed = chunking.listed(pipeline.chunks.select(F.col("metadata.file_name").alias("file_name"), "document_id"), "file_name", "document_id")
         return json.dumps({r.file_name: r.n_chunks for r in listed.toLocalIterator()}, ensure_ascii=False)
 
-    tools = agent.ToolRegistry()
-    tools.register(agent.Tool("search_knowledge_base", "在知识库中搜索相关文档", lambda query, top_k=5: found_text(spark, pipeline, query, int(top_k)), {"query": {"type": "string"}, "top_k": {"type": "integer"}}))
-    tools.register(agent.Tool("list_documents", "列出知识库中的文档", list_documents))
+    tools = {
+        "search_knowledge_base": ("在知识库中搜索相关文档", lambda query, top_k=5: found_text(spark, pipeline, query, int(top_k)), (("query", "string", ""), ("top_k", "integer", ""))),
+        "list_documents": ("列出知识库中的文档", list_documents, ()),
+    }
     rewrite, bot = rewriter(llm.generate), agent.ReActAgent(llm, tools, memory)
     for line in lines if lines is not None else iter(input, "/exit"):
         if line in ("/exit", "/quit"):

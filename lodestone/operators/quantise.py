@@ -246,7 +246,7 @@ def save(codes: DataFrame, index: IvfPq, path: str) -> int:
 
 
 def _read_codes(spark, path: str) -> DataFrame:
-    return spark.read.parquet(path).select("vec_id", F.col("cluster").cast("long"), "codes")
+    return spark.read.schema("vec_id long, codes binary, cluster long").parquet(path).select("vec_id", "cluster", "codes")
 
 
 def _amounts(codes: DataFrame, index: IvfPq) -> dict:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from lodestone.operators import agent, dialogue
 from lodestone.plans.text_queries import asked, table
-from lodestone.streaming import ingest
+from lodestone.sources.shared import shared_folder
+from lodestone.streaming import ingest, memory
 
 REPLY = "这是一个模拟回答。"
 CAPACITY = 2
@@ -24,14 +25,23 @@ def history_text(spark, sf_dir):
     return dialogue.history_text(_messages(spark, sf_dir), 4)
 
 
-def _log(spark, sf_dir):
+def _log_of(messages):
     """Every message sets its role's value to its length, unless that is divisible by 5, which takes it out."""
     n = F.length("text")
-    return _messages(spark, sf_dir).select("conv_id", F.col("turn").alias("seq"), F.when(n % 5 == 0, "pop").otherwise("set").alias("op"), F.col("role").alias("key"), n.cast("long").alias("value"))
+    return messages.select("conv_id", F.col("turn").alias("seq"), F.when(n % 5 == 0, "pop").otherwise("set").alias("op"), F.col("role").alias("key"), n.cast("long").alias("value"))
 
 
 def working_memory_state(spark, sf_dir):
-    return dialogue.working_memory(_log(spark, sf_dir))
+    return dialogue.working_memory(_log_of(_messages(spark, sf_dir)))
+
+
+def live_memory_state(spark, sf_dir):
+    """The same memories from keyed state, to which the log has come as a stream of up to three micro-batches."""
+    folder, source = shared_folder(spark, "memory"), f"{sf_dir}/conversations.parquet"
+    there = spark.read.parquet(source)
+    stream = spark.readStream.schema(there.schema).option("maxFilesPerTrigger", max(1, -(-len(there.inputFiles()) // 3))).parquet(f"{source[:-1]}[{source[-1]}]")
+    memory.remember(_log_of(stream), f"{folder}/memories", f"{folder}/progress")
+    return memory.snapshot(spark, f"{folder}/memories", value="bigint")
 
 
 def rewrite_inputs(spark, sf_dir):
@@ -100,7 +110,7 @@ def stream_ingest_chunks(spark, sf_dir):
     return ingest.ingested(spark, f"{sf_dir}/documents.parquet")
 
 
-QUERIES = (history_last_n, history_text, working_memory_state, rewrite_inputs, rewrite_cleanup, prefix_cache_replay, prefix_cache_hit_rate, embedding_cache_replay, parse_react_output, kv_budget, mock_llm_stream, agent_trace, stream_ingest_chunks)
+QUERIES = (history_last_n, history_text, working_memory_state, live_memory_state, rewrite_inputs, rewrite_cleanup, prefix_cache_replay, prefix_cache_hit_rate, embedding_cache_replay, parse_react_output, kv_budget, mock_llm_stream, agent_trace, stream_ingest_chunks)
 
 _LAST = "SELECT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 4"
 _TRACE = "t AS (SELECT conv_id AS session, turn AS seq, role || '-' || length(text) % 3 AS key, lag(turn) OVER (PARTITION BY conv_id, role || '-' || length(text) % 3 ORDER BY turn) AS before FROM conversations)"
@@ -112,6 +122,7 @@ ORACLE = {
     "history_last_n": _LAST,
     "history_text": f"SELECT conv_id, coalesce(string_agg(CASE role WHEN 'user' THEN '用户: ' || text WHEN 'assistant' THEN '助手: ' || text END, chr(10) ORDER BY turn), '') AS history FROM ({_LAST}) GROUP BY conv_id",
     "working_memory_state": "SELECT conv_id, role AS key, length(text)::BIGINT AS value FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) = 1 AND length(text) % 5 <> 0",
+    "live_memory_state": "SELECT conv_id, role AS key, length(text)::BIGINT AS value FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC) = 1 AND length(text) % 5 <> 0",
     "rewrite_inputs": "WITH l AS (SELECT conv_id, max(turn) AS at, arg_max(text, turn) AS query FROM conversations WHERE role = 'user' GROUP BY conv_id), b AS (SELECT l.conv_id, query, coalesce(list(c.text ORDER BY c.turn) FILTER (c.text IS NOT NULL), []) AS m FROM l LEFT JOIN conversations c ON c.conv_id = l.conv_id AND c.turn < l.at GROUP BY l.conv_id, query) SELECT conv_id, query, array_to_string(m, chr(10)) AS history, query || '|' || array_to_string(list_slice(m, greatest(1, len(m) - 2), len(m)), chr(10)) AS cache_key FROM b",
     "rewrite_cleanup": "SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN text ELSE array_to_string(list_slice(string_split(text, ' '), 1, 5), ' ') END AS rewritten FROM conversations",
     "prefix_cache_replay": f"WITH {_REPLAY} SELECT * FROM r",

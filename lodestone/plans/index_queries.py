@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from lodestone.operators import ivf
 from lodestone.operators.segments import Bm25Index
-from lodestone.plans import text_queries
+from lodestone.plans import text_queries, vector_queries
 from lodestone.plans.text_queries import K, asked, texts
 from lodestone.sources.shared import shared_folder
 from lodestone.streaming import ingest
 
+#: Inverted lists of the exact search.
+LISTS = 32
 
-def _index(spark, sf_dir) -> Bm25Index:
+
+def built(spark, sf_dir) -> Bm25Index:
+    """An index of the documents in a new folder."""
     index = Bm25Index(spark, shared_folder(spark, "index"))
     index.add(texts(spark, sf_dir), "documents")
     return index
@@ -17,17 +22,17 @@ def _index(spark, sf_dir) -> Bm25Index:
 
 def bm25_index_topk(spark, sf_dir):
     """The ranking of bm25_topk, from posting blocks that bounds let it read."""
-    return _index(spark, sf_dir).search(asked(spark, sf_dir), K)
+    return built(spark, sf_dir).search(asked(spark, sf_dir), K)
 
 
 def bm25_index_reads(spark, sf_dir):
     """For every query the blocks that its terms have, and how many were read to find its candidates."""
-    return _index(spark, sf_dir).reads(asked(spark, sf_dir), K)
+    return built(spark, sf_dir).reads(asked(spark, sf_dir), K)
 
 
 def bm25_index_topk_after_delete(spark, sf_dir):
     """The ranking of bm25_topk_after_delete, with tombstones in the index."""
-    index = _index(spark, sf_dir)
+    index = built(spark, sf_dir)
     index.delete(text_queries.table(spark, sf_dir, "labels").where("toxic = 1"), "toxic")
     return index.search(asked(spark, sf_dir), K)
 
@@ -37,10 +42,32 @@ def stream_index_topk(spark, sf_dir):
     return ingest.indexed(spark, f"{sf_dir}/documents.parquet").search(asked(spark, sf_dir), K)
 
 
-QUERIES = (bm25_index_topk, bm25_index_reads, bm25_index_topk_after_delete, stream_index_topk)
+def _lists(spark, sf_dir, metric: str):
+    index = ivf.build(vector_queries.points(spark, sf_dir), LISTS, metric)
+    return ivf.search(index, vector_queries.asked(spark, sf_dir), K)
+
+
+def ivf_exact_topk(spark, sf_dir):
+    """The ranking of cosine_topk_batch, from inverted lists whose shells are cut by the triangle inequality."""
+    return _lists(spark, sf_dir, "cosine")[0]
+
+
+def ivf_exact_topk_l2(spark, sf_dir):
+    """The ranking of l2_topk, from inverted lists whose shells are cut by the triangle inequality."""
+    return _lists(spark, sf_dir, "l2")[0]
+
+
+def ivf_exact_reads(spark, sf_dir):
+    """Distances that the exact search of inverted lists measures, and those that looking at everything takes."""
+    return _lists(spark, sf_dir, "l2")[1]
+
+
+QUERIES = (bm25_index_topk, bm25_index_reads, bm25_index_topk_after_delete, stream_index_topk, ivf_exact_topk, ivf_exact_topk_l2, ivf_exact_reads)
 
 ORACLE = {
     "bm25_index_topk": text_queries.ORACLE["bm25_topk"],
     "bm25_index_topk_after_delete": text_queries.ORACLE["bm25_topk_after_delete"],
     "stream_index_topk": text_queries.ORACLE["bm25_topk"],
+    "ivf_exact_topk": vector_queries.ORACLE["cosine_topk_batch"],
+    "ivf_exact_topk_l2": vector_queries.ORACLE["l2_topk"],
 }

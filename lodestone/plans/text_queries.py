@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions import chunk_table
 from lodestone.functions.text import prefix_key, term_vector
 from lodestone.operators import bm25, chunking, dense, prompt
+from lodestone.plans import retrieval
 from lodestone.sources import files
 
 K = 10
@@ -94,22 +96,25 @@ def rrf_hybrid_topk(spark, sf_dir):
     return bm25.top(_hybrid(spark, sf_dir, K), K)
 
 
-def _reranked(ranked: DataFrame, spark, sf_dir, k: int) -> DataFrame:
-    """1 if the document has the query's first word, else 0; ties keep the earlier rank."""
-    words = asked(spark, sf_dir).select("query_id", F.lower(F.substring_index("text", " ", 1)).alias("needle"))
-    rows = ranked.join(texts(spark, sf_dir), "doc_id").join(words, "query_id")
-    rows = rows.withColumn("rerank_score", F.when(F.contains(F.lower("text"), F.col("needle")), 1.0).otherwise(0.0))
-    order = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank")
-    return rows.withColumn("new_rank", F.row_number().over(order).cast("long")).where(F.col("new_rank") <= k).select("query_id", "doc_id", "rerank_score", F.col("new_rank").alias("rank"))
+def _first_word(rows: DataFrame) -> Column:
+    """1 if the document has the query's first word, else 0."""
+    return F.when(F.contains(F.lower("content"), F.lower(F.substring_index("query", " ", 1))), 1.0).otherwise(0.0)
+
+
+def _pipeline(spark, sf_dir, hybrid: bool) -> DataFrame:
+    """The five best of 30 candidates by the reranker, ties in the order of retrieval."""
+    chunks = texts(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    pipeline = retrieval.RetrievalPipeline(chunks, retrieval.embed_terms(TERMS), hybrid=hybrid, reranker=_first_word)
+    return pipeline.retrieve(asked(spark, sf_dir), 5).select("query_id", "doc_id", F.col("score").alias("rerank_score"), "rank")
 
 
 def pipeline_dense_rerank(spark, sf_dir):
     """Candidates are widened to 30 before the reranker, then cut to 5."""
-    return _reranked(_dense(spark, sf_dir, 30), spark, sf_dir, 5)
+    return _pipeline(spark, sf_dir, False)
 
 
 def pipeline_hybrid_rerank(spark, sf_dir):
-    return _reranked(bm25.top(_hybrid(spark, sf_dir, 30), 30), spark, sf_dir, 5)
+    return _pipeline(spark, sf_dir, True)
 
 
 def chunk_fixed(spark, sf_dir):
@@ -133,6 +138,12 @@ def chunk_semantic(spark, sf_dir):
     return chunking.with_counts(chunking.recursive(texts(spark, sf_dir), mode="semantic"))
 
 
+def chunk_sql(spark, sf_dir):
+    """Fixed windows by the table function, with the documents' other columns."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return chunk_table.chunked(docs)
+
+
 def list_documents(spark, sf_dir):
     """Sources as files: chunk counts, in the order of their first document."""
     chunks = chunk_fixed(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
@@ -169,7 +180,7 @@ def prefix_keys(spark, sf_dir):
     return texts(spark, sf_dir).select("doc_id", prefix_key(F.col("text")).alias("prefix_key"))
 
 
-QUERIES = (bm25_scores, bm25_topk, bm25_postings, bm25_term_stats, bm25_corpus, bm25_topk_after_delete, bm25_topk_after_delete_reference, toy_embedding, document_dense_topk, rrf_rank_fusion, rrf_hybrid_topk, pipeline_dense_rerank, pipeline_hybrid_rerank, chunk_fixed, chunk_fixed_stats, chunk_units, chunk_recursive, chunk_semantic, list_documents, markdown_title, text_document, prompt_build, search_result_format, prefix_keys)
+QUERIES = (bm25_scores, bm25_topk, bm25_postings, bm25_term_stats, bm25_corpus, bm25_topk_after_delete, bm25_topk_after_delete_reference, toy_embedding, document_dense_topk, rrf_rank_fusion, rrf_hybrid_topk, pipeline_dense_rerank, pipeline_hybrid_rerank, chunk_fixed, chunk_fixed_stats, chunk_units, chunk_recursive, chunk_semantic, chunk_sql, list_documents, markdown_title, text_document, prompt_build, search_result_format, prefix_keys)
 
 TOKENS = r"unnest(list_filter(string_split_regex(lower({}), '\s+'), lambda x: x <> ''))"
 
@@ -231,6 +242,7 @@ ORACLE = {
     "chunk_fixed": f"SELECT doc_id, (start_char // 448)::BIGINT AS ordinal, start_char, substring(text, start_char + 1, 512) AS content, doc_id || '#' || start_char AS chunk_id FROM ({FIXED})",
     "chunk_fixed_stats": f"SELECT doc_id, count(*) AS n_chunks, sum(length(substring(text, start_char + 1, 512)))::BIGINT AS n_chars, max(start_char) AS last_start FROM ({FIXED}) GROUP BY doc_id",
     "chunk_units": "SELECT doc_id, len(u)::BIGINT AS n_units, length(array_to_string(u, ''))::BIGINT AS n_chars FROM (SELECT doc_id, regexp_extract_all(text, '(?s).(?:\n\n|\n|。|\\. | )*') AS u FROM documents)",
+    "chunk_sql": f"SELECT doc_id, lang, source, (start_char // 448)::BIGINT AS ordinal, start_char, substring(text, start_char + 1, 512) AS content FROM ({FIXED}) JOIN (SELECT doc_id, lang, source FROM documents) USING (doc_id)",
     "list_documents": f"SELECT source AS file_name, count(*) AS n_chunks, min(doc_id) AS first_seen FROM ({FIXED}) JOIN (SELECT doc_id, source FROM documents) USING (doc_id) GROUP BY source",
     "markdown_title": f"SELECT '/corpus/' || doc_id || '.md' AS id, CASE WHEN doc_id % 2 = 0 THEN trim(regexp_extract(c, '^# ([^\\r\\n]*)', 1)) ELSE doc_id::VARCHAR END AS title, 'markdown' AS format, strlen(c)::BIGINT AS size_bytes FROM {FILE}",
     "text_document": f"SELECT '/corpus/' || doc_id || '.txt' AS id, doc_id::VARCHAR AS title, 'text' AS format, strlen(c)::BIGINT AS size_bytes, length(replace(c, chr(13) || chr(10), chr(10)))::BIGINT AS n_chars FROM {FILE}",

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from lodestone.operators import chunking
 from lodestone.operators.segments import Bm25Index
+from lodestone.sources import files
 from lodestone.sources.shared import shared_folder
 
 
@@ -34,6 +36,37 @@ def ingested(spark: SparkSession, source: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/chunks").drop("batch")
 
 
+#: Fixed by Spark: what a stream of files has.
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+
+
+def ingest_files(spark: SparkSession, source: str, target: str, checkpoint: str, size: int = 512, overlap: int = 64, mode: str = "reference") -> dict[str, int]:
+    """Parse and chunk all files that have arrived below source; chunks and rejected files are two tables below target.
+
+    A micro-batch reads its files once and writes a folder of either table, overwriting it if it runs again: a restart
+    neither loses nor doubles anything. Returns the files, documents and rejected files of this call. Chunks carry their
+    document's metadata.
+    """
+    counts = {"files": 0, "documents": 0, "rejected": 0}
+
+    def write(batch: DataFrame, number: int) -> None:
+        seen = Observation()
+        found = batch.select("path", "content").observe(seen, F.count("*").alias("files")).persist()
+        docs = files.parse(found).select(F.col("id").alias("doc_id"), F.col("content").alias("text"), "metadata")
+        bad = files.rejected(found)
+        bad.write.mode("overwrite").parquet(f"{target}/rejected/batch={number}")
+        chunks = chunking.recursive(docs, size, overlap, mode).join(docs.select("doc_id", "metadata"), "doc_id")
+        chunks.write.mode("overwrite").parquet(f"{target}/chunks/batch={number}")
+        n, out = seen.get["files"], spark.read.parquet(f"{target}/rejected/batch={number}").count()
+        for k, v in (("files", n), ("documents", n - out), ("rejected", out)):
+            counts[k] += v
+        found.unpersist()
+
+    stream = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true").load(source)
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return counts
+
+
 def ingest_index(spark: SparkSession, source: str, schema, index: Bm25Index, checkpoint: str, files_per_batch: int = 1000) -> None:
     """Add all documents (doc_id, text) that have arrived at source (Parquet files) to the index, a segment for each micro-batch.
 

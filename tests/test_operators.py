@@ -283,8 +283,7 @@ def test_outputs_are_parsed_alike_in_plans_and_on_the_driver(spark):
 
 
 def test_agent_loop():
-    tools = agent.ToolRegistry()
-    tools.register(agent.Tool("echo", "says it", lambda text: f"<{text}>", {"text": {"type": "string", "description": "what"}}))
+    tools = {"echo": ("says it", lambda text: f"<{text}>", (("text", "string", "what"),))}
     llm = agent.MockLLM('<tool_call>{"name": "echo", "arguments": {"text": "hi"}}</tool_call>', "Final Answer: done")
     memory = []
     bot = agent.ReActAgent(llm, tools, memory)
@@ -292,9 +291,8 @@ def test_agent_loop():
     assert [m["role"] for m in memory] == ["user", "assistant"] and bot.memory is memory
     endless = agent.MockLLM('<tool_call>{"name": "none", "arguments": {}}</tool_call>')
     assert agent.ReActAgent(endless, tools, max_steps=3).run("q").startswith("<tool_call>") and len(endless.prompts) == 4
-    assert "错误" in tools.call("echo", {"wrong": 1}) and '<tool name="echo">' in tools.tools_prompt()
-    tools.unregister("echo")
-    assert tools.list_tools() == [] and tools.tools_prompt() == "(没有可用的工具)"
+    assert "错误" in agent.observation(tools, "echo", {"wrong": 1}) and "错误" in agent.observation({}, "echo", {})
+    assert '<tool name="echo">' in agent.shown(tools) and agent.shown({}) == "(没有可用的工具)"
     assert "".join(agent.MockLLM("ab").generate_stream("x")) == "ab"
 
 

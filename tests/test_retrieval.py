@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 from lodestone import cli
 from lodestone.functions.text import prefix_key
 from lodestone.operators import agent, dialogue, session
+from lodestone.operators.segments import Bm25Index
 from lodestone.plans import retrieval
+from lodestone.plans.text_queries import TERMS
+from lodestone.sources import files
 
 BASIS = {"水果": [1.0, 0.0, 0.0], "手机": [0.0, 1.0, 0.0]}
 
@@ -107,8 +110,49 @@ def test_history_and_rewriting():
 
 def test_agent_prompts_share_a_prefix():
     llm = agent.MockLLM('<tool_call>{"name": "none"}</tool_call>', "nothing", "Final Answer: yes", "Final Answer: again")
-    bot = agent.ReActAgent(llm, agent.ToolRegistry())
+    bot = agent.ReActAgent(llm, {})
     assert bot.run("first") == "nothing" and bot.run("second") == "yes"
     assert [hit for _, hit in bot.uses] == [False, True, True]
     assert all(p.startswith(bot.prefix()) for p in llm.prompts) and "助手: nothing" in llm.prompts[2]
     assert [s["type"] for s in bot.steps] == ["final_answer"]
+
+
+def test_indexes_grow_and_are_stored(spark, pieces, tmp_path):
+    _, index, _ = pieces
+    vectors = index.vectors.selectExpr("vec_id", "embedding")
+    grown = retrieval.ExactIndex(vectors)
+    grown.add(spark.createDataFrame([(9, [0.0, 0.0, 1.0])], "vec_id long, embedding array<double>"))
+    q = spark.createDataFrame([(1, [0.0, 0.1, 1.0])], "vec_id long, embedding array<double>")
+    assert (len(grown), ids(grown.search(q, 1))) == (4, [9])
+    grown.save(str(tmp_path / "exact"))
+    assert ids(retrieval.ExactIndex.load(spark, str(tmp_path / "exact")).search(q, 2)) == ids(grown.search(q, 2))
+    built = retrieval.IvfPqIndex.build(vectors, 2, 2, 1, 2)
+    with pytest.raises(RuntimeError):
+        built.add(vectors)
+    built.save(str(tmp_path / "pq"))
+    again = retrieval.IvfPqIndex.load(spark, str(tmp_path / "pq"), 2)
+    assert len(again) == len(built) == 3 and ids(again.search(q, 2)) == ids(built.search(q, 2))
+    for kind in (retrieval.ExactIndex, retrieval.IvfPqIndex):
+        with pytest.raises(FileNotFoundError):
+            kind.load(spark, str(tmp_path / "none"))
+
+
+def test_stored_sparse_index_and_batched_reranker(spark, pieces, tmp_path):
+    chunks, index, embedding = pieces
+    q = spark.createDataFrame([(7, "X100")], "query_id long, text string")
+    stored = Bm25Index(spark, str(tmp_path))
+    stored.add(chunks.selectExpr("chunk_id AS doc_id", "content AS text"))
+    make = lambda **k: retrieval.RetrievalPipeline(chunks, embedding, index, **k)
+    assert ids(make(hybrid=True, sparse=stored).retrieve(q, 2)) == ids(make(hybrid=True).retrieve(q, 2)) == [1, 0]
+    model = retrieval.BatchedReranker(lambda: lambda pairs: [float(q in c) for q, c in pairs], 2)
+    assert ids(make(reranker=model).retrieve(q, 2)) == ids(make(reranker=retrieval.contains_reranker).retrieve(q, 2)) == [1, 0]
+
+
+def test_answers_from_a_table_without_metadata(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "the otter", "d")], "chunk_id long, content string, document_id string")
+    files.save_chunks(rows.withColumn("embedding", retrieval.embed_terms(TERMS)(F.col("content"))), f"{tmp_path}/chunks")
+    said = cli.ask(spark, cli.parser().parse_args(["ask", "otter", "--show-sources", "--index-path", str(tmp_path)]))
+    assert "the otter" in said
+    with pytest.raises(ValueError):
+        files.save_chunks(rows.drop("content"), f"{tmp_path}/bad")
+        files.load_chunks(spark, f"{tmp_path}/bad")
