@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from lodestone.operators import ivf
+from lodestone.operators.embed_store import EmbeddingStore
 from lodestone.operators.segments import Bm25Index
-from lodestone.plans import text_queries, vector_queries
+from lodestone.plans import retrieval, text_queries, vector_queries
 from lodestone.plans.text_queries import K, asked, texts
 from lodestone.sources.shared import shared_folder
 from lodestone.streaming import ingest
@@ -62,12 +65,33 @@ def ivf_exact_reads(spark, sf_dir):
     return _lists(spark, sf_dir, "l2")[1]
 
 
-QUERIES = (bm25_index_topk, bm25_index_reads, bm25_index_topk_after_delete, stream_index_topk, ivf_exact_topk, ivf_exact_topk_l2, ivf_exact_reads)
+def _store(spark) -> EmbeddingStore:
+    return EmbeddingStore(spark, shared_folder(spark, "embeddings"), retrieval.embed_terms(text_queries.TERMS))
+
+
+def stored_embedding(spark, sf_dir):
+    """toy_embedding, from a store of distinct texts to which the table has been added."""
+    store, docs = _store(spark), texts(spark, sf_dir)
+    store.add(docs)
+    rows = store.joined(docs).select("doc_id", F.posexplode("embedding").alias("pos", "x"))
+    return rows.select("doc_id", F.col("pos").cast("long"), F.round("x", 6).alias("x"))
+
+
+def stored_embedding_runs(spark, sf_dir):
+    """Texts that are embedded when one half of the sources is added, then all documents, then all again."""
+    store, docs = _store(spark), text_queries.table(spark, sf_dir, "documents")
+    half = docs.where(F.crc32(F.coalesce("source", F.lit(""))) % 2 == 0)
+    counts = [(i, store.add(x)) for i, x in enumerate((half, docs, docs), 1)]
+    return spark.createDataFrame(counts, "run int, n_embedded long")
+
+
+QUERIES = (bm25_index_topk, bm25_index_reads, bm25_index_topk_after_delete, stream_index_topk, ivf_exact_topk, ivf_exact_topk_l2, ivf_exact_reads, stored_embedding, stored_embedding_runs)
 
 ORACLE = {
     "bm25_index_topk": text_queries.ORACLE["bm25_topk"],
     "bm25_index_topk_after_delete": text_queries.ORACLE["bm25_topk_after_delete"],
     "stream_index_topk": text_queries.ORACLE["bm25_topk"],
+    "stored_embedding": text_queries.ORACLE["toy_embedding"],
     "ivf_exact_topk": vector_queries.ORACLE["cosine_topk_batch"],
     "ivf_exact_topk_l2": vector_queries.ORACLE["l2_topk"],
 }

@@ -225,7 +225,20 @@ SELECT h.*, CASE WHEN contains(lower(d.text), lower(split_part(b.text, ' ', 1)))
 FIXED = "SELECT doc_id, unnest(range(0, length(text), 448)) AS start_char, text FROM documents WHERE length(text) > 0"
 FILE = "(SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '# ' || array_to_string(list_slice(string_split(text, ' '), 1, 3), ' ') || chr(13) || chr(10) ELSE '' END || text AS c FROM documents)"
 
+#: The fold over units, a step a chunk or unit: reach the farthest unit end that fits, else close the chunk, else take one unit.
+RECURSIVE = r"""WITH RECURSIVE u AS (SELECT doc_id, regexp_extract_all(text, '(?s).(?:\n\n|\n|。|\. | )*') AS u FROM documents),
+s AS (SELECT doc_id, i, (sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i))::BIGINT AS e FROM (SELECT doc_id, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM u)),
+e AS (SELECT doc_id, list(e ORDER BY i) AS ends FROM s GROUP BY doc_id),
+r AS (SELECT doc_id, ends, 0::BIGINT AS beg, 0::BIGINT AS pos, NULL::BIGINT AS x, NULL::BIGINT AS y, false AS done FROM e UNION ALL
+  SELECT doc_id, ends, CASE WHEN emit AND pos - beg > 64 THEN pos - 64 WHEN emit THEN pos ELSE beg END, coalesce(fit, CASE WHEN emit THEN pos ELSE more END),
+    CASE WHEN emit THEN beg END, CASE WHEN emit THEN pos END, emit AND more IS NULL
+  FROM (SELECT *, fit IS NULL AND pos > beg AS emit FROM (
+    SELECT *, list_max(list_filter(ends, lambda v: v > pos AND v - beg <= 512)) AS fit, list_min(list_filter(ends, lambda v: v > pos)) AS more FROM r WHERE NOT done)))
+SELECT c.doc_id, (row_number() OVER d - 1)::BIGINT AS ordinal, x AS start_char, substring(text, x + 1, y - x) AS content, c.doc_id || '#' || (row_number() OVER d - 1) AS chunk_id, count(*) OVER (PARTITION BY c.doc_id) AS chunk_count
+FROM r c JOIN documents USING (doc_id) WHERE x IS NOT NULL WINDOW d AS (PARTITION BY c.doc_id ORDER BY x)"""
+
 ORACLE = {
+    "chunk_recursive": RECURSIVE,
     "bm25_scores": f"WITH {_bm25_sql()} SELECT * FROM s",
     "bm25_topk": f"WITH {_bm25_sql()} {_top_sql('s', K)}",
     "bm25_postings": f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, {TOKENS.format('text')} AS term FROM documents) GROUP BY ALL",
