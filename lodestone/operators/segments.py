@@ -30,19 +30,23 @@ from lodestone.operators.bm25 import B, K1, Tokenizer, top
 from lodestone.sources import manifest
 from lodestone.sources.shared import use_checkpoints
 
-#: Mean documents of a full group (a block has at most about so many postings), and groups whose blocks of a bucket share a file.
-GROUP_DOCS, FILE_GROUPS = 256, 2048
+#: Mean documents of a full group (a block has at most about so many postings), words of one if its documents are long, and
+#: groups that one task makes blocks of, a file for each bucket.
+GROUP_DOCS, GROUP_WORDS, TASK_GROUPS = 256, 131_072, 32
+#: Documents that a Python worker gets at once while it makes blocks: about a group, since documents of one kind may all be long.
+BATCH_DOCS = 256
 #: Documents lie together by their most frequent word, hashed to so many kinds at most and one for so many documents, and by
 #: powers of two of their length: a group then speaks one language and its bounds are near its scores.
 MOST_KINDS, KIND_DOCS = 64, 1024
 #: Terms lie in folders by hash, so that a search opens those of its terms alone.
-BUCKETS = 16
+BUCKETS = 8
 #: Scores are compared by bounds with this margin, since they are ranked as rounded to 6 digits.
 MARGIN = 2e-6
 #: Terms of queries that tasks hold at once (other queries follow in further passes), and queries of a matrix product.
 SENT_TERMS, QUERY_BLOCK = 1_000_000, 512
 #: Groups that are scored first for each query.
 FIRST_GROUPS = 2
+PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -74,7 +78,7 @@ class Bm25Index:
     def _rows(self, kind: str, segments) -> DataFrame:
         """A table of all segments, with segment as a column."""
         schema = {
-            "forward": "doc_id long, len int, kind int, terms array<struct<term:string,tf:int>>",
+            "forward": "doc_id long, len int, kind int, terms array<string>, tfs array<int>",
             "groups": "kind int, start int, n_groups int",
             "blocks": "bucket int, term string, g int, n int, max_tf int, min_len int, doc_ids array<long>, tfs array<int>, lens array<int>",
             "deleted": "segment string, g int, doc_id long, len int, terms array<string>",
@@ -121,7 +125,8 @@ class Bm25Index:
             return False
         n = docs.count()
         words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), self.tokenizer(F.col("text")).alias("words"))
-        self._write_forward(words.select("doc_id", F.size("words").alias("len"), term_counts(F.col("words")).alias("terms")), n, name)
+        counted = words.select("doc_id", F.size("words").alias("len"), term_counts(F.col("words")).alias("x"))
+        self._write_forward(counted.select("doc_id", "len", F.col("x.term").alias("terms"), F.col("x.tf").alias("tfs")), n, name)
         counts = self._counts(name)
         if counts.pop("nulls") or counts.pop("ids") != n:
             raise ValueError("document ids are null or repeated")
@@ -134,15 +139,16 @@ class Bm25Index:
         return True
 
     def _write_forward(self, rows: DataFrame, n: int, name: str) -> None:
-        """The forward table of (doc_id, len, terms), and how each kind of document is cut in groups."""
-        often = F.array_max(F.transform("terms", lambda x: F.struct(x["tf"].alias("tf"), x["term"].alias("term"))))["term"]
+        """The forward table of (doc_id, len, terms, tfs), and how each kind of document is cut in groups."""
+        often = F.array_max(F.arrays_zip("tfs", "terms"))["terms"]
         kinds = min(MOST_KINDS, 1 + n // KIND_DOCS)
         kind = F.pmod(F.xxhash64(often), F.lit(kinds)) * 32 + F.floor(F.log2(F.col("len") + 1))
-        rows.select("doc_id", "len", kind.cast("int").alias("kind"), "terms").write.mode("overwrite").parquet(f"{self.folder}/forward/segment={name}")
+        rows.select("doc_id", "len", kind.cast("int").alias("kind"), "terms", "tfs").write.mode("overwrite").parquet(f"{self.folder}/forward/segment={name}")
         sizes = self._rows("forward", [name]).groupBy("kind").count().collect()  # 32 * MOST_KINDS at most
         start, groups = 0, []
         for r in sorted(sizes):
-            groups.append((r.kind, start, -(-r["count"] // GROUP_DOCS)))
+            docs = max(1, min(GROUP_DOCS, GROUP_WORDS >> (r.kind % 32)))
+            groups.append((r.kind, start, -(-r["count"] // docs)))
             start += groups[-1][2]
         self.spark.createDataFrame(groups, "kind int, start int, n_groups int").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/groups/segment={name}")
 
@@ -157,15 +163,20 @@ class Bm25Index:
         return r.collect()[0].asDict()
 
     def _write_blocks(self, name: str) -> None:
-        """Blocks of a segment. A file has some groups of one bucket, so a term in every document is spread as well."""
-        each = self._grouped([name]).select("doc_id", "len", "g", F.inline("terms"))
-        bucket, share = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"), F.floor(F.col("g") / FILE_GROUPS).cast("int")
+        """Blocks of a segment. Documents are dealt out by group, so that what one term has in all documents is spread as well."""
         groups = self._rows("groups", [name]).agg(F.coalesce(F.sum("n_groups"), F.lit(1))).collect()[0][0]
-        files = BUCKETS * -(-groups // FILE_GROUPS)
-        dealt = each.select("*", bucket.alias("bucket"), share.alias("share")).repartition(files, "bucket", "share")
-        listed = dealt.groupBy("bucket", "share", "term", "g").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf", "len"))).alias("p"))  # at most a group's documents
-        rows = listed.select("bucket", "term", "g", F.size("p").alias("n"), F.array_max("p.tf").alias("max_tf"), F.array_min("p.len").alias("min_len"), F.col("p.doc_id").alias("doc_ids"), F.col("p.tf").alias("tfs"), F.col("p.len").alias("lens"))
-        rows.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/blocks/segment={name}")
+        share = F.floor(F.col("g") / TASK_GROUPS).cast("int")
+        # A document's terms travel as one string and their lengths.
+        joined, sizes = F.encode(F.array_join("terms", ""), "UTF-8"), F.transform("terms", lambda x: F.octet_length(x))
+        dealt = self._grouped([name]).select("doc_id", "len", "g", joined.alias("joined"), sizes.alias("sizes"), "tfs").repartition(-(-groups // TASK_GROUPS), share).sortWithinPartitions("g")
+        blocks = dealt.mapInArrow(_blocks, "term string, g int, n int, max_tf int, min_len int, doc_ids array<long>, tfs array<int>, lens array<int>")
+        rows = blocks.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).sortWithinPartitions("bucket", "term")
+        before = self.spark.conf.get(PER_BATCH)
+        self.spark.conf.set(PER_BATCH, str(BATCH_DOCS))
+        try:
+            rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/blocks/segment={name}")
+        finally:
+            self.spark.conf.set(PER_BATCH, before)
 
     def delete(self, ids: DataFrame, name: str | None = None) -> int:
         """Take documents (doc_id) out; ids that are not live are ignored. Returns how many went.
@@ -179,7 +190,7 @@ class Bm25Index:
             return 0
         there = self._live(body).join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select("segment", "doc_id")
         gone = self._grouped(body["segments"]).join(there, ["segment", "doc_id"], "left_semi")
-        gone.select("segment", "g", "doc_id", "len", F.col("terms.term").alias("terms")).write.mode("overwrite").parquet(f"{self.folder}/deleted/{name}")
+        gone.select("segment", "g", "doc_id", "len", "terms").write.mode("overwrite").parquet(f"{self.folder}/deleted/{name}")
         r = self._rows("deleted", [name]).agg(F.count("*").alias("docs"), F.coalesce(F.sum("len"), F.lit(0)).alias("tokens")).collect()[0]
         body["deleted"][name] = r.asDict()
         manifest.publish(self.spark, self.folder, version, body)
@@ -191,7 +202,7 @@ class Bm25Index:
         version, body = self._state()
         name = f"compact-{version + 1}"
         docs = sum(s["docs"] for s in body["segments"].values()) - sum(d["docs"] for d in body["deleted"].values())
-        self._write_forward(self._live(body).select("doc_id", "len", "terms"), docs, name)
+        self._write_forward(self._live(body).select("doc_id", "len", "terms", "tfs"), docs, name)
         counts = {k: v for k, v in self._counts(name).items() if k in ("docs", "tokens", "postings")}
         self._write_blocks(name)
         retired = [*body["retired"], *body["segments"], *body["deleted"]]
@@ -263,7 +274,8 @@ class Bm25Index:
         heads = blocks.groupBy("segment", "g").agg(F.collect_list(F.struct("t", "max_tf", "min_len")).alias("heads")).checkpoint()
 
         def scored(groups: DataFrame, least: Broadcast | None) -> DataFrame:
-            lists = blocks.join(groups, ["segment", "g"], "left_semi").groupBy("segment", "g").agg(F.collect_list(F.struct("t", "max_tf", "min_len", "doc_ids", "tfs", "lens")).alias("lists"))
+            # An inner join, as a semi join would be done before the terms are looked at. The groups are distinct.
+            lists = blocks.join(groups, ["segment", "g"]).groupBy("segment", "g").agg(F.collect_list(F.struct("t", "max_tf", "min_len", "doc_ids", "tfs", "lens")).alias("lists"))
             if body["deleted"]:
                 gone = self._rows("deleted", body["deleted"]).groupBy("segment", "g").agg(F.collect_list("doc_id").alias("gone"))
                 lists = lists.join(gone, ["segment", "g"], "left")
@@ -285,6 +297,45 @@ class Bm25Index:
         return scored(groups, limit), counts.join(names, "q").select("query_id", "n_blocks", "n_read")
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of rows (doc_id, len, g, joined, sizes, tfs) in order of g; a group at a time."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        g = b.column("g").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)] if len(g) else [0]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and held[0].column("g")[0].as_py() != g[lo]:
+                yield from _of_group(held)
+                held = []
+            held.append(b.slice(lo, hi - lo))
+    yield from _of_group(held)
+
+
+def _of_group(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bytes_of, tf = (np.concatenate([b.column(c).flatten().to_numpy() for b in parts] or [[]]) for c in ("sizes", "tfs"))
+    if not len(tf):
+        return
+    ends = np.concatenate(([0], np.cumsum(bytes_of))).astype(np.int32)
+    term = pa.StringArray.from_buffers(len(tf), pa.py_buffer(ends), pa.py_buffer(b"".join(x for b in parts for x in b.column("joined").to_pylist())))
+    each = np.concatenate([b.column("tfs").value_lengths().to_numpy() for b in parts])
+    doc, size = (np.repeat(np.concatenate([b.column(c).to_numpy() for b in parts]), each) for c in ("doc_id", "len"))
+    coded = term.dictionary_encode()
+    code = coded.indices.to_numpy()
+    order = np.lexsort((doc, code))
+    code, doc, size, tf = code[order], doc[order], size[order], tf[order]
+    starts = np.flatnonzero(np.diff(code, prepend=-1))
+    ends = pa.array(np.append(starts, len(code)), pa.int32())
+    columns = {
+        "term": coded.dictionary.take(pa.array(code[starts])),
+        "g": pa.array(np.full(len(starts), parts[0].column("g")[0].as_py(), np.int32)),
+        "n": pa.array(np.diff(np.append(starts, len(code))).astype(np.int32)),
+        "max_tf": pa.array(np.maximum.reduceat(tf, starts)),
+        "min_len": pa.array(np.minimum.reduceat(size, starts)),
+        **{k: pa.ListArray.from_arrays(ends, pa.array(x)) for k, x in (("doc_ids", doc), ("tfs", tf), ("lens", size))},
+    }
+    yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
 @dataclass
 class _Asked:
     """Terms of queries, as tasks hold them: entry i gives query q[i] the weight w[i] for term t[i]."""

@@ -39,7 +39,8 @@ def asked(spark):
 @pytest.fixture
 def small_groups(monkeypatch):
     monkeypatch.setattr("lodestone.operators.segments.GROUP_DOCS", 16)
-    monkeypatch.setattr("lodestone.operators.segments.FILE_GROUPS", 8)
+    monkeypatch.setattr("lodestone.operators.segments.TASK_GROUPS", 8)
+    monkeypatch.setattr("lodestone.operators.segments.GROUP_WORDS", 512)
     monkeypatch.setattr("lodestone.operators.segments.KIND_DOCS", 100)
     monkeypatch.setattr("lodestone.operators.segments.SENT_TERMS", 9)
     monkeypatch.setattr("lodestone.operators.segments.QUERY_BLOCK", 2)
