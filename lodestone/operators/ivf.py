@@ -170,8 +170,11 @@ def search(index: Ivf, queries: DataFrame, k: int, n_probe: int | None = None) -
             kth = top(near.withColumn("score", -F.col("far")), k).where(F.col("rank") == k).select("query_id", "far")
             # Scores are rounded to 6 digits, and ties go to the lower id, so the bound is a little wider.
             far = F.sqrt(F.col("far") + 2e-6) if index.metric == "l2" else F.sqrt(F.greatest(F.lit(0.0), 2 + 2 * F.col("far")) + 2e-6)
-            bounds = asked.select("q_ids", "q_data", F.posexplode("q_ids").alias("i", "query_id")).join(kth.select("query_id", far.alias("kth")), "query_id", "left")
-            packed = bounds.groupBy("q_ids").agg(F.first("q_data").alias("q_data"), F.sort_array(F.collect_list(F.struct("i", F.coalesce("kth", F.lit(float("inf"))).alias("d")))).alias("w"))
+            # The queries' vectors stay out of the join: a block of them is known by the hash of its ids.
+            named = asked.withColumn("block", F.xxhash64("q_ids"))
+            bounds = named.select("block", F.posexplode("q_ids").alias("i", "query_id")).join(kth.select("query_id", far.alias("kth")), "query_id", "left")
+            bounds = bounds.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce("kth", F.lit(float("inf"))).alias("d")))).alias("w"))
+            packed = named.join(bounds, "block")
             rows = _scan(index, packed.select("q_ids", "q_data", F.col("w.d").alias("within")).checkpoint(), k, None)
         rows = rows.checkpoint()
         found.append(rows.where("doc_id IS NOT NULL").select("query_id", "doc_id", (-F.col("far")).alias("score")))
