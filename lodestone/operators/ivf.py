@@ -77,8 +77,10 @@ def build(points: DataFrame, n_clusters: int, metric: str = "cosine", passes: in
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
             away, ids, x = (np.concatenate([r[i] for r in rows]) for i in (1, 2, 3))
-            values = [[rows[0][0]], [away.min()], [away.max()], [ids], [x.tobytes()]]
-            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.binary()), strict=True)], ["cluster", "low", "high", "c_ids", "c_data"])
+            values = [rows[0][0]], [away.min()], [away.max()], [ids], [x.tobytes()]
+            kinds = pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.binary()
+            columns = [pa.array(v, t) for v, t in zip(values, kinds, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, ["cluster", "low", "high", "c_ids", "c_data"])
 
         for b in batches:
             if not b.num_rows:
@@ -108,7 +110,8 @@ def build(points: DataFrame, n_clusters: int, metric: str = "cosine", passes: in
 def _scan(index: Ivf, asked: DataFrame, k: int, n_probe: int | None) -> DataFrame:
     """(query_id, doc_id, far, looked): the k nearest in each block, of the queries that may have neighbours there; a row without
     doc_id counts the distances of a block."""
-    centroids = index.centroids
+    centroids, index_metric = index.centroids, index.metric
+    kinds = {"query_id": "Int64", "doc_id": "Int64", "far": "float64", "looked": "int64"}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, q, to = None, None, None
@@ -123,14 +126,13 @@ def _scan(index: Ivf, asked: DataFrame, k: int, n_probe: int | None) -> DataFram
                 if n_probe:
                     open_ &= order[:, cluster] < n_probe
                 rows = np.flatnonzero(open_)
-                yield pd.DataFrame({"query_id": [None], "doc_id": [None], "far": [None], "looked": [len(rows) * len(ci)]}).astype({"query_id": "Int64", "doc_id": "Int64", "far": "float64", "looked": "int64"})
+                yield pd.DataFrame({"query_id": [None], "doc_id": [None], "far": [None], "looked": [len(rows) * len(ci)]}).astype(kinds)
                 if len(rows):
                     c, ids = np.frombuffer(cd).reshape(len(ci), -1), np.asarray(ci)
                     far = np.round(_far(q[rows], c) ** 2, 6) if index_metric == "l2" else -np.round(q[rows] @ c.T, 6)
                     best = np.lexsort((np.broadcast_to(ids, far.shape), far), axis=1)[:, :k]
                     yield pd.DataFrame({"query_id": np.repeat(np.asarray(qi)[rows], best.shape[1]), "doc_id": ids[best].ravel(), "far": np.take_along_axis(far, best, 1).ravel(), "looked": 0})
 
-    index_metric = index.metric
     return index.blocks.crossJoin(F.broadcast(asked)).mapInPandas(run, "query_id long, doc_id long, far double, looked long")
 
 
