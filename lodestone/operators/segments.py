@@ -159,7 +159,13 @@ class Bm25Index:
 
     def _counts(self, name: str) -> dict:
         rows = self._rows("forward", [name])
-        r = rows.agg(F.count("*").alias("docs"), F.count_distinct("doc_id").alias("ids"), F.count_if(F.col("doc_id").isNull()).alias("nulls"), F.coalesce(F.sum("len"), F.lit(0)).alias("tokens"), F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("postings"))
+        r = rows.agg(
+            F.count("*").alias("docs"),
+            F.count_distinct("doc_id").alias("ids"),
+            F.count_if(F.col("doc_id").isNull()).alias("nulls"),
+            F.coalesce(F.sum("len"), F.lit(0)).alias("tokens"),
+            F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("postings"),
+        )
         return r.collect()[0].asDict()
 
     def _write_blocks(self, name: str) -> None:
@@ -267,7 +273,8 @@ class Bm25Index:
         rows = weights.collect()  # SENT_TERMS at most
         ids, terms = sorted({r.query_id for r in rows}), sorted({(r.bucket, r.term) for r in rows})
         of_id, of_term = {x: i for i, x in enumerate(ids)}, {x: i for i, x in enumerate(terms)}
-        asked = _Asked(ids, len(terms), np.array([of_id[r.query_id] for r in rows], np.int64), np.array([of_term[r.bucket, r.term] for r in rows], np.int64), np.array([r.w for r in rows]), k, self.k1, self.b, length, to_arrow_type(kind))
+        q, t = np.array([of_id[r.query_id] for r in rows], np.int64), np.array([of_term[r.bucket, r.term] for r in rows], np.int64)
+        asked = _Asked(ids, len(terms), q, t, np.array([r.w for r in rows]), k, self.k1, self.b, length, to_arrow_type(kind))
         sent = self.spark.sparkContext.broadcast(asked)
         wanted = F.broadcast(self.spark.createDataFrame([(b, t, i) for (b, t), i in of_term.items()], "bucket int, term string, t int"))
         blocks = self._rows("blocks", body["segments"]).join(wanted, ["bucket", "term"])
@@ -293,7 +300,8 @@ class Bm25Index:
         through = heads.mapInArrow(_bounds(sent, limit), "q int, segment string, g int, most double").checkpoint()
         groups = through.where("segment IS NOT NULL").select("segment", "g")
         names = self.spark.createDataFrame(list(enumerate(ids)), f"q int, query_id {kind.simpleString()}")
-        counts = through.where("segment IS NULL").groupBy("q").agg(F.sum(F.when(F.col("g") == 0, F.col("most"))).cast("long").alias("n_blocks"), F.coalesce(F.sum(F.when(F.col("g") == 1, F.col("most"))), F.lit(0)).cast("long").alias("n_read"))
+        of_kind = lambda g: F.coalesce(F.sum(F.when(F.col("g") == g, F.col("most"))), F.lit(0)).cast("long")
+        counts = through.where("segment IS NULL").groupBy("q").agg(of_kind(0).alias("n_blocks"), of_kind(1).alias("n_read"))
         return scored(groups, limit), counts.join(names, "q").select("query_id", "n_blocks", "n_read")
 
 
