@@ -7,7 +7,7 @@ packed queries are measured, and sent to all tasks in groups of a bounded size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -58,6 +58,24 @@ def pack(df: DataFrame, key: str, vector: str, rows: int, prefix: str) -> DataFr
     return named.mapInArrow(run, "i array<long>, d binary").toDF(f"{prefix}_ids", f"{prefix}_data")
 
 
+def crossed(queries: DataFrame, corpus: DataFrame, found: Callable[[DataFrame], DataFrame], key: str = "vec_id", vector: str = "embedding", spread: bool = False) -> DataFrame:
+    """found() of all pairs of blocks (q_ids, q_data, c_ids, c_data), the queries' blocks in groups of bounded size.
+
+    spread deals the corpus's blocks to twice as many tasks as there are cores, however few files hold it.
+    """
+    sc = queries.sparkSession.sparkContext
+    use_checkpoints(queries.sparkSession)
+    asked = pack(queries, key, vector, QUERY_BLOCK, "q").checkpoint()
+    n = -(-(asked.agg(F.sum(F.length("q_data"))).collect()[0][0] or 0) // SENT)
+    blocks = pack(corpus, key, vector, CORPUS_BLOCK, "c")
+    if spread:
+        blocks = blocks.repartition(2 * sc.defaultParallelism)
+    if n > 1:
+        blocks = blocks.checkpoint()  # read once for each group
+    part = F.pmod(F.xxhash64("q_ids"), F.lit(max(1, n)))
+    return reduce(DataFrame.union, (found(blocks.crossJoin(F.broadcast(asked.where(part == i)))) for i in range(max(1, n))))
+
+
 def search(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, doc_id, score double, rank long): the k best of the corpus for every query.
 
@@ -86,13 +104,6 @@ def search(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine"
     schema = "query_id long, doc_id long, score double"
     if k <= 0:
         return top(queries.sparkSession.createDataFrame([], schema), k)
-    use_checkpoints(queries.sparkSession)
-    asked = pack(queries, key, vector, QUERY_BLOCK, "q").checkpoint()
-    n = -(-(asked.agg(F.sum(F.length("q_data"))).collect()[0][0] or 0) // SENT)
-    blocks = pack(corpus, key, vector, CORPUS_BLOCK, "c")
-    if n > 1:
-        blocks = blocks.checkpoint()  # read once for each group
-    part = F.pmod(F.xxhash64("q_ids"), F.lit(max(1, n)))
-    found = reduce(DataFrame.union, (blocks.crossJoin(F.broadcast(asked.where(part == i))).mapInPandas(run, schema) for i in range(max(1, n))))
+    found = crossed(queries, corpus, lambda pairs: pairs.mapInPandas(run, schema), key, vector)
     ranked = top(found, k)
     return ranked if metric == "cosine" else ranked.withColumn("score", F.abs("score"))
