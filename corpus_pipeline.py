@@ -43,7 +43,8 @@ def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the lowest id (null last), of each group linked by five-word shingle sets
-    of similarity 0.8 or more. Null and blank texts are alike; of repeated rows one stays."""
+    of similarity 0.8 or more: by SimHash fingerprints under Golay keys, verified by the whole sets, and by
+    bands of minima for what lies beyond their four bits. Null and blank texts are alike; of repeated rows one stays."""
     keyed = packed(docs).withColumn("key", _row_key())
     found = simhash.near_duplicates(keyed.select("key", F.col("row").getField("text").alias("text")), "key", by="shingles")
     stays = found.where("key = component").select(F.struct("key").alias("stays")).distinct()

@@ -1,13 +1,14 @@
 """Near-duplicates by the resemblance (Jaccard similarity) of texts' shingle sets.
 
-A fingerprint of 64 bits cannot tell a resemblance of 0.8 (about ten differing bits, often more)
-from chance in an index, so candidates come from BANDS groups of ROWS minima of the shingle hashes:
-two texts of resemblance 0.8 share none of the groups in about 3 of a million cases, and those of
-0.9 practically never. Candidates are then compared by their whole shingle sets, so that every link
-is true.
+SimHash comes first: the fingerprints of the shingle sets are linked by Golay keys (see simhash), and
+what has one fingerprint or linked ones is a candidate. A fingerprint of 64 bits cannot tell a
+resemblance of 0.8 (about ten differing bits, often more) from chance in an index, so further
+candidates come from BANDS groups of ROWS minima of the shingle hashes: two texts of resemblance 0.8
+share none of the groups in about 3 of a million cases, and those of 0.9 practically never. Candidates
+are then compared by their whole shingle sets, so that every link is true.
 
 Equal sets are one node. Bands that hold the same nodes are looked at once. First every node of a
-band is compared with the band's lowest node, and the links found give components; a band then
+band is compared with the band's lowest node, as are the candidates by SimHash, and the links found give components; a band then
 matters only if its other nodes lie in several of them, and only these nodes are compared further,
 in blocks of bounded size that give spanning forests, never all pairs. So no task holds a band, and
 nodes that are known to be connected are not compared again. Components are those of simhash.
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import released, slices, texts, use_checkpoints
-from lodestone.llm.simhash import components
+from lodestone.llm.simhash import components, links, majority
 
 SHINGLE = 5
 #: Links have at least this resemblance, as a fraction.
@@ -88,7 +89,7 @@ def forest(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
 
 
 def _sketched(df: DataFrame) -> DataFrame:
-    """(key, node long, size long, bands array<long>) of rows (key, text)."""
+    """(key, node long, fp long, size long, bands array<long>) of rows (key, text); fp is the SimHash of the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
@@ -96,9 +97,10 @@ def _sketched(df: DataFrame) -> DataFrame:
         for b in slices(batches, "text"):
             sets = [shingles(t) for t in texts(b)]
             node = np.array([xxh64_intdigest(s.tobytes(), 42) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], ["key", "node", "size", "bands"])
+            fp = np.array([majority(s) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node), pa.array(fp), pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], ["key", "node", "fp", "size", "bands"])
 
-    return df.mapInArrow(released(run), f"key {df.schema['key'].dataType.simpleString()}, node long, size long, bands array<long>")
+    return df.mapInArrow(released(run), f"key {df.schema['key'].dataType.simpleString()}, node long, fp long, size long, bands array<long>")
 
 
 def _with_sets(df: DataFrame) -> DataFrame:
@@ -155,10 +157,20 @@ def _on(rows: DataFrame, one: DataFrame, left: str, right: str, how: str = "inne
     return rows.join(one.withColumn("_on", F.bitwise_not(right)).drop(right), F.bitwise_not(left) == F.col("_on"), how).drop("_on")
 
 
-def _found(meeting: DataFrame, sets: DataFrame, names: DataFrame) -> DataFrame:
-    """(a, b): links that connect all nodes (band, node, size) that the links of their bands connect."""
+def _by_simhash(nodes: DataFrame) -> DataFrame:
+    """(a, b): candidates among nodes (node, fp, size), those of one fingerprint and those whose fingerprints Golay keys link."""
+    some = nodes.where("size > 0").select("node", "fp")
+    first = some.groupBy("fp").agg(F.min("node").alias("first")).checkpoint()
+    same = _on(some, first, "fp", "fp").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    of = lambda c: first.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node"))
+    near = _on(_on(links(first), of("a"), "a", "a"), of("b"), "b", "b").select("a_node", "b_node")
+    return same.union(near)
+
+
+def _found(meeting: DataFrame, near: DataFrame, sets: DataFrame, names: DataFrame) -> DataFrame:
+    """(a, b): links that connect all that the links of near (a, b), and of the bands of nodes (band, node, size), connect."""
     leaders = meeting.groupBy("band").agg(F.min("node").alias("a"))
-    pairs = _on(meeting, leaders, "band", "band").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    pairs = _on(meeting, leaders, "band", "band").where("a <> node").select("a", F.col("node").alias("b")).union(near).distinct()
     held = _on(_on(pairs, sets.withColumnRenamed("hashes", "x"), "a", "node"), sets.withColumnRenamed("hashes", "y"), "b", "node")
     first = _alike(held).checkpoint()
     root = components(first, names).select(F.col("node").alias("of"), F.xxhash64(F.col("root")["node"]).alias("root"))
@@ -186,17 +198,18 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     use_checkpoints(df.sparkSession)
     plain = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
     rows = _sketched(plain).checkpoint()
-    nodes = rows.groupBy("node").agg(F.min("key").alias("name"), F.first("size").alias("size"), F.first("bands").alias("bands")).checkpoint()
+    nodes = rows.groupBy("node").agg(F.min("key").alias("name"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands")).checkpoint()
     spread = nodes.select("node", "size", F.explode("bands").alias("band"))
     met = spread.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("n > 1")
     once = met.groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band")
     meeting = _on(spread, once.withColumn("met", F.col("band")), "band", "band").drop("met").checkpoint()
-    wanted = meeting.select("node").distinct().join(nodes, "node").select("node", F.col("name").alias("key")).checkpoint()
+    near = _by_simhash(nodes).checkpoint()
+    wanted = meeting.select("node").union(near.select("a")).union(near.select("b")).distinct().join(nodes, "node").select("node", F.col("name").alias("key")).checkpoint()
     few = wanted.count() <= SENT
     chosen = plain.join(F.broadcast(wanted) if few else wanted, "key")
     # One row a node: rows of one key have one text, but may be many.
     sets = _with_sets(chosen.groupBy("node").agg(F.first("text").alias("text"))).checkpoint()
     names = nodes.select("node", F.struct("name", "node").alias("name"))
-    joined = components(_found(meeting, sets, names).checkpoint(), names).select("node", "root")
+    joined = components(_found(meeting, near, sets, names).checkpoint(), names).select("node", "root")
     named = nodes.join(joined, "node", "left").select("node", F.coalesce(F.col("root")["name"], F.col("name")).alias("component"))
     return _on(rows.select("key", "node"), named, "node", "node").select(F.col("key").alias(key), "component")

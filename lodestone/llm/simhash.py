@@ -30,6 +30,8 @@ from lodestone.llm.common import released, slices, texts, use_checkpoints
 #: Links have at most so many differing bits; the key families are built for this number.
 MAX_BITS = 4
 SHINGLE = 4
+#: Edges for each task of a round of components.
+TASK_EDGES = 20_000
 #: Bit ranges of the segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: The Golay code's generator polynomial x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -126,6 +128,14 @@ def forest(prints: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes; none without hashes."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 65536):
+        ones += np.unpackbits(hashes[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(words: list[bytes]) -> int:
     """The SimHash of a text's lower-cased words: majority of the bits of XXH64 (seed 42) of all shingles."""
     from xxhash import xxh64_intdigest
@@ -135,11 +145,7 @@ def fingerprint(words: list[bytes]) -> int:
     if len(words) < SHINGLE:
         return xxh64_intdigest(b" ".join(words), 42)
     shingles = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE)), strict=False))
-    total, ones = len(words) - SHINGLE + 1, np.zeros(64, np.int64)
-    hashes = np.fromiter((xxh64_intdigest(s, 42) for s in shingles), np.uint64, total)
-    for part in np.array_split(hashes, -(-total // 65536)):
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > total, bitorder="little").view(np.uint64)[0])
+    return majority(np.fromiter((xxh64_intdigest(s, 42) for s in shingles), np.uint64, len(words) - SHINGLE + 1))
 
 
 def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -211,20 +217,23 @@ def components(edges: DataFrame, names: DataFrame) -> DataFrame:
 
     names (node, name) names every node differently; roots are names. Each round takes the lowest root around
     each node, gives it to the node's former root as well, and follows roots once more; it ends
-    when no root changes. Rows per round are those of the edges.
+    when no root changes. Rows per round are those of the edges, and so are the tasks that write them, as many
+    small files would take more room than what they hold.
     """
     both = edges.select(F.col("a").alias("node"), F.col("b").alias("to")).union(edges.select("b", "a")).distinct().checkpoint()
-    roots = both.select("node").distinct().join(names, "node").select("node", F.col("name").alias("own"), F.col("name").alias("root")).checkpoint()
+    few = 4 + both.count() // TASK_EDGES
+    both = both.coalesce(few)
+    roots = both.select("node").distinct().join(names, "node").select("node", F.col("name").alias("own"), F.col("name").alias("root")).coalesce(few).checkpoint()
     while True:
-        around = both.join(roots.select(F.col("node").alias("to"), F.col("root").alias("near")), "to").groupBy("node").agg(F.min("near").alias("near"))
-        hooked = roots.join(around, "node").withColumn("new", F.least("root", "near"))
+        around = both.join(roots.select(F.col("node").alias("to"), F.col("root").alias("near")), "to").coalesce(few).groupBy("node").agg(F.min("near").alias("near"))
+        hooked = roots.join(around, "node").coalesce(few).withColumn("new", F.least("root", "near"))
         # A node that a root names learns the lowest root that any of its followers has found.
         told = hooked.groupBy(F.col("root").alias("own")).agg(F.min("new").alias("told"))
-        step = hooked.join(told, "own", "left").select("node", "own", "root", F.least("new", F.coalesce("told", "new")).alias("new"))
+        step = hooked.join(told, "own", "left").select("node", "own", "root", F.least("new", F.coalesce("told", "new")).alias("new")).coalesce(few)
         # A popular root is looked up by many rows: dealt by other values than the names, both sides
         # are plain shuffles, and adaptive execution may split its rows.
         jump = step.select(F.struct("own").alias("at"), F.col("new").alias("far"))
-        fresh = step.join(jump, F.struct(F.col("new").alias("own")) == F.col("at"), "left").select("node", "own", F.col("root").alias("old"), F.least("new", F.coalesce("far", "new")).alias("root")).checkpoint()
+        fresh = step.join(jump, F.struct(F.col("new").alias("own")) == F.col("at"), "left").select("node", "own", F.col("root").alias("old"), F.least("new", F.coalesce("far", "new")).alias("root")).coalesce(few).checkpoint()
         moved = fresh.where("root <> old").limit(1).count()
         roots = fresh.drop("old")
         if not moved:
@@ -240,8 +249,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", by:
     and other columns are not looked at.
 
     by="shingles" links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or
-    more, which is about ten differing bits, often more, and so beyond what Golay keys of 64 bits tell
-    from chance: see resemblance, whose (key, component) it gives. Keys must not be null then.
+    more. Fingerprints of these sets that Golay keys link are candidates, verified by the whole sets; a
+    similarity of 0.8 is often more than ten bits, which such keys do not tell from chance, and resemblance
+    adds what they miss. Gives (key, component). Keys must not be null then.
     """
     if by not in ("bits", "shingles"):
         raise ValueError("by is bits or shingles")

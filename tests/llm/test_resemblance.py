@@ -60,8 +60,6 @@ def test_large_bands_in_blocks(spark, monkeypatch):
     import random
 
     rng = random.Random(2)
-    monkeypatch.setattr(resemblance, "BLOCK", 900)
-    monkeypatch.setattr(resemblance, "BLOCK_SETS", 10)
     base = [f"b{i}" for i in range(60)]
     texts = []
     for _ in range(150):  # about half are near the base, all are near some other
@@ -88,3 +86,17 @@ def test_forest_spans_dense_groups():
     sets = [np.unique(np.concatenate((rng.choice(base, 185, replace=False), rng.integers(0, 2**64, 4, dtype=np.uint64)))) for _ in range(300)]
     edges = resemblance.forest(list(range(300)), sets)
     assert len(edges) == 299 and len({b for _, b in edges}) == 299
+
+
+def test_candidates_by_simhash(spark):
+    """Fingerprints under Golay keys link near copies, and whole sets verify them."""
+    use_checkpoints(spark)
+    long = [f"w{i}" for i in range(600)]
+    texts = [" ".join(long), " ".join(long[:-1]), " ".join(long[:300]), "", None, "a b", " ".join(f"v{i}" for i in range(90))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [resemblance.shingles(t or "") for t in texts]
+    nodes = spark.createDataFrame([(k, resemblance.np.array([resemblance.majority(s)], "u8").view("i8").item(), len(s)) for k, s in enumerate(sets)], "node long, fp long, size long")
+    found = {tuple(sorted(r)) for r in resemblance._by_simhash(nodes).collect()}
+    assert (0, 1) in found and not any(3 in r or 4 in r for r in found)
+    root = {r.doc_id: r.component for r in resemblance.near_duplicates(df).collect()}
+    assert root == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3, 5: 5, 6: 6}
