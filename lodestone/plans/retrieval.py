@@ -137,7 +137,7 @@ class RetrievalPipeline:
             sparse = self.sparse.search(queries, wide)
         else:
             texts = self.chunks.select(F.col("chunk_id").alias("doc_id"), F.col("content").alias("text"))
-            sparse = bm25.top(bm25.scores(texts, queries, self.k1, self.b, tokenizer=self.tokenizer), wide)
+            sparse = bm25.top(bm25.scores(texts, queries, self.k1, self.b, tokenizer=self.tokenizer, k=wide), wide)
         return bm25.top(bm25.fuse(self.index.search(vectors, wide), sparse), k)
 
     def retrieve(self, queries: DataFrame, k: int = 5) -> DataFrame:

@@ -33,8 +33,12 @@ def bm25_scores(spark, sf_dir):
     return bm25.scores(texts(spark, sf_dir), asked(spark, sf_dir))
 
 
+def _best(spark, sf_dir, k: int, **how) -> DataFrame:
+    return bm25.top(bm25.scores(texts(spark, sf_dir), asked(spark, sf_dir), k=k, **how), k)
+
+
 def bm25_topk(spark, sf_dir):
-    return bm25.top(bm25_scores(spark, sf_dir), K)
+    return _best(spark, sf_dir, K)
 
 
 def bm25_postings(spark, sf_dir):
@@ -57,11 +61,11 @@ def _deleted(spark, sf_dir):
 
 
 def bm25_topk_after_delete(spark, sf_dir):
-    return bm25.top(bm25.scores(texts(spark, sf_dir), asked(spark, sf_dir), deleted=_deleted(spark, sf_dir)), K)
+    return _best(spark, sf_dir, K, deleted=_deleted(spark, sf_dir))
 
 
 def bm25_topk_after_delete_reference(spark, sf_dir):
-    return bm25.top(bm25.scores(texts(spark, sf_dir), asked(spark, sf_dir), deleted=_deleted(spark, sf_dir), delete_mode="reference"), K)
+    return _best(spark, sf_dir, K, deleted=_deleted(spark, sf_dir), delete_mode="reference")
 
 
 def _embedded(df: DataFrame, key: str) -> DataFrame:
@@ -85,7 +89,7 @@ def document_dense_topk(spark, sf_dir):
 def _hybrid(spark, sf_dir, k):
     """Both sides fetch max(3k, 30), then ranks are fused."""
     wide = max(3 * k, 30)
-    return bm25.fuse(_dense(spark, sf_dir, wide), bm25.top(bm25_scores(spark, sf_dir), wide))
+    return bm25.fuse(_dense(spark, sf_dir, wide), _best(spark, sf_dir, wide))
 
 
 def rrf_rank_fusion(spark, sf_dir):
@@ -167,12 +171,12 @@ def text_document(spark, sf_dir):
 
 def prompt_build(spark, sf_dir):
     """A prompt of the five best documents for every query."""
-    hits = bm25.top(bm25_scores(spark, sf_dir), 5).join(texts(spark, sf_dir), "doc_id")
+    hits = _best(spark, sf_dir, 5).join(texts(spark, sf_dir), "doc_id")
     return prompt.build(asked(spark, sf_dir), hits)
 
 
 def search_result_format(spark, sf_dir):
-    hits = bm25.top(bm25_scores(spark, sf_dir), 5).join(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id")
+    hits = _best(spark, sf_dir, 5).join(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id")
     return prompt.format_results(asked(spark, sf_dir), hits)
 
 
