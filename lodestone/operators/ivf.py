@@ -23,6 +23,8 @@ from lodestone.sources.shared import use_checkpoints
 
 #: Vectors of a block, and slack of a bound against rounding.
 BLOCK, SLACK = 1024, 1e-5
+#: Pairs of blocks that a worker is handed at once; each is of about a megabyte.
+PAIRS, PER_BATCH = 16, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 @dataclass
@@ -162,25 +164,30 @@ def search(index: Ivf, queries: DataFrame, k: int, n_probe: int | None = None) -
     if k <= 0 or not len(index.centroids):
         nothing = spark.createDataFrame([], "query_id long, doc_id long, score double")
         return top(nothing, k), spark.createDataFrame([(0, 0)], "n_looked long, n_all long")
-    found, looked = [], []
-    for asked in _asked(index, queries):
-        unknown = asked.withColumn("within", F.transform("q_ids", lambda _: F.lit(float("inf"))))
-        if n_probe:
-            rows = _scan(index, unknown, k, n_probe)
-        else:
-            near = _scan(index, unknown, k, 1).where("doc_id IS NOT NULL")
-            kth = top(near.withColumn("score", -F.col("far")), k).where(F.col("rank") == k).select("query_id", "far")
-            # Scores are rounded to 6 digits, and ties go to the lower id, so the bound is a little wider.
-            far = F.sqrt(F.col("far") + 2e-6) if index.metric == "l2" else F.sqrt(F.greatest(F.lit(0.0), 2 + 2 * F.col("far")) + 2e-6)
-            # The queries' vectors stay out of the join: a block of them is known by the hash of its ids.
-            named = asked.withColumn("block", F.xxhash64("q_ids"))
-            bounds = named.select("block", F.posexplode("q_ids").alias("i", "query_id")).join(kth.select("query_id", far.alias("kth")), "query_id", "left")
-            bounds = bounds.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce("kth", F.lit(float("inf"))).alias("d")))).alias("w"))
-            packed = named.join(bounds, "block")
-            rows = _scan(index, packed.select("q_ids", "q_data", F.col("w.d").alias("within")).checkpoint(), k, None)
-        rows = rows.checkpoint()
-        found.append(rows.where("doc_id IS NOT NULL").select("query_id", "doc_id", (-F.col("far")).alias("score")))
-        looked.append(rows.agg(F.coalesce(F.sum("looked"), F.lit(0)).alias("n_looked")))
+    found, looked, groups = [], [], _asked(index, queries)
+    before = spark.conf.get(PER_BATCH)
+    spark.conf.set(PER_BATCH, str(PAIRS))  # all scans are run, by checkpoint(), before it is set back
+    try:
+        for asked in groups:
+            unknown = asked.withColumn("within", F.transform("q_ids", lambda _: F.lit(float("inf"))))
+            if n_probe:
+                rows = _scan(index, unknown, k, n_probe)
+            else:
+                near = _scan(index, unknown, k, 1).where("doc_id IS NOT NULL")
+                kth = top(near.withColumn("score", -F.col("far")), k).where(F.col("rank") == k).select("query_id", "far")
+                # Scores are rounded to 6 digits, and ties go to the lower id, so the bound is a little wider.
+                far = F.sqrt(F.col("far") + 2e-6) if index.metric == "l2" else F.sqrt(F.greatest(F.lit(0.0), 2 + 2 * F.col("far")) + 2e-6)
+                # The queries' vectors stay out of the join: a block of them is known by the hash of its ids.
+                named = asked.withColumn("block", F.xxhash64("q_ids"))
+                bounds = named.select("block", F.posexplode("q_ids").alias("i", "query_id")).join(kth.select("query_id", far.alias("kth")), "query_id", "left")
+                bounds = bounds.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce("kth", F.lit(float("inf"))).alias("d")))).alias("w"))
+                packed = named.join(bounds, "block")
+                rows = _scan(index, packed.select("q_ids", "q_data", F.col("w.d").alias("within")).checkpoint(), k, None)
+            rows = rows.checkpoint()
+            found.append(rows.where("doc_id IS NOT NULL").select("query_id", "doc_id", (-F.col("far")).alias("score")))
+            looked.append(rows.agg(F.coalesce(F.sum("looked"), F.lit(0)).alias("n_looked")))
+    finally:
+        spark.conf.set(PER_BATCH, before)
     hits, counts = found[0], looked[0]
     for a, b in zip(found[1:], looked[1:], strict=True):
         hits, counts = hits.union(a), counts.union(b)

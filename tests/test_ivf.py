@@ -142,3 +142,17 @@ def test_broken_models_and_old_folders(spark, saved, tmp_path):
     file.write_text(json.dumps(json.loads(file.read_text()) | {"format": 9}))
     with pytest.raises(ValueError, match="later version"):
         quantise.load(spark, path)
+
+
+def test_a_worker_is_handed_few_pairs_of_blocks(spark, sf_dir, monkeypatch):
+    """Pairs hold a megabyte each; the session's batch size, of thousands of rows, is set back."""
+    scan, seen, before = ivf._scan, [], spark.conf.get(ivf.PER_BATCH)
+
+    def watched(*args):
+        seen.append(int(spark.conf.get(ivf.PER_BATCH)))
+        return scan(*args)
+
+    monkeypatch.setattr(ivf, "_scan", watched)
+    points = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    ivf.search(ivf.build(points, 4, passes=1), points.where("vec_id < 3"), 2)
+    assert seen == [ivf.PAIRS] * 2 and spark.conf.get(ivf.PER_BATCH) == before
