@@ -3,6 +3,7 @@
 A batch of documents becomes one immutable segment: a forward table (a row for each document with
 its distinct terms) and posting blocks. A block is what one term has in one group of some hundred
 documents, with the highest count and the least length in it, which bound every score the block can give.
+The blocks of a group lie packed in a row for each bucket of terms, so that rows follow groups and not postings.
 A manifest names the live segments; deleted documents are tombstones until a compaction.
 
 A search takes the blocks of its terms, group by group. The bounds of a group's blocks, weighted for
@@ -16,25 +17,30 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from lodestone.functions.text import tokens
-from lodestone.operators.bm25 import B, K1, Tokenizer, top
+from lodestone.operators.bm25 import B, K1, SENT_IDS, Tokenizer, top
 from lodestone.sources import manifest
 from lodestone.sources.shared import use_checkpoints
 
 #: Mean documents of a full group (a block has at most about so many postings), words of one if its documents are long, and
-#: groups that one task makes blocks of, a file for each bucket.
+#: mean groups that one task makes blocks of, a file for each bucket.
 GROUP_DOCS, GROUP_WORDS, TASK_GROUPS = 256, 131_072, 32
-#: Documents that a Python worker gets at once while it makes blocks: about a group, since documents of one kind may all be long.
+#: Documents that a Python worker gets at once while it makes a segment: about a group, since documents of one kind may all be long.
 BATCH_DOCS = 256
+#: Rows of packed blocks, or groups, that a Python worker gets at once in a search: a megabyte each at most, about.
+BATCH_GROUPS = 32
 #: Documents lie together by their most frequent word, hashed to so many kinds at most and one for so many documents, and by
 #: powers of two of their length: a group then speaks one language and its bounds are near its scores.
 MOST_KINDS, KIND_DOCS = 64, 1024
@@ -46,21 +52,51 @@ MARGIN = 2e-6
 SENT_TERMS, QUERY_BLOCK = 1_000_000, 512
 #: Groups that are scored first for each query.
 FIRST_GROUPS = 2
+#: Candidates that a task of a search holds beside k for each query.
+HELD = 200_000
 PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    return F.element_at(F.transform(F.array(value), body), 1)
+#: What a row of packed blocks has, as int32 but for the terms (UTF-8, joined) and doc_ids (int64): of each term its bytes, postings
+#: and what bounds these; the group's documents; and of each posting, term by term, the document's place among these and the count.
+PACKED = {c: np.int64 if c == "doc_ids" else np.int32 for c in ("sizes", "n", "max_tf", "min_len", "doc_ids", "lens", "at", "tfs")}
+PACK = "g int, terms binary, " + ", ".join(f"{c} binary" for c in PACKED)
+#: The blocks of a group's wanted terms; t is a term's place among these.
+HEAD = {c: pa.list_(pa.int32()) for c in ("t", "n", "max_tf", "min_len")}
+CHOSEN = {**HEAD, "at": pa.list_(pa.int32()), "tfs": pa.list_(pa.int32())}
+
+
+@contextmanager
+def _batches_of(spark: SparkSession, n: int):
+    """Python workers get n rows at once in what runs meanwhile."""
+    before = spark.conf.get(PER_BATCH)
+    spark.conf.set(PER_BATCH, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(PER_BATCH, before)
+
+
+def _coded(terms: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The distinct terms in order, and the place of each term among them."""
+    coded = terms.dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    return coded.dictionary.take(order), rank[coded.indices.to_numpy()]
 
 
 def term_counts(words: Column) -> Column:
     """array<struct<term, tf int>> of an array of tokens, by term; without explode or shuffle."""
 
-    def runs(s: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-        return _bound(starts, lambda at: F.transform(at, lambda a, j: F.struct(F.get(s, a).alias("term"), (F.coalesce(F.get(at, j + 1), F.size(s)) - a).alias("tf"))))
+    @F.arrow_udf("array<struct<term:string,tf:int>>")
+    def run(w: pa.Array) -> pa.Array:
+        terms, code = _coded(w.flatten())
+        own = pc.list_parent_indices(w).to_numpy().astype(np.int64)
+        both, n = np.unique(own * max(1, len(terms)) + code, return_counts=True)
+        own, code = np.divmod(both, max(1, len(terms)))
+        ends = pa.array(np.searchsorted(own, np.arange(len(w) + 1)), pa.int32())
+        return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([terms.take(pa.array(code)), pa.array(n, pa.int32())], ["term", "tf"]))
 
-    return _bound(F.sort_array(words), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(F.array().cast("array<struct<term:string,tf:int>>")))
+    return run(words)
 
 
 class Bm25Index:
@@ -80,7 +116,7 @@ class Bm25Index:
         schema = {
             "forward": "doc_id long, len int, kind int, terms array<string>, tfs array<int>",
             "groups": "kind int, start int, n_groups int",
-            "blocks": "bucket int, term string, g int, n int, max_tf int, min_len int, doc_ids array<long>, tfs array<int>, lens array<int>",
+            "packs": f"bucket int, {PACK}",
             "deleted": "segment string, g int, doc_id long, len int, terms array<string>",
         }[kind]
         names = sorted(segments)
@@ -143,7 +179,8 @@ class Bm25Index:
         often = F.array_max(F.arrays_zip("tfs", "terms"))["terms"]
         kinds = min(MOST_KINDS, 1 + n // KIND_DOCS)
         kind = F.pmod(F.xxhash64(often), F.lit(kinds)) * 32 + F.floor(F.log2(F.col("len") + 1))
-        rows.select("doc_id", "len", kind.cast("int").alias("kind"), "terms", "tfs").write.mode("overwrite").parquet(f"{self.folder}/forward/segment={name}")
+        with _batches_of(self.spark, BATCH_DOCS):
+            rows.select("doc_id", "len", kind.cast("int").alias("kind"), "terms", "tfs").write.mode("overwrite").parquet(f"{self.folder}/forward/segment={name}")
         sizes = self._rows("forward", [name]).groupBy("kind").count().collect()  # 32 * MOST_KINDS at most
         start, groups = 0, []
         for r in sorted(sizes):
@@ -171,18 +208,12 @@ class Bm25Index:
     def _write_blocks(self, name: str) -> None:
         """Blocks of a segment. Documents are dealt out by group, so that what one term has in all documents is spread as well."""
         groups = self._rows("groups", [name]).agg(F.coalesce(F.sum("n_groups"), F.lit(1))).collect()[0][0]
-        share = F.floor(F.col("g") / TASK_GROUPS).cast("int")
         # A document's terms travel as one string and their lengths.
         joined, sizes = F.encode(F.array_join("terms", ""), "UTF-8"), F.transform("terms", lambda x: F.octet_length(x))
-        dealt = self._grouped([name]).select("doc_id", "len", "g", joined.alias("joined"), sizes.alias("sizes"), "tfs").repartition(-(-groups // TASK_GROUPS), share).sortWithinPartitions("g")
-        blocks = dealt.mapInArrow(_blocks, "term string, g int, n int, max_tf int, min_len int, doc_ids array<long>, tfs array<int>, lens array<int>")
-        rows = blocks.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).sortWithinPartitions("bucket", "term")
-        before = self.spark.conf.get(PER_BATCH)
-        self.spark.conf.set(PER_BATCH, str(BATCH_DOCS))
-        try:
-            rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/blocks/segment={name}")
-        finally:
-            self.spark.conf.set(PER_BATCH, before)
+        dealt = self._grouped([name]).select("doc_id", "len", "g", joined.alias("joined"), sizes.alias("sizes"), "tfs").repartition(-(-groups // TASK_GROUPS), "g").sortWithinPartitions("g")
+        packs = dealt.mapInArrow(_blocks, f"bucket int, {PACK}")
+        with _batches_of(self.spark, BATCH_DOCS):
+            packs.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.folder}/packs/segment={name}")
 
     def delete(self, ids: DataFrame, name: str | None = None) -> int:
         """Take documents (doc_id) out; ids that are not live are ignored. Returns how many went.
@@ -194,8 +225,10 @@ class Bm25Index:
         version, body = self._state()
         if name in body["deleted"] or name in body["retired"]:
             return 0
-        there = self._live(body).join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select("segment", "doc_id")
-        gone = self._grouped(body["segments"]).join(there, ["segment", "doc_id"], "left_semi")
+        use_checkpoints(self.spark)
+        there = self._live(body).join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select("segment", "doc_id").checkpoint()
+        few = there.count() <= SENT_IDS  # then terms stay where they are read
+        gone = self._grouped(body["segments"]).join(F.broadcast(there) if few else there, ["segment", "doc_id"], "left_semi")
         gone.select("segment", "g", "doc_id", "len", "terms").write.mode("overwrite").parquet(f"{self.folder}/deleted/{name}")
         r = self._rows("deleted", [name]).agg(F.count("*").alias("docs"), F.coalesce(F.sum("len"), F.lit(0)).alias("tokens")).collect()[0]
         body["deleted"][name] = r.asDict()
@@ -217,7 +250,7 @@ class Bm25Index:
     def vacuum(self) -> None:
         """Delete the tables of retired segments and tombstones."""
         for x in self._state()[1]["retired"]:
-            for path in (f"forward/segment={x}", f"groups/segment={x}", f"blocks/segment={x}", f"deleted/{x}"):
+            for path in (f"forward/segment={x}", f"groups/segment={x}", f"packs/segment={x}", f"deleted/{x}"):
                 manifest.delete(self.spark, f"{self.folder}/{path}")
 
     # -- search
@@ -228,28 +261,14 @@ class Bm25Index:
         Scores, ties and delete_mode are those of bm25.scores(); a repeated query term counts again, and
         queries without a known term, or k <= 0, have no rows.
         """
-        return self._search(queries, k, delete_mode)[0]
+        return top(self._search(queries, k, delete_mode)[0], k)
 
     def reads(self, queries: DataFrame, k: int) -> DataFrame:
         """(query_id, n_blocks, n_read long): the blocks of each query's terms, and those that its threshold lets through."""
-        return self._search(queries, k, "exact")[1]
+        return self._search(queries, k, "exact", only_reads=True)[1]
 
-    def _weights(self, queries: DataFrame, body: dict, delete_mode: str) -> tuple[DataFrame, float]:
-        """(query_id, bucket, term, w) of the queries' terms that the index has, and the mean length."""
-        all_docs, all_tokens = (sum(s[x] for s in body["segments"].values()) for x in ("docs", "tokens"))
-        gone_docs, gone_tokens = (sum(d[x] for d in body["deleted"].values()) for x in ("docs", "tokens"))
-        exact = delete_mode == "exact"
-        asked = queries.select("query_id", F.explode(self.tokenizer(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-        asked = asked.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
-        df = self._rows("blocks", body["segments"]).join(asked.select("bucket", "term").distinct(), ["bucket", "term"]).groupBy("bucket", "term").agg(F.sum("n").alias("df"))
-        if body["deleted"] and exact:
-            less = self._rows("deleted", body["deleted"]).select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("less"))
-            df = df.join(less, "term", "left").select("bucket", "term", (F.col("df") - F.coalesce("less", F.lit(0))).alias("df"))
-        weight = F.col("qtf") * F.log((F.lit(all_docs - gone_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-        length = (all_tokens - gone_tokens * exact) / max(1, all_docs - gone_docs * exact)
-        return asked.join(df, ["bucket", "term"]).select("query_id", "bucket", "term", weight.alias("w")), length or 1.0
-
-    def _search(self, queries: DataFrame, k: int, delete_mode: str) -> tuple[DataFrame, DataFrame]:
+    def _search(self, queries: DataFrame, k: int, delete_mode: str, only_reads: bool = False) -> tuple[DataFrame, DataFrame]:
+        """Candidates (none if only reads are asked for) and reads."""
         if delete_mode not in ("exact", "reference"):
             raise ValueError("delete_mode is exact or reference")
         use_checkpoints(self.spark)
@@ -258,37 +277,59 @@ class Bm25Index:
         hits = self.spark.createDataFrame([], f"query_id {kind.simpleString()}, doc_id long, score double")
         counts = self.spark.createDataFrame([], f"query_id {kind.simpleString()}, n_blocks long, n_read long")
         if not body["segments"] or k <= 0:
-            return top(hits, k), counts
-        weights, length = self._weights(queries, body, delete_mode)
-        weights = weights.checkpoint()
-        passes = -(-weights.count() // SENT_TERMS)
+            return hits, counts
+        asked = queries.select("query_id", F.explode(self.tokenizer(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf")).checkpoint()
+        passes = -(-asked.count() // SENT_TERMS)
         for i in range(passes):
-            some = weights.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i) if passes > 1 else weights
-            found, read = self._pass(some, body, k, length, kind)
-            hits, counts = (found, read) if i == 0 else (hits.union(found), counts.union(read))
-        return top(hits, k), counts
-
-    def _pass(self, weights: DataFrame, body: dict, k: int, length: float, kind) -> tuple[DataFrame, DataFrame]:
-        """Hits and counts of the queries of some weights, which every task holds."""
-        rows = weights.collect()  # SENT_TERMS at most
-        ids, terms = sorted({r.query_id for r in rows}), sorted({(r.bucket, r.term) for r in rows})
-        of_id, of_term = {x: i for i, x in enumerate(ids)}, {x: i for i, x in enumerate(terms)}
-        q, t = np.array([of_id[r.query_id] for r in rows], np.int64), np.array([of_term[r.bucket, r.term] for r in rows], np.int64)
-        asked = _Asked(ids, len(terms), q, t, np.array([r.w for r in rows]), k, self.k1, self.b, length, to_arrow_type(kind))
+            some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i) if passes > 1 else asked
+            with _batches_of(self.spark, BATCH_GROUPS):
+                found, read = self._pass(some, body, k, delete_mode == "exact", kind, only_reads)
+            hits, counts = hits.union(found) if found else hits, counts.union(read) if read else counts
+        return hits, counts
+
+    def _weights(self, df: np.ndarray, body: dict, exact: bool, wanted: Broadcast) -> tuple[np.ndarray, float]:
+        """What a query gets for one occurrence of each wanted term, which df documents have, and the mean length."""
+        all_docs, all_tokens = (sum(s[x] for s in body["segments"].values()) for x in ("docs", "tokens"))
+        gone_docs, gone_tokens = (sum(d[x] for d in body["deleted"].values()) for x in ("docs", "tokens"))
+        if body["deleted"] and exact:
+            df = df - _sums(self._rows("deleted", body["deleted"]).select("terms").mapInArrow(_occur(wanted), "t int, n long"), len(df))
+        length = (all_tokens - gone_tokens * exact) / max(1, all_docs - gone_docs * exact)
+        return np.log((all_docs - gone_docs - df + 0.5) / (df + 0.5) + 1), length or 1.0
+
+    def _pass(self, some: DataFrame, body: dict, k: int, exact: bool, kind, only_reads: bool) -> tuple[DataFrame | None, DataFrame | None]:
+        """Candidates and reads of some queries, whose terms every task holds; None if the index has none of these."""
+        rows = some.collect()  # SENT_TERMS at most, about
+        terms = sorted({r.term for r in rows})
+        wanted = self.spark.sparkContext.broadcast(terms)
+        packs = self._rows("packs", body["segments"]).where(F.col("bucket").isin(sorted({_bucket(x) for x in terms})))
+        ints = lambda columns: ", ".join(f"{c} array<int>" for c in columns)
+        parts = packs.select("segment", "g", "terms", "sizes", "n", "max_tf", "min_len").mapInArrow(_wanted(wanted, HEAD), f"segment string, g int, {ints(HEAD)}")
+        parts = parts.groupBy("segment", "g").agg(F.collect_list(F.struct(*HEAD)).alias("x"))
+        heads = parts.select("segment", "g", *(F.flatten(f"x.{c}").alias(c) for c in HEAD)).checkpoint()
+        df = _sums(heads.select("t", "n").mapInArrow(_postings(len(terms)), "t int, n long"), len(terms))
+        of_term = {x: i for i, x in enumerate(terms)}
+        rows = [r for r in rows if df[of_term[r.term]]]
+        if not rows:
+            return None, None
+        weight, length = self._weights(df, body, exact, wanted)
+        ids = sorted({r.query_id for r in rows}, key=lambda x: (x is None, x))
+        of_id = {x: i for i, x in enumerate(ids)}
+        q, t = np.array([of_id[r.query_id] for r in rows], np.int64), np.array([of_term[r.term] for r in rows], np.int64)
+        asked = _Asked(ids, len(terms), q, t, np.array([r.qtf for r in rows]) * weight[t], k, self.k1, self.b, length, to_arrow_type(kind))
         sent = self.spark.sparkContext.broadcast(asked)
-        wanted = F.broadcast(self.spark.createDataFrame([(b, t, i) for (b, t), i in of_term.items()], "bucket int, term string, t int"))
-        blocks = self._rows("blocks", body["segments"]).join(wanted, ["bucket", "term"])
-        heads = blocks.groupBy("segment", "g").agg(F.collect_list(F.struct("t", "max_tf", "min_len")).alias("heads")).checkpoint()
 
         def scored(groups: DataFrame, least: Broadcast | None) -> DataFrame:
-            # An inner join, as a semi join would be done before the terms are looked at. The groups are distinct.
-            lists = blocks.join(groups, ["segment", "g"]).groupBy("segment", "g").agg(F.collect_list(F.struct("t", "max_tf", "min_len", "doc_ids", "tfs", "lens")).alias("lists"))
+            # A row for each of the groups, of which there is one for some hundred documents; they are distinct.
+            own = packs.join(F.broadcast(groups), ["segment", "g"]).select("segment", "g", "terms", *PACKED)
+            chosen = own.mapInArrow(_wanted(wanted, CHOSEN), f"segment string, g int, doc_ids binary, lens binary, {ints(CHOSEN)}")
+            lists = chosen.groupBy("segment", "g").agg(F.first("doc_ids").alias("doc_ids"), F.first("lens").alias("lens"), F.collect_list(F.struct(*CHOSEN)).alias("x"))
             if body["deleted"]:
                 gone = self._rows("deleted", body["deleted"]).groupBy("segment", "g").agg(F.collect_list("doc_id").alias("gone"))
                 lists = lists.join(gone, ["segment", "g"], "left")
             else:
                 lists = lists.withColumn("gone", F.lit(None).cast("array<long>"))
-            return lists.select("lists", "gone").mapInArrow(_scores(sent, least), f"query_id {kind.simpleString()}, doc_id long, score double")
+            flat = lists.select("doc_ids", "lens", *(F.flatten(f"x.{c}").alias(c) for c in CHOSEN), "gone")
+            return flat.mapInArrow(_scores(sent, least), f"query_id {kind.simpleString()}, doc_id long, score double")
 
         best = heads.mapInArrow(_bounds(sent, None), "q int, segment string, g int, most double")
         first = top(best.withColumnRenamed("q", "query_id").withColumn("place", F.struct("segment", "g")), FIRST_GROUPS, "most", "place").select("segment", "g").distinct()
@@ -298,15 +339,20 @@ class Bm25Index:
             least[of_id[r.query_id]] = r.score - MARGIN
         limit = self.spark.sparkContext.broadcast(least)
         through = heads.mapInArrow(_bounds(sent, limit), "q int, segment string, g int, most double").checkpoint()
-        groups = through.where("segment IS NOT NULL").select("segment", "g")
         names = self.spark.createDataFrame(list(enumerate(ids)), f"q int, query_id {kind.simpleString()}")
         of_kind = lambda g: F.coalesce(F.sum(F.when(F.col("g") == g, F.col("most"))), F.lit(0)).cast("long")
         counts = through.where("segment IS NULL").groupBy("q").agg(of_kind(0).alias("n_blocks"), of_kind(1).alias("n_read"))
-        return scored(groups, limit), counts.join(names, "q").select("query_id", "n_blocks", "n_read")
+        reads = counts.join(names, "q").select("query_id", "n_blocks", "n_read")
+        # Scored here, since batches are only small within a pass. What is kept is k rows of a query for each task.
+        return None if only_reads else scored(through.where("segment IS NOT NULL").select("segment", "g"), limit).checkpoint(), reads
+
+
+def _bucket(term: str) -> int:
+    return crc32(term.encode()) % BUCKETS
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of rows (doc_id, len, g, joined, sizes, tfs) in order of g; a group at a time."""
+    """Packed blocks of rows (doc_id, len, g, joined, sizes, tfs) in order of g; a group at a time."""
     held: list[pa.RecordBatch] = []
     for b in batches:
         g = b.column("g").to_numpy()
@@ -320,28 +366,113 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _of_group(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The packed blocks of a group, a row for each bucket that has terms."""
     bytes_of, tf = (np.concatenate([b.column(c).flatten().to_numpy() for b in parts] or [[]]) for c in ("sizes", "tfs"))
     if not len(tf):
         return
     ends = np.concatenate(([0], np.cumsum(bytes_of))).astype(np.int32)
-    term = pa.StringArray.from_buffers(len(tf), pa.py_buffer(ends), pa.py_buffer(b"".join(x for b in parts for x in b.column("joined").to_pylist())))
+    joined = pa.StringArray.from_buffers(len(tf), pa.py_buffer(ends), pa.py_buffer(b"".join(x for b in parts for x in b.column("joined").to_pylist())))
     each = np.concatenate([b.column("tfs").value_lengths().to_numpy() for b in parts])
-    doc, size = (np.repeat(np.concatenate([b.column(c).to_numpy() for b in parts]), each) for c in ("doc_id", "len"))
-    coded = term.dictionary_encode()
-    code = coded.indices.to_numpy()
-    order = np.lexsort((doc, code))
-    code, doc, size, tf = code[order], doc[order], size[order], tf[order]
+    docs, lens = (np.concatenate([b.column(c).to_numpy() for b in parts]) for c in ("doc_id", "len"))
+    by_id = np.argsort(docs)
+    at = np.repeat(np.argsort(by_id), each)
+    terms, code = _coded(joined)
+    bucket = np.array([_bucket(x) for x in terms.to_pylist()])
+    by_bucket = np.argsort(bucket, kind="stable")
+    code = np.argsort(by_bucket)[code]
+    order = np.argsort(code * len(docs) + at)
+    code, at, tf = code[order], at[order], tf[order]
     starts = np.flatnonzero(np.diff(code, prepend=-1))
-    ends = pa.array(np.append(starts, len(code)), pa.int32())
-    columns = {
-        "term": coded.dictionary.take(pa.array(code[starts])),
-        "g": pa.array(np.full(len(starts), parts[0].column("g")[0].as_py(), np.int32)),
-        "n": pa.array(np.diff(np.append(starts, len(code))).astype(np.int32)),
-        "max_tf": pa.array(np.maximum.reduceat(tf, starts)),
-        "min_len": pa.array(np.minimum.reduceat(size, starts)),
-        **{k: pa.ListArray.from_arrays(ends, pa.array(x)) for k, x in (("doc_ids", doc), ("tfs", tf), ("lens", size))},
-    }
-    yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+    starts = np.append(starts, len(code))
+    ordered = terms.take(pa.array(by_bucket))
+    of_terms = {"sizes": pc.binary_length(ordered).to_numpy(), "n": np.diff(starts), "max_tf": np.maximum.reduceat(tf, starts[:-1]), "min_len": np.minimum.reduceat(lens[by_id][at], starts[:-1])}
+    of_group, of_postings = {"doc_ids": docs[by_id], "lens": lens[by_id]}, {"at": at, "tfs": tf}
+    rows, cuts = [], np.searchsorted(bucket[by_bucket], np.arange(BUCKETS + 1)).tolist()
+    for i, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        if lo == hi:
+            continue
+        arrays = {**{c: x[lo:hi] for c, x in of_terms.items()}, **of_group, **{c: x[starts[lo] : starts[hi]] for c, x in of_postings.items()}}
+        packed = {c: arrays[c].astype(kind).tobytes() for c, kind in PACKED.items()}
+        rows.append({"bucket": i, "g": parts[0].column("g")[0].as_py(), "terms": "".join(ordered.slice(lo, hi - lo).to_pylist()).encode(), **packed})
+    kinds = {"bucket": pa.int32(), "g": pa.int32(), "terms": pa.binary(), **dict.fromkeys(PACKED, pa.binary())}
+    yield pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
+
+
+def _unpacked(batch: pa.RecordBatch, column: str, row: int) -> np.ndarray:
+    return np.frombuffer(batch.column(column)[row].as_buffer(), PACKED[column])
+
+
+def _found(batch: pa.RecordBatch, known: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, where its terms are known, which of the known ones they are) of rows of packed blocks that have any."""
+    sizes = [_unpacked(batch, "sizes", i) for i in range(batch.num_rows)]
+    ends = np.concatenate(([0], np.cumsum(np.concatenate([[], *sizes])))).astype(np.int32)
+    joined = pa.py_buffer(b"".join(batch.column("terms").to_pylist()))
+    place = pc.index_in(pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), joined), value_set=known).fill_null(-1).to_numpy()
+    for i, own in enumerate(np.split(place, np.cumsum([len(x) for x in sizes])[:-1]) if sizes else []):
+        has = np.flatnonzero(own >= 0)
+        if len(has):
+            yield i, has, own[has]
+
+
+def _wanted(wanted: Broadcast, columns: dict[str, pa.DataType]):
+    """Over rows of packed blocks: those blocks whose terms are wanted, with postings (and the group's documents) if columns have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = pa.array(wanted.value, pa.string())
+        for batch in batches:
+            rows, out = [], {c: [] for c in columns}
+            for i, has, t in _found(batch, known):
+                rows.append(i)
+                of = {c: _unpacked(batch, c, i) for c in columns if c != "t"}
+                mask = np.zeros(len(of["n"]), bool)
+                mask[has] = True
+                postings = np.repeat(mask, of["n"]) if "at" in of else None
+                out["t"].append(t)
+                for c, x in of.items():
+                    out[c].append(x[postings if c in ("at", "tfs") else has])
+            same = [c for c in ("segment", "g", "doc_ids", "lens") if c in batch.schema.names]
+            kept = {c: batch.column(c).take(pa.array(rows, pa.int32())) for c in same}
+            yield pa.RecordBatch.from_pydict({**kept, **{c: pa.array(out[c], kind) for c, kind in columns.items()}})
+
+    return run
+
+
+def _sum_rows(df: np.ndarray) -> pa.RecordBatch:
+    some = np.flatnonzero(df)
+    return pa.RecordBatch.from_pydict({"t": pa.array(some, pa.int32()), "n": pa.array(df[some], pa.int64())})
+
+
+def _postings(n_terms: int):
+    """Over rows (t, n): the postings of each term in a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(n_terms, np.int64)
+        for b in batches:
+            np.add.at(df, b.column("t").flatten().to_numpy(), b.column("n").flatten().to_numpy())
+        yield _sum_rows(df)
+
+    return run
+
+
+def _occur(wanted: Broadcast):
+    """Over rows (terms): in how many of a task each wanted term is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, df = pa.array(wanted.value, pa.string()), np.zeros(len(wanted.value), np.int64)
+        for b in batches:
+            place = pc.index_in(b.column("terms").flatten(), value_set=known).drop_null().to_numpy()
+            df += np.bincount(place, minlength=len(df))
+        yield _sum_rows(df)
+
+    return run
+
+
+def _sums(rows: DataFrame, n_terms: int) -> np.ndarray:
+    """n by term of rows (t, n)."""
+    out = np.zeros(n_terms, np.int64)
+    for r in rows.groupBy("t").agg(F.sum("n").alias("n")).collect():  # a row a wanted term
+        out[r.t] = r.n
+    return out
 
 
 @dataclass
@@ -363,6 +494,16 @@ class _Asked:
         """What a posting gives for a weight of 1."""
         return tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * size / self.length))
 
+    def bounds(self, terms: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The queries that have any of the terms, how many, and what terms that give most for a weight of 1 can sum up to."""
+        gives = np.full(self.n_terms, -1.0)
+        gives[terms] = most
+        some = np.flatnonzero(gives[self.t] >= 0)
+        q, w = self.q[some], self.w[some]
+        has, bound = np.bincount(q[w != 0], minlength=len(self.ids)), np.bincount(q, np.maximum(w * gives[self.t[some]], 0), len(self.ids))
+        queries = np.unique(q)
+        return queries, has[queries], bound[queries]
+
     def matrices(self, terms: np.ndarray, among: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(queries, weights [queries, terms]) of the queries, among some, that have any of the terms; in blocks."""
         place = np.full(self.n_terms, -1)
@@ -379,19 +520,14 @@ class _Asked:
             yield some, w
 
 
-def _lists(column: pa.Array) -> Iterator[tuple[np.ndarray, pa.StructArray]]:
-    """(terms, structs) of each row of a list<struct<t, ..>> column."""
-    for i in range(len(column)):
-        values = column[i].values
-        yield values.field("t").to_numpy(), values
-
-
-def _most(asked: _Asked, values: pa.StructArray) -> np.ndarray:
-    return asked.part(values.field("max_tf").to_numpy().astype(float), values.field("min_len").to_numpy().astype(float))
+def _rows_of(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple[np.ndarray, ...]]:
+    """The arrays of some list columns, row by row."""
+    for i in range(batch.num_rows):
+        yield tuple(batch.column(c)[i].values.to_numpy() for c in columns)
 
 
 def _bounds(sent: Broadcast, least: Broadcast | None):
-    """Over rows (segment, g, heads). Without thresholds: for each query the groups of a task that can reach most. With them: the
+    """Over rows (segment, g, t, max_tf, min_len). Without thresholds: for each query the groups of a task that can reach most. With them: the
     groups that reach one; and rows without segment, counting the query's blocks (g 0) and those in groups that reach its own (g 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -401,20 +537,17 @@ def _bounds(sent: Broadcast, least: Broadcast | None):
         blocks, read = np.zeros(n), np.zeros(n)
         out: list[tuple] = []
         for batch in batches:
-            for segment, g, (terms, values) in zip(batch.column("segment").to_pylist(), batch.column("g").to_pylist(), _lists(batch.column("heads")), strict=True):
-                most, reached = _most(asked, values), False
-                for queries, w in asked.matrices(terms, None):
-                    bound = np.maximum(w * most, 0).sum(1)
-                    if least is None:
-                        for q, x in zip(queries.tolist(), bound.tolist(), strict=True):
+            for segment, g, (terms, tf, size) in zip(batch.column("segment").to_pylist(), batch.column("g").to_pylist(), _rows_of(batch, "t", "max_tf", "min_len"), strict=True):
+                queries, has, bound = asked.bounds(terms, asked.part(tf.astype(float), size.astype(float)))
+                if least is None:
+                    for q, x in zip(queries.tolist(), bound.tolist(), strict=True):
+                        if len(high[q]) < FIRST_GROUPS or (-x, segment, g) < high[q][-1]:
                             high[q] = sorted([*high[q], (-x, segment, g)])[:FIRST_GROUPS]
-                        continue
-                    through = bound >= least.value[queries]
-                    reached |= bool(through.any())
-                    has = (w != 0).sum(1)
-                    blocks[queries] += has
-                    read[queries] += has * through
-                if reached:
+                    continue
+                through = bound >= least.value[queries]
+                blocks[queries] += has
+                read[queries] += has * through
+                if through.any():
                     out.append((None, segment, g, 0.0))
         out += [(q, s, g, -x) for q, places in enumerate(high) for x, s, g in places]
         if least is not None:
@@ -426,33 +559,50 @@ def _bounds(sent: Broadcast, least: Broadcast | None):
 
 
 def _scores(sent: Broadcast, least: Broadcast | None):
-    """Over rows (lists, gone): the k best documents of each group for every query whose threshold the group reaches."""
+    """Over groups (doc_ids, lens, t, n, max_tf, min_len, at, tfs, gone): a task's k best documents of every query among those in groups
+    that reach the query's threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked: _Asked = sent.value
+        held, n_held, limit = [], 0, HELD
+
+        def best_of(parts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            q, doc, score = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((doc, -score, q))
+            q = q[order]
+            order = order[np.arange(len(q)) - np.searchsorted(q, q) < asked.k]
+            return tuple(np.concatenate(x)[order] for x in zip(*parts, strict=True))
+
         for batch in batches:
-            for (terms, values), gone in zip(_lists(batch.column("lists")), batch.column("gone").to_pylist(), strict=True):
-                lists = [values.field(c).flatten().to_numpy() for c in ("doc_ids", "tfs", "lens")]
-                docs, column = np.unique(lists[0], return_inverse=True)
-                sizes = values.field("doc_ids").value_lengths().to_numpy()
+            for i, ((terms, n, max_tf, min_len, at, tf), gone) in enumerate(zip(_rows_of(batch, *CHOSEN), batch.column("gone").to_pylist(), strict=True)):
+                docs, sizes = _unpacked(batch, "doc_ids", i), _unpacked(batch, "lens", i)
                 gives = np.zeros((len(terms), len(docs)))
-                gives[np.repeat(np.arange(len(terms)), sizes), column] = asked.part(lists[1].astype(float), lists[2].astype(float))
+                gives[np.repeat(np.arange(len(terms)), n), at] = asked.part(tf.astype(float), sizes[at].astype(float))
                 if gone:
                     kept = ~np.isin(docs, gone)
                     docs, gives = docs[kept], gives[:, kept]
-                most = _most(asked, values)
-                for queries, w in asked.matrices(terms, None):
-                    if least is not None:
-                        through = np.maximum(w * most, 0).sum(1) >= least.value[queries]
-                        queries, w = queries[through], w[through]
-                    if not len(queries) or not len(docs):
+                among = None
+                if least is not None:
+                    queries, _, bound = asked.bounds(terms, asked.part(max_tf.astype(float), min_len.astype(float)))
+                    among = np.zeros(len(asked.ids), bool)
+                    among[queries[bound >= least.value[queries]]] = True
+                for queries, w in asked.matrices(terms, among):
+                    if not len(docs):
                         continue
                     scores = w @ gives
                     ranked = np.where(scores == 0, -np.inf, np.round(scores, 6))  # 0: none of the query's terms
                     best = np.lexsort((np.broadcast_to(docs, ranked.shape), -ranked), axis=1)[:, : asked.k]
                     got = np.take_along_axis(ranked, best, 1)
                     rows, places = np.nonzero(got > -np.inf)
-                    ids = [asked.ids[i] for i in queries[rows]]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, asked.kind), pa.array(docs[best[rows, places]]), pa.array(got[rows, places])], ["query_id", "doc_id", "score"])
+                    held.append((queries[rows], docs[best[rows, places]], got[rows, places]))
+                    n_held += len(rows)
+                if n_held > limit:
+                    held = [best_of(held)]
+                    n_held = len(held[0][0])
+                    limit = n_held + HELD
+        if n_held:
+            q, doc, score = best_of(held)
+            names = pa.array(asked.ids, asked.kind).take(pa.array(q))
+            yield pa.RecordBatch.from_arrays([names, pa.array(doc), pa.array(score)], ["query_id", "doc_id", "score"])
 
     return run

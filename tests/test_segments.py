@@ -7,7 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import bm25
+from lodestone.operators import bm25, segments
 from lodestone.operators.segments import Bm25Index, term_counts
 from lodestone.functions.text import tokens
 from lodestone.sources import manifest
@@ -141,3 +141,26 @@ def test_manifests(spark, tmp_path):
     Path(folder, "manifest-00000003.json").write_text(json.dumps({"format": 99}))
     with pytest.raises(ValueError):
         manifest.read(spark, folder)
+
+
+def test_candidates_follow_tasks_and_not_groups(spark, asked, tmp_path, small_groups):
+    """A search keeps a query's k best for each task; before, it kept them for each group."""
+    rows = corpus(600)
+    index = Bm25Index(spark, str(tmp_path / "index"))
+    index.add(spark.createDataFrame(rows, DOCS))
+    index.delete(spark.createDataFrame([(i,) for i in range(0, 600, 7)], "doc_id long"))
+    found = index._search(asked, 3, "exact")[0]
+    n = {r.query_id: r["count"] for r in found.groupBy("query_id").count().collect()}
+    groups = spark.read.parquet(str(tmp_path / "index/groups")).agg(F.sum("n_groups")).collect()[0][0]
+    assert groups > 36 and set(n) == {1, 2, 6, 7} and max(n.values()) <= 3 * 4  # k, partitions
+
+
+def test_held_candidates_are_cut_to_the_best(spark, asked, tmp_path, monkeypatch):
+    monkeypatch.setattr("lodestone.operators.segments.GROUP_DOCS", 16)
+    rows = corpus(300, 3)
+    index = Bm25Index(spark, str(tmp_path / "index"))
+    index.add(spark.createDataFrame(rows, DOCS))
+    whole = spark.createDataFrame(rows, DOCS)
+    want = rows_of(bm25.top(bm25.scores(whole, asked), 4))
+    monkeypatch.setattr(segments, "HELD", 5)
+    assert rows_of(index.search(asked, 4)) == want
