@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.sources.shared import use_checkpoints
+
 #: Runs of characters that are segmented, in the syntax that Java and Python share; other words stay whole.
 HAN = "[㐀-䶿一-鿿豈-﫿]+"
 LETTERS = "[a-zà-öø-ÿß]+"
@@ -60,7 +62,8 @@ def learn(counted: DataFrame, longest: int = LONGEST, min_count: int = MIN_COUNT
     null for single characters; left and right are entropies. A word has at least the given count, cohesion and
     entropies. An empty table gives no words.
     """
-    parts = stretches(counted, longest)
+    use_checkpoints(counted.sparkSession)
+    parts = stretches(counted, longest).checkpoint()  # read by every statistic
     freq = parts.groupBy("word", "size").agg(F.sum("n").alias("freq")).where(F.col("freq") >= min_count)
     total = freq.where("size = 1").agg(F.sum("freq").alias("total"))
     cuts = freq.where("size > 1").select("word", "freq", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"), "size")
@@ -130,8 +133,12 @@ class Segmenter:
 
     def cut(self, run: str) -> list[str]:
         """The words of a run."""
+        return self.closed(self.path(run))
+
+    def closed(self, path: list[str]) -> list[str]:
+        """The words of a path, whose characters that no word covers are joined by their positions."""
         out, open_chars = [], ""
-        for w in [*self.path(run), ""]:
+        for w in [*path, ""]:
             if len(w) == 1 and w not in self.words:
                 open_chars += w
                 continue
@@ -165,10 +172,22 @@ def fitted(counted: DataFrame, dictionary: DataFrame, pattern: str = HAN) -> Seg
     The position model is counted over the runs as the dictionary cuts them, with add-one smoothing of moves. What comes to
     the driver is the dictionary, and counts by character, whose number the script bounds.
     """
+    return _fitted(counted, dictionary, pattern)[0]
+
+
+def fitted_cut(counted: DataFrame, dictionary: DataFrame, pattern: str = HAN) -> DataFrame:
+    """cut_runs() of the runs that a segmenter is fitted to, whose paths through the dictionary are found only once."""
+    known, pieces = _fitted(counted, dictionary, pattern)
+    return _cut(pieces, F.col("pieces"), known, lambda s, x: s.closed(x))
+
+
+def _fitted(counted: DataFrame, dictionary: DataFrame, pattern: str) -> tuple[Segmenter, DataFrame]:
+    """The segmenter, and (run, n, pieces) as the dictionary alone cuts the runs."""
+    use_checkpoints(counted.sparkSession)
     rows = dictionary.select("word", "freq").orderBy(F.desc("freq"), "word").limit(MOST_WORDS).collect()
     total = sum(r.freq for r in rows) + 1
     first = Segmenter({r.word: math.log(r.freq / total) for r in rows}, math.log(0.5 / total), pattern)
-    pieces = cut_runs(counted, first).select("n", "pieces")
+    pieces = cut_runs(counted, first).checkpoint()
     at = F.transform("pieces", lambda w: F.when(F.length(w) == 1, F.lit("S")).otherwise(F.concat(F.lit("B"), F.repeat(F.lit("M"), F.length(w) - 2), F.lit("E"))))
     placed = pieces.select("n", F.split(F.array_join("pieces", ""), "").alias("c"), F.split(F.array_join(at, ""), "").alias("s"))
     each = placed.select("n", F.posexplode(F.arrays_zip("c", "s", F.concat(F.array(F.lit("")), "s").alias("p"))).alias("i", "x"))
@@ -181,21 +200,24 @@ def fitted(counted: DataFrame, dictionary: DataFrame, pattern: str = HAN) -> Seg
         else:
             start[r.s] += r.n
     if not counts:
-        return first
+        return first, pieces
     logs = lambda d, n: {k: math.log(v / n) for k, v in d.items()}
-    first.start = logs(start, sum(start.values()))
-    first.move = {s + t: math.log(move[s + t] / sum(move[s + u] for u in FOLLOWS[s])) for s in STATES for t in FOLLOWS[s]}
-    first.emit = {s: logs(x, sum(x.values()) + len(x) + 1) for s, x in emit.items()}
-    return first
+    known = Segmenter(first.words, first.unknown, pattern, logs(start, sum(start.values())), {}, {s: logs(x, sum(x.values()) + len(x) + 1) for s, x in emit.items()})
+    known.move = {s + t: math.log(move[s + t] / sum(move[s + u] for u in FOLLOWS[s])) for s in STATES for t in FOLLOWS[s]}
+    return known, pieces
 
 
 def cut_runs(counted: DataFrame, segmenter: Segmenter) -> DataFrame:
     """(run, n, pieces array<string>): each distinct run cut once."""
+    return _cut(counted, F.col("run"), segmenter, lambda s, x: s.cut(x))
+
+
+def _cut(counted: DataFrame, column: Column, segmenter: Segmenter, how: Callable[[Segmenter, str | list[str]], list[str]]) -> DataFrame:
     known = counted.sparkSession.sparkContext.broadcast(segmenter)
 
     @F.pandas_udf("array<string>")
     def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            yield pd.Series([known.value.cut(x) for x in b], dtype=object)
+            yield pd.Series([how(known.value, x) for x in b], dtype=object)
 
-    return counted.select("run", "n", cut("run").alias("pieces"))
+    return counted.select("run", "n", cut(column).alias("pieces"))

@@ -24,8 +24,9 @@ def learnt_words(spark, sf_dir):
 
 def word_segments(spark, sf_dir):
     """Every distinct run of letters in the documents, cut along the likeliest path of learnt words."""
-    runs = segmenter.runs(texts(spark, sf_dir), pattern=segmenter.LETTERS)
-    cut = segmenter.cut_runs(runs, segmenter.fitted(runs, segmenter.learn(runs), segmenter.LETTERS))
+    use_checkpoints(spark)
+    runs = segmenter.runs(texts(spark, sf_dir), pattern=segmenter.LETTERS).checkpoint()  # the texts are read once
+    cut = segmenter.fitted_cut(runs, segmenter.learn(runs), segmenter.LETTERS)
     return cut.select("run", "n", F.size("pieces").cast("long").alias("n_pieces"), F.array_join("pieces", "|").alias("pieces"))
 
 

@@ -92,3 +92,23 @@ def test_chinese_queries_find_their_sentence(spark, known, tmp_path):
     index = Bm25Index(spark, str(tmp_path), tokenizer=known)
     index.add(docs)
     assert sorted((r.query_id, r.rank, r.doc_id, r.score) for r in index.search(asked, 2).collect()) == want
+
+
+def test_paths_are_found_once(spark, monkeypatch):
+    """Runs that a segmenter is fitted to are cut as by cut_runs(), unknown characters included, from one walk of the dictionary."""
+    runs = segmenter.runs(spark.createDataFrame([(t,) for t in [*corpus(400), "没有见过的计算", "余没弦"]], "text string")).cache()
+    words = segmenter.learn(runs, cohesion=1.0, entropy=1.0).cache()
+    want = {r.run: (r.n, r.pieces) for r in segmenter.cut_runs(runs, segmenter.fitted(runs, words)).collect()}
+    walked = spark.sparkContext.accumulator(0)
+    path = Segmenter.path
+
+    def counting(self, run):
+        walked.add(1)
+        return path(self, run)
+
+    def cut_runs(counted, first, plain=segmenter._cut):
+        return plain(counted, F.col("run"), first, lambda s, x: s.closed(counting(s, x)))
+
+    monkeypatch.setattr(segmenter, "cut_runs", cut_runs)
+    got = {r.run: (r.n, r.pieces) for r in segmenter.fitted_cut(runs, words).collect()}
+    assert got == want and walked.value == len(want) and any(len(w) == 1 and w in "没有见过" for _, p in want.values() for w in p)
