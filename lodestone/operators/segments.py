@@ -179,7 +179,7 @@ class Bm25Index:
         often = F.array_max(F.arrays_zip("tfs", "terms"))["terms"]
         kinds = min(MOST_KINDS, 1 + n // KIND_DOCS)
         kind = F.pmod(F.xxhash64(often), F.lit(kinds)) * 32 + F.floor(F.log2(F.col("len") + 1))
-        with _batches_of(self.spark, BATCH_DOCS):
+        with _batches_of(rows.sparkSession, BATCH_DOCS):  # a stream's batches have a session of their own
             rows.select("doc_id", "len", kind.cast("int").alias("kind"), "terms", "tfs").write.mode("overwrite").parquet(f"{self.folder}/forward/segment={name}")
         sizes = self._rows("forward", [name]).groupBy("kind").count().collect()  # 32 * MOST_KINDS at most
         start, groups = 0, []

@@ -4,6 +4,7 @@ import json
 import random
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,6 +130,20 @@ def test_stream_in_three_batches(spark, asked, tmp_path):
     assert len(index) == len(rows) + 1 and rows_of(index.search(asked, 5)) != want
 
 
+def test_a_stream_hands_workers_few_documents(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(segments, "BATCH_DOCS", 10)
+    spark.createDataFrame(corpus(100), DOCS).coalesce(1).write.parquet(str(tmp_path / "in"))
+
+    @F.arrow_udf("array<string>")
+    def words(text: pa.Array) -> pa.Array:
+        assert len(text) <= 10
+        return pa.array([(x or "").split() for x in text.to_pylist()], pa.list_(pa.string()))
+
+    index = Bm25Index(spark, str(tmp_path / "index"), tokenizer=words)
+    ingest.ingest_index(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, index, str(tmp_path / "progress"), 1)
+    assert len(index) == 105
+
+
 def test_manifests(spark, tmp_path):
     folder = str(tmp_path)
     assert manifest.read(spark, folder) == (0, {}) and manifest.versions(spark, f"{folder}/none") == []
