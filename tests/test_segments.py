@@ -94,6 +94,17 @@ def test_blocks_are_skipped(spark, tmp_path, monkeypatch):
     assert rows_of(index.search(some, 3)) == rows_of(bm25.top(bm25.scores(spark.createDataFrame(rows, DOCS), some), 3))
 
 
+def test_blocks_lie_in_rows_by_group(spark, tmp_path):
+    """Rows of blocks follow groups and buckets, not terms; reads count each term of a query in each group."""
+    index = Bm25Index(spark, str(tmp_path / "index"))
+    index.add(spark.createDataFrame(corpus(200), DOCS), "a")
+    blocks = index._grouped(["a"]).select("g", F.explode("terms").alias("term")).distinct().cache()
+    assert index._rows("packs", ["a"]).count() <= segments.BUCKETS * blocks.select("g").distinct().count() < blocks.count()
+    some = spark.createDataFrame([(1, "w0 w1 w2 rare"), (2, "w0 none")], "query_id long, text string")
+    got = {r.query_id: r.n_blocks for r in index.reads(some, 3).collect()}
+    assert got == {1: blocks.where("term IN ('w0', 'w1', 'w2', 'rare')").count(), 2: blocks.where("term = 'w0'").count()}
+
+
 def test_what_is_refused_is_not_published(spark, asked, tmp_path):
     index = Bm25Index(spark, str(tmp_path / "index"))
     index.add(spark.createDataFrame([(1, "rare", "x", 2), (2, None, "y", 3)], DOCS + ", term string, len int"))
