@@ -54,6 +54,8 @@ SENT_TERMS, QUERY_BLOCK = 1_000_000, 512
 FIRST_GROUPS = 2
 #: Candidates that a task of a search holds beside k for each query.
 HELD = 200_000
+#: Bytes of UTF-8 that are white space.
+SPACE = np.isin(np.arange(256), list(b"\t\n\v\f\r "))
 PER_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: What a row of packed blocks has, as int32 but for the terms (UTF-8, joined) and doc_ids (int64): of each term its bytes, postings
 #: and what bounds these; the group's documents; and of each posting, term by term, the document's place among these and the count.
@@ -84,21 +86,59 @@ def _coded(terms: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return coded.dictionary.take(order), rank[coded.indices.to_numpy()]
 
 
+def _split(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words between white space of texts without nulls, as tokens() has them of lower-cased ones, and how many each text has."""
+    cuts = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1]
+    data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[cuts[0] : cuts[-1]]
+    cuts = cuts - cuts[0]
+    inside = ~SPACE[data]
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    full = np.flatnonzero(np.diff(cuts))  # a word ends with its text
+    begins[cuts[full]], ends[cuts[full + 1] - 1] = inside[cuts[full]], inside[cuts[full + 1] - 1]
+    at = np.flatnonzero(begins)
+    lengths = np.flatnonzero(ends) + 1 - at
+    words = pa.StringArray.from_buffers(len(at), pa.py_buffer(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.py_buffer(data[inside]))
+    return words, np.diff(np.searchsorted(at, cuts))
+
+
+def _distinct(words: pa.Array, own: np.ndarray, n: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Of words, each of text own among n: the distinct ones in order; and for each text the places of its own among these, in order, the
+    counts, and where the texts are cut."""
+    terms, code = _coded(words)
+    both, tf = np.unique(own * max(1, len(terms)) + code, return_counts=True)
+    own, code = np.divmod(both, max(1, len(terms)))
+    return terms, code, tf, np.searchsorted(own, np.arange(n + 1))
+
+
 def term_counts(words: Column) -> Column:
     """array<struct<term, tf int>> of an array of tokens, by term; without explode or shuffle."""
 
     @F.arrow_udf("array<struct<term:string,tf:int>>")
     def run(w: pa.Array) -> pa.Array:
-        terms, code = _coded(w.flatten())
-        own = pc.list_parent_indices(w).to_numpy().astype(np.int64)
-        both, n = np.unique(own * max(1, len(terms)) + code, return_counts=True)
-        own, code = np.divmod(both, max(1, len(terms)))
-        ends = pa.array(np.searchsorted(own, np.arange(len(w) + 1)), pa.int32())
-        return pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([terms.take(pa.array(code)), pa.array(n, pa.int32())], ["term", "tf"]))
+        terms, code, n, cuts = _distinct(w.flatten(), pc.list_parent_indices(w).to_numpy().astype(np.int64), len(w))
+        return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays([terms.take(pa.array(code)), pa.array(n, pa.int32())], ["term", "tf"]))
 
     return run(words)
 
 
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, len, often, terms, tfs) of rows (doc_id, lower-cased text without nulls, or array of tokens)."""
+    for b in batches:
+        of = b.column(1)
+        if not len(of):
+            continue
+        words, sizes = (of.flatten().cast(pa.string()), of.value_lengths().fill_null(0).to_numpy()) if pa.types.is_list(of.type) else _split(of.cast(pa.string()))
+        terms, code, tf, cuts = _distinct(words, np.repeat(np.arange(len(of)), sizes), len(of))
+        full = np.flatnonzero(np.diff(cuts))
+        often = np.zeros(len(of), np.int64)
+        often[full] = np.maximum.reduceat(tf * len(terms) + code, cuts[full]) % len(terms) if len(full) else 0
+        ends = pa.array(cuts, pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, x) for x in (terms.take(pa.array(code)), pa.array(tf, pa.int32()))]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32()), terms.take(pa.array(often, mask=sizes == 0)), *lists], ["doc_id", "len", "often", "terms", "tfs"])
+
+
 class Bm25Index:
     """The index below a folder that all executors share. Ids are longs, each of one live document."""
 
@@ -160,9 +200,10 @@ class Bm25Index:
         if name in body["segments"] or name in body["retired"]:
             return False
         n = docs.count()
-        words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), self.tokenizer(F.col("text")).alias("words"))
-        counted = words.select("doc_id", F.size("words").alias("len"), term_counts(F.col("words")).alias("x"))
-        self._write_forward(counted.select("doc_id", "len", F.col("x.term").alias("terms"), F.col("x.tf").alias("tfs")), n, name)
+        # Words between white space are cut in the worker, since an array of tokens takes far longer to get there than its text.
+        words = F.lower(F.coalesce("text", F.lit(""))) if self.tokenizer is tokens else self.tokenizer(F.col("text"))
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words.alias("words"))
+        self._write_forward(rows.mapInArrow(_documents, "doc_id long, len int, often string, terms array<string>, tfs array<int>"), n, name)
         counts = self._counts(name)
         if counts.pop("nulls") or counts.pop("ids") != n:
             raise ValueError("document ids are null or repeated")
@@ -175,10 +216,10 @@ class Bm25Index:
         return True
 
     def _write_forward(self, rows: DataFrame, n: int, name: str) -> None:
-        """The forward table of (doc_id, len, terms, tfs), and how each kind of document is cut in groups."""
-        often = F.array_max(F.arrays_zip("tfs", "terms"))["terms"]
+        """The forward table of (doc_id, len, often: the most frequent term, of several the last, terms, tfs), and how each kind of document is
+        cut in groups."""
         kinds = min(MOST_KINDS, 1 + n // KIND_DOCS)
-        kind = F.pmod(F.xxhash64(often), F.lit(kinds)) * 32 + F.floor(F.log2(F.col("len") + 1))
+        kind = F.pmod(F.xxhash64("often"), F.lit(kinds)) * 32 + F.floor(F.log2(F.col("len") + 1))
         with _batches_of(rows.sparkSession, BATCH_DOCS):  # a stream's batches have a session of their own
             rows.select("doc_id", "len", kind.cast("int").alias("kind"), "terms", "tfs").write.mode("overwrite").parquet(f"{self.folder}/forward/segment={name}")
         sizes = self._rows("forward", [name]).groupBy("kind").count().collect()  # 32 * MOST_KINDS at most
@@ -241,7 +282,8 @@ class Bm25Index:
         version, body = self._state()
         name = f"compact-{version + 1}"
         docs = sum(s["docs"] for s in body["segments"].values()) - sum(d["docs"] for d in body["deleted"].values())
-        self._write_forward(self._live(body).select("doc_id", "len", "terms", "tfs"), docs, name)
+        often = F.array_max(F.arrays_zip("tfs", "terms"))["terms"]
+        self._write_forward(self._live(body).select("doc_id", "len", often.alias("often"), "terms", "tfs"), docs, name)
         counts = {k: v for k, v in self._counts(name).items() if k in ("docs", "tokens", "postings")}
         self._write_blocks(name)
         retired = [*body["retired"], *body["segments"], *body["deleted"]]
@@ -301,7 +343,7 @@ class Bm25Index:
         rows = some.collect()  # SENT_TERMS at most, about
         terms = sorted({r.term for r in rows})
         wanted = self.spark.sparkContext.broadcast(terms)
-        packs = self._rows("packs", body["segments"]).where(F.col("bucket").isin(sorted({_bucket(x) for x in terms})))
+        packs = self._rows("packs", body["segments"]).where(F.col("bucket").isin(sorted({_bucket(x.encode()) for x in terms})))
         ints = lambda columns: ", ".join(f"{c} array<int>" for c in columns)
         parts = packs.select("segment", "g", "terms", "sizes", "n", "max_tf", "min_len").mapInArrow(_wanted(wanted, HEAD), f"segment string, g int, {ints(HEAD)}")
         parts = parts.groupBy("segment", "g").agg(F.collect_list(F.struct(*HEAD)).alias("x"))
@@ -347,8 +389,13 @@ class Bm25Index:
         return None if only_reads else scored(through.where("segment IS NOT NULL").select("segment", "g"), limit).checkpoint(), reads
 
 
-def _bucket(term: str) -> int:
-    return crc32(term.encode()) % BUCKETS
+def _bucket(term: bytes | memoryview) -> int:
+    return crc32(term) % BUCKETS
+
+
+def _bytes(terms: pa.Array) -> tuple[memoryview, list[int]]:
+    """The bytes of strings that are no slice, and where each begins and ends."""
+    return memoryview(terms.buffers()[2] or b""), np.frombuffer(terms.buffers()[1], np.int32)[: len(terms) + 1].tolist()
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,7 +424,8 @@ def _of_group(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     by_id = np.argsort(docs)
     at = np.repeat(np.argsort(by_id), each)
     terms, code = _coded(joined)
-    bucket = np.array([_bucket(x) for x in terms.to_pylist()])
+    data, ends = _bytes(terms)
+    bucket = np.array([_bucket(data[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)])
     by_bucket = np.argsort(bucket, kind="stable")
     code = np.argsort(by_bucket)[code]
     order = np.argsort(code * len(docs) + at)
@@ -385,6 +433,7 @@ def _of_group(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     starts = np.flatnonzero(np.diff(code, prepend=-1))
     starts = np.append(starts, len(code))
     ordered = terms.take(pa.array(by_bucket))
+    data, ends = _bytes(ordered)  # not as Python strings, of which a group has tens of thousands
     of_terms = {"sizes": pc.binary_length(ordered).to_numpy(), "n": np.diff(starts), "max_tf": np.maximum.reduceat(tf, starts[:-1]), "min_len": np.minimum.reduceat(lens[by_id][at], starts[:-1])}
     of_group, of_postings = {"doc_ids": docs[by_id], "lens": lens[by_id]}, {"at": at, "tfs": tf}
     rows, cuts = [], np.searchsorted(bucket[by_bucket], np.arange(BUCKETS + 1)).tolist()
@@ -393,7 +442,7 @@ def _of_group(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         arrays = {**{c: x[lo:hi] for c, x in of_terms.items()}, **of_group, **{c: x[starts[lo] : starts[hi]] for c, x in of_postings.items()}}
         packed = {c: arrays[c].astype(kind).tobytes() for c, kind in PACKED.items()}
-        rows.append({"bucket": i, "g": parts[0].column("g")[0].as_py(), "terms": "".join(ordered.slice(lo, hi - lo).to_pylist()).encode(), **packed})
+        rows.append({"bucket": i, "g": parts[0].column("g")[0].as_py(), "terms": data[ends[lo] : ends[hi]].tobytes(), **packed})
     kinds = {"bucket": pa.int32(), "g": pa.int32(), "terms": pa.binary(), **dict.fromkeys(PACKED, pa.binary())}
     yield pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
 

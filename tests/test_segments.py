@@ -2,8 +2,10 @@
 
 import json
 import random
+import re
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -190,3 +192,53 @@ def test_held_candidates_are_cut_to_the_best(spark, asked, tmp_path, monkeypatch
     want = rows_of(bm25.top(bm25.scores(whole, asked), 4))
     monkeypatch.setattr(segments, "HELD", 5)
     assert rows_of(index.search(asked, 4)) == want
+
+
+ODD = ["", " ", "a", " a", "a ", "b a\tb\n\x0bA  c\x0cb\rb", "no\u00a0break \u2003wide\u2003", "\u00c9t\u00e9 \u00e9t\u00e9 \u0130 \u4e2d\u6587 \U0001f600", "\x1c\x1d \x85", "end", "start", "  ", None, "b b a a", "x" * 300]
+
+
+def test_texts_go_to_workers_whole(spark, tmp_path, monkeypatch):
+    """Words are cut where they are counted; before, arrays of them were sent. The forward table is as SQL has it."""
+    seen = []
+    write = Bm25Index._write_forward
+    monkeypatch.setattr(Bm25Index, "_write_forward", lambda self, rows, n, name: (seen.append(rows), write(self, rows, n, name)))
+    docs = spark.createDataFrame(list(enumerate(ODD * 3)), DOCS).coalesce(2)
+    index = Bm25Index(spark, str(tmp_path / "index"))
+    index.add(docs, "a")
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "lower(" in plan and "split(" not in plan
+    counted = docs.select("doc_id", F.size(tokens(F.col("text"))).alias("len"), term_counts(tokens(F.col("text"))).alias("x"))
+    often = F.array_max(F.arrays_zip("tfs", "terms"))["terms"]
+    want = counted.select("doc_id", "len", F.col("x.term").alias("terms"), F.col("x.tf").alias("tfs")).select("doc_id", "len", often.alias("often"), "terms", "tfs")
+    assert sorted(map(tuple, seen[0].collect())) == sorted(map(tuple, want.collect()))
+    assert index._rows("forward", ["a"]).select("doc_id", "len", "terms", "tfs").exceptAll(want.drop("often")).count() == 0
+
+
+def test_words_of_a_slice_of_texts():
+    texts = pa.array([(x or "").lower() for x in ODD])
+    for a, n in ((0, len(ODD)), (3, 5), (12, 1), (5, 0)):
+        words, sizes = segments._split(texts.slice(a, n))
+        want = [[w for w in re.split(r"[ \t\n\x0b\f\r]+", x) if w] for x in texts.slice(a, n).to_pylist()]
+        assert words.to_pylist() == sum(want, []) and sizes.tolist() == [len(x) for x in want]
+
+
+def test_blocks_are_packed_from_bytes(monkeypatch):
+    """Terms of a group are hashed and packed where they lie; before, each became a string, twice."""
+    of, seen = segments._bucket, []
+    monkeypatch.setattr(segments, "_bucket", lambda x: (seen.append(x), of(x))[1])
+    terms = [["", "a b", "\u00e9"], ["\u00e9", "\u4e2d"], []]
+    group = {"doc_id": [7, 3, 5], "len": [4, 2, 0], "g": [2, 2, 2], "joined": ["".join(x).encode() for x in terms], "sizes": [[len(y.encode()) for y in x] for x in terms], "tfs": [[1, 2, 1], [1, 1], []]}
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    batch = pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(group.values(), kinds, strict=True)], list(group))
+    got = {}
+    for r in pa.Table.from_batches(segments._blocks(iter([batch]))).to_pylist():
+        x = {c: np.frombuffer(r[c], kind).tolist() for c, kind in segments.PACKED.items()}
+        assert r["g"] == 2 and x["doc_ids"] == [3, 5, 7] and x["lens"] == [2, 0, 4]
+        at = 0
+        for size, n, tf, least in zip(x["sizes"], x["n"], x["max_tf"], x["min_len"], strict=True):
+            term, r["terms"] = r["terms"][:size], r["terms"][size:]
+            assert of(term) == r["bucket"]
+            got[term.decode()] = (n, tf, least, x["at"][at : at + n], x["tfs"][at : at + n])
+            at += n
+    assert got == {"": (1, 1, 4, [2], [1]), "a b": (1, 2, 4, [2], [2]), "\u00e9": (2, 1, 2, [0, 2], [1, 1]), "\u4e2d": (1, 1, 2, [0], [1])}
+    assert len(seen) == 4 and all(isinstance(x, memoryview) for x in seen)
